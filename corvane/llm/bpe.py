@@ -13,6 +13,7 @@ and joined per document. Null text is the empty text: no ids, and it decodes to
 from __future__ import annotations
 
 import hashlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -27,6 +28,8 @@ LEAF_CHARS = 128
 PART_CHARS = 1 << 18
 CACHE_BYTES = 160 << 20
 END = "</w>"
+#: Letters below are single code points in composed and in lower-case form, in every version of Unicode.
+LATIN = "\u0180"
 
 
 def tokenizer_path() -> str:
@@ -35,6 +38,25 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, others from U+0100 on in turn."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+class Cache(dict):
+    """Words and what ``make`` gives for them; held counts its bytes, roughly."""
+
+    def __init__(self, make):
+        self.make, self.held = make, 0
+
+    def __missing__(self, key: bytes) -> bytes:
+        self.held += len(key) + 150
+        out = self[key] = self.make(key)
+        return out
+
+
 def same_ends(part: list, left: list, right: list) -> tuple[bool, bool]:
     return bool(part and left) and part[0] == left[0], bool(part and right) and part[-1] == right[-1]
 
@@ -62,8 +84,11 @@ class Encoder:
         self.size = max(self.token) + 1
         self.type = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.tokens = [self.token.get(i, "") for i in range(self.size)]
-        self.cache: dict[bytes, bytes] = {}
-        self.held = 0
+        self.code = "H" if self.type is np.uint16 else "I"
+        self.model = self.lib.model
+        self.byte_letters = byte_letters()
+        self.tails = {x: self.pack(self.lib.encode(x.decode(), add_special_tokens=False).ids) for x in (b",", b".")}
+        self.cache = Cache(self.word)
         self.pieces: dict[str, list[str]] = {}
 
     def pack(self, ids) -> bytes:
@@ -73,26 +98,25 @@ class Encoder:
 
     def encode_batch(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        split = [(x or b"").split() for x in texts]
-        self.learn(set(chain.from_iterable(split)))
+        if self.cache.held > CACHE_BYTES:
+            self.cache.clear()
+            self.cache.held = 0
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), self.type) for words in split]
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if self.held > CACHE_BYTES:
-            self.cache, self.held, new = {}, 0, list(words)
-        short = [w for w in new if len(w) <= self.long_word]
-        for at in range(0, len(short), 20_000):
-            some = short[at : at + 20_000]
-            found = self.lib.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for w, e in zip(some, found, strict=True):
-                self.cache[w] = self.pack(e.ids)
-                self.held += len(w) + 150
-        for w in new:
-            if len(w) > self.long_word:
-                self.cache[w] = self.pack(self.unsplit(w.decode("utf-8", "replace")))
-                self.held += 3 * len(w)
+        return [np.frombuffer(b"".join(map(get, (x or b"").split())), self.type) for x in texts]
+
+    def word(self, raw: bytes) -> bytes:
+        """Packed ids of one word."""
+        if len(raw) > self.long_word:
+            return self.pack(self.unsplit(raw.decode("utf-8", "replace")))
+        # Most words are Latin letters, perhaps with a comma or a stop: one or two pre-tokens, already composed.
+        core, tail = (raw[:-1], self.tails.get(raw[-1:], b"")) if len(raw) > 1 and raw[-1:] in self.tails else (raw, b"")
+        if core.isalpha():  # of bytes: A-Z and a-z only
+            return array(self.code, [t.id for t in self.model.tokenize(core.lower().decode())]).tobytes() + tail
+        text = core.decode("utf-8", "replace")
+        small = text.lower()
+        if small.isalpha() and len(small) == len(text) and max(text) < LATIN:
+            return array(self.code, [t.id for t in self.model.tokenize(small.encode().decode("latin-1").translate(self.byte_letters))]).tobytes() + tail
+        return self.pack(self.lib.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def parts(self, text: str):
         """(special id or None, normalised text) in turn: special tokens are found before anything else."""

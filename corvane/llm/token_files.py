@@ -154,10 +154,7 @@ def count_ids(tokens: DataFrame, size: int, width: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(raw, width), minlength=size) if len(raw) > size else 0
-                if len(raw) <= size:
-                    np.add.at(total, np.frombuffer(raw, width), 1)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width), minlength=size)
             total[END_ID] += batch.num_rows
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
