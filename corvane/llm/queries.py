@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, chat, embeddings, mixing, ngram_join, quality, substring, token_files
+from corvane.llm import bpe, chat, embeddings, mixing, ngram_join, quality, substring, suffixes, token_files
 
 
 def queries() -> dict:
-    found = [mixing.op1_mix_sources, token_files.op3_token_files, substring.op4_substring_dedup, chat.op5_chat_windows, embeddings.op6_embedding_dedup, ngram_join.op7_ngram_join, quality.op9_quality_rules, bpe.op10_bpe_round_trip]
+    found = [mixing.op1_mix_sources, token_files.op3_token_files, substring.op4_substring_dedup, chat.op5_chat_windows, embeddings.op6_embedding_dedup, ngram_join.op7_ngram_join, suffixes.op8_suffix_dedup, quality.op9_quality_rules, bpe.op10_bpe_round_trip]
     return {f.__name__: f for f in found}
 
 
