@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import base, features, fusion, lanes  # noqa: F401  the modules register their queries
+from corvane.plans import base, features, fusion, lanes, maintenance, surface  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict:
