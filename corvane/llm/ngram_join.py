@@ -5,7 +5,7 @@ A document's set is its distinct word n-grams. Documents with one set are one cl
 Rows of the incidence are ordered by how often an n-gram occurs (a count sketch of fixed size), rarest first. Two sets
 that are similar enough share an n-gram among the first |x| - ceil(percent |x| / 100) + 1 of each, so only these columns
 bring candidates together, and a pair is dropped at once where sizes, or what is left of both sets from the shared
-column on, bound the overlap below what is needed. Columns with up to LIST classes give pairs, which are verified on whole sets.
+column on, or parity bitmaps bound the overlap below what is needed. Columns with up to LIST classes give pairs, which are verified on whole sets.
 The classes of fuller columns are gathered in clusters, a cluster is cut into blocks of BLOCK classes, and a task multiplies
 one pair of blocks: overlap counts add up over column slices, pairs are never written out, only a spanning forest of
 the links is. Components come from all links.
@@ -32,6 +32,7 @@ WIDTH, PERCENT = 5, 80
 CELLS = 1 << 20
 BLOOM_BITS = 1 << 24
 LIST = 24
+PARITY = 16
 BLOCK = 1024
 SLICE = 4096
 _U = np.uint64
@@ -64,9 +65,22 @@ class Grams:
         self.first = np.searchsorted(doc, np.arange(len(texts) + 1))
         self.sizes = np.diff(self.first)
         total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(self.gram))])
+        self.doc = doc
         self.signature = (mix(total[self.first[1:]] - total[self.first[:-1]] + self.sizes.astype(_U)) >> _U(1)).astype(np.int64)
 
 
+    def parities(self) -> list[list[int]]:
+        """Of each text 64 * PARITY bits: whether an odd number of its n-grams falls on them."""
+        out, bits = [], 64 * PARITY
+        for a in range(0, len(self.sizes), 1024):
+            b = min(a + 1024, len(self.sizes))
+            part = slice(self.first[a], self.first[b])
+            cell = (self.doc[part] - a) * bits + (mix(self.gram[part]) % _U(bits)).astype(np.int64)
+            odd = (np.bincount(cell, minlength=(b - a) * bits) & 1).astype(np.uint8)
+            out += np.packbits(odd).view(np.int64).reshape(b - a, PARITY).tolist()
+        return out
+
+
 def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
     """How many n-grams fall into each of CELLS cells, over all documents: CELLS numbers, whatever the input."""
     pieces = 64
@@ -89,7 +103,7 @@ def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in sorted(rows, key=lambda r: r["piece"])]) if rows else np.zeros(CELLS, np.uint32)
 
 
-_LISTED = "doc_id long, n long, sig long, bucket int, grams binary, sigs binary, sizes binary, places binary"
+_LISTED = "doc_id long, n long, sig long, parity array<long>, bucket int, grams binary, sigs binary, sizes binary, places binary"
 
 
 def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray, buckets: int) -> DataFrame:
@@ -111,7 +125,7 @@ def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray,
             cols = [[planes(v[rims[b] : rims[b + 1]]) for b in used] for v in (np.diff(gram, prepend=_U(0)), sig, n, place)]
             for k, b in enumerate(used):  # the first key of a bucket stands as it is
                 cols[0][k] = planes(np.diff(gram[rims[b] : rims[b + 1]], prepend=_U(0)))
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=[x.split()[0] for x in _LISTED.split(", ")])
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(used), pa.list_(pa.int64())), pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=[x.split()[0] for x in _LISTED.split(", ")])
 
         for batch in batches:
             ids, texts = batch.column(0), as_bytes(batch.column(1))
@@ -119,7 +133,7 @@ def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray,
                 g = Grams(texts[a:b], width, table)
                 m = b - a
                 empty = [pa.nulls(m, t) for t in (pa.int32(), *[pa.binary()] * 4)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, m), pa.array(g.sizes.astype(np.int64)), pa.array(g.signature), *empty], names=[x.split()[0] for x in _LISTED.split(", ")])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, m), pa.array(g.sizes.astype(np.int64)), pa.array(g.signature), pa.array(g.parities(), pa.list_(pa.int64())), *empty], names=[x.split()[0] for x in _LISTED.split(", ")])
                 if len(seen) > 1 << 20:
                     seen.clear()
                 fresh = np.array([s not in seen and not seen.add(s) for s in g.signature.tolist()], bool) & (g.sizes > 0)
@@ -295,7 +309,13 @@ def near_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     # A pair inside a cluster is part of its product.
     ca, cb = (cluster.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
     outside = pairs.join(ca, "a", "left").join(cb, "b", "left").filter("ra is null or rb is null or ra != rb").select("a", "b")
-    outside = materialize(outside, "ngram-pairs")
+    # Sets differ in as many n-grams as their parities differ in bits, or more.
+    traits = listed.filter("n > 0").select("sig", "n", "parity").dropDuplicates(["sig"])
+    ta, tb = (traits.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")) for k in "ab")
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    total = F.col("na") + F.col("nb")
+    possible = (total - apart) * (100 + percent) >= 2 * percent * total
+    outside = materialize(outside.join(ta, "a").join(tb, "b").filter(possible).select("a", "b"), "ngram-pairs")
     wanted = outside.select(F.col("a").alias("sig")).union(outside.select("b")).union(cluster.select("node")).distinct()
     sets = materialize(_sets(docs, materialize(wanted, "ngram-wanted"), width), "ngram-sets")
 
