@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import documents, extended
+from corvane.llm.common import documents, extended, lean
 
 LONG_WORD = 4096
 LEAF_CHARS = 128
@@ -30,6 +30,10 @@ CACHE_BYTES = 160 << 20
 END = "</w>"
 #: Letters below are single code points in composed and in lower-case form, in every version of Unicode.
 LATIN = "\u0180"
+#: A run of these is one pre-token, whatever it follows.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that a worker remembers from task to task; more go when a task ends.
+KEPT_WORDS = 150_000
 
 
 def tokenizer_path() -> str:
@@ -87,7 +91,7 @@ class Encoder:
         self.code = "H" if self.type is np.uint16 else "I"
         self.model = self.lib.model
         self.byte_letters = byte_letters()
-        self.tails = {x: self.pack(self.lib.encode(x.decode(), add_special_tokens=False).ids) for x in (b",", b".")}
+        self.tails = Cache(lambda x: self.pack(self.lib.encode(x.decode(), add_special_tokens=False).ids))
         self.cache = Cache(self.word)
         self.pieces: dict[str, list[str]] = {}
 
@@ -99,17 +103,25 @@ class Encoder:
     def encode_batch(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of each text."""
         if self.cache.held > CACHE_BYTES:
-            self.cache.clear()
-            self.cache.held = 0
+            self.forget()
         get = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(get, (x or b"").split())), self.type) for x in texts]
 
+    def forget(self) -> None:
+        """Keeps the words learnt first, which are the frequent ones."""
+        for cache in (self.cache, self.tails):
+            kept = dict(islice(cache.items(), KEPT_WORDS))
+            cache.clear()
+            cache.update(kept)
+            cache.held = sum(len(k) + 150 for k in kept)
+
     def word(self, raw: bytes) -> bytes:
         """Packed ids of one word."""
         if len(raw) > self.long_word:
             return self.pack(self.unsplit(raw.decode("utf-8", "replace")))
-        # Most words are Latin letters, perhaps with a comma or a stop: one or two pre-tokens, already composed.
-        core, tail = (raw[:-1], self.tails.get(raw[-1:], b"")) if len(raw) > 1 and raw[-1:] in self.tails else (raw, b"")
+        # Most words are Latin letters, perhaps with marks after them: one or two pre-tokens, already composed.
+        core = raw.rstrip(MARKS)
+        tail = self.tails[raw[len(core) :]] if len(core) < len(raw) else b""
         if core.isalpha():  # of bytes: A-Z and a-z only
             return array(self.code, [t.id for t in self.model.tokenize(core.lower().decode())]).tobytes() + tail
         text = core.decode("utf-8", "replace")
@@ -269,6 +281,7 @@ def map_ids(docs: DataFrame, schema, make, path: str | None = None) -> DataFrame
     """
     path = path or tokenizer_path()
 
+    @lean
     def run(batches):
         coder = encoder(path)
         for batch in batches:
@@ -277,6 +290,7 @@ def map_ids(docs: DataFrame, schema, make, path: str | None = None) -> DataFrame
             for a, b in slices(texts):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *make(coder, coder.encode_batch(texts[a:b]))], names=schema.names)
+        coder.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -284,6 +298,7 @@ def map_ids(docs: DataFrame, schema, make, path: str | None = None) -> DataFrame
 def _part_rows(docs: DataFrame, path: str, part_chars: int) -> DataFrame:
     """Parts of long texts: (row_key, part, special, text); normalised as wholes, cut anywhere."""
 
+    @lean
     def run(batches):
         coder = encoder(path)
         for batch in batches:
@@ -298,6 +313,7 @@ def _part_rows(docs: DataFrame, path: str, part_chars: int) -> DataFrame:
 
 
 def _encode_parts(parts: DataFrame, path: str) -> DataFrame:
+    @lean
     def run(batches):
         import pickle
 
@@ -360,10 +376,11 @@ def _both(docs: DataFrame, schema, make, make_long, path: str, part_chars: int)
     """Short texts row by row, texts over part_chars by parts and the tree; rows with the same id and text are alike."""
     is_long = F.coalesce(F.length("text"), F.lit(0)) > part_chars
     short = map_ids(docs.filter(~is_long), schema, make, path)
-    long_docs = docs.filter(is_long).withColumn("row_key", F.sha2("text", 256))
-    parts = _part_rows(long_docs.dropDuplicates(["row_key"]), path, part_chars).repartition("row_key", "part")
-    joined = _encode_parts(parts, path).groupBy("row_key").applyInArrow(_join_parts(path), "row_key string, packed binary")
+    long_docs = docs.filter(is_long).withColumn("__row_key", F.sha2("text", 256))
+    parts = _part_rows(long_docs.select(F.col("__row_key").alias("row_key"), "text").dropDuplicates(["row_key"]), path, part_chars).repartition("row_key", "part")
+    joined = _encode_parts(parts, path).groupBy("row_key").applyInArrow(_join_parts(path), "row_key string, packed binary").toDF("__row_key", "__packed")
 
+    @lean
     def run(batches):
         coder = encoder(path)
         for batch in batches:
@@ -371,7 +388,7 @@ def _both(docs: DataFrame, schema, make, make_long, path: str, part_chars: int)
             for i in range(batch.num_rows):
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:-1], *make_long(coder, packed[i : i + 1])], names=schema.names)
 
-    both = long_docs.join(joined, "row_key").select(*docs.columns, "packed")
+    both = long_docs.join(joined, "__row_key").select(*docs.columns, "__packed")
     return short.unionByName(both.mapInArrow(run, schema))
 
 

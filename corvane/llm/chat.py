@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, n_words
+from corvane.llm.common import lean, materialize, n_words
 
 STRIDE, HISTORY = 1024, 256
 TURN_TOKENS = 4  # of the template around a turn
@@ -97,6 +97,7 @@ def format_windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTOR
 def read_back(windows: DataFrame) -> DataFrame:
     """Per conversation, from the formatted windows alone: a stream over sorted rows, one window in memory at a time."""
 
+    @lean
     def run(batches):
         out, open_, key = [], None, object()
 

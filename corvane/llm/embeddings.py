@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, partitions
+from corvane.llm.common import lean, materialize, partitions
 from corvane.llm.components import components
 
 THRESHOLD = 0.95
@@ -92,6 +92,7 @@ def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 def _post(pivots, nearest: int):
     """(cls, n, embedding) -> a row for every pair of its nearest pivots that leaves a larger one."""
 
+    @lean
     def run(batches):
         p = pivots.value
         for batch in batches:

@@ -88,12 +88,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
     sized = materialize(sized, "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     cuts = materialize(thresholds(sized, source_targets(totals, weights, share, cap)).drop("need"), "mix-cuts")
-    cuts = cuts.withColumnRenamed("source", "mix_source")
+    cuts = cuts.select(F.struct("*").alias("__mix"))  # one name, whatever the documents' columns are called
     # One row per source: Spark broadcasts it only below its own size threshold, and splits hot sources otherwise.
-    out = docs.join(cuts, docs["source"].eqNullSafe(cuts["mix_source"]), "left")
-    h = hash_bits(F.col("doc_id"), F.col("text"))
-    out = out.withColumn("size", n_words(F.col("text"))).withColumn("copies", F.col("passes") + F.when(h < F.col("cut"), 1).otherwise(0))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*docs.columns, *added)
+    out = docs.join(cuts, docs["source"].eqNullSafe(F.col("__mix.source")), "left")
+    h = hash_bits(docs["doc_id"], docs["text"])
+    out = out.withColumn("size", n_words(docs["text"])).withColumn("copies", F.least(F.lit(cap), F.col("__mix.passes") + F.when(h < F.col("__mix.cut"), 1).otherwise(0)))
+    out = out.withColumns({"taken": F.col("copies") * F.col("size"), "source_size": F.col("__mix.source_size"), "target": F.col("__mix.target")})
+    return out.select(*docs.columns, *added)
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import as_bytes
-from corvane.llm.common import documents, materialize, partitions
+from corvane.llm.common import documents, lean, materialize, partitions
 from corvane.llm.components import components
 from corvane.llm.wordhash import Chunk, chunks, mix, planes, unplanes
 
@@ -35,6 +35,7 @@ LIST = 24
 PARITY = 16
 BLOCK = 1024
 SLICE = 4096
+CHUNK = 1 << 19
 _U = np.uint64
 
 
@@ -85,11 +86,12 @@ def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
     """How many n-grams fall into each of CELLS cells, over all documents: CELLS numbers, whatever the input."""
     pieces = 64
 
+    @lean
     def run(batches):
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             texts = as_bytes(batch.column(0))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK):
                 total += np.bincount((Grams(texts[a:b], width).gram >> _U(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([planes(x) for x in np.split(total, pieces)], pa.binary())], names=["piece", "counts"])
 
@@ -111,6 +113,7 @@ def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray,
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shift = _U(64 - (buckets - 1).bit_length())
 
+    @lean
     def run(batches):
         table = shared.value
         held, size, seen = [], 0, set()
@@ -129,7 +132,7 @@ def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray,
 
         for batch in batches:
             ids, texts = batch.column(0), as_bytes(batch.column(1))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK):
                 g = Grams(texts[a:b], width, table)
                 m = b - a
                 empty = [pa.nulls(m, t) for t in (pa.int32(), *[pa.binary()] * 4)]
@@ -142,7 +145,7 @@ def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray,
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(lead) - lead, lead)
                 held.append((g.gram[g.first[doc] + place], g.signature[doc], g.sizes[doc].astype(np.uint32), place.astype(np.uint32)))
                 size += len(doc)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -195,38 +198,32 @@ def _meet(percent: int):
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(sig, grams) of the wanted classes. A Bloom filter of fixed size keeps most other sets from being sent at all."""
-    bit = F.pmod(F.xxhash64("sig"), F.lit(BLOOM_BITS))
-    cells = wanted.select(F.floor(bit / 32).cast("int").alias("cell"), F.expr(f"1L << cast(pmod(pmod(xxhash64(sig), {BLOOM_BITS}), 32) as int)").alias("bit"))
+    # Signatures are hashes: their low bits are the filter's.
+    bit = F.col("sig") % BLOOM_BITS
+    cells = wanted.select(F.floor(bit / 32).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(sig % {BLOOM_BITS} % 32 AS int))").alias("bit"))
     filled = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()  # BLOOM_BITS / 32 rows at most
     bloom = np.zeros(BLOOM_BITS // 32, np.uint32)
     bloom[filled["cell"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
+    @lean
     def run(batches):
+        bits = shared.value
         for batch in batches:
             texts = as_bytes(batch.column(0))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK):
                 g = Grams(texts[a:b], width)
-                yield pa.RecordBatch.from_arrays([pa.array(g.signature), pa.array([g.gram[x:y].tobytes() for x, y in zip(g.first[:-1], g.first[1:], strict=True)], pa.binary())], names=["sig", "grams"])
-
-    found = docs.select("text").mapInArrow(run, "sig long, grams binary")
-    rows = found.withColumn("cell", F.pmod(F.xxhash64("sig"), F.lit(BLOOM_BITS)))
+                cell = g.signature % BLOOM_BITS
+                keep = (bits[cell >> 5] >> (cell & 31).astype(np.uint32)) & np.uint32(1) > 0
+                some = np.intersect1d(np.flatnonzero(keep), np.unique(g.signature, return_index=True)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(g.signature[some]), pa.array([g.gram[g.first[k] : g.first[k + 1]].tobytes() for k in some], pa.binary())], names=["sig", "grams"])
 
-    def sift(batches):
-        bits = shared.value
-        for batch in batches:
-            cell = batch.column(2).to_numpy()
-            keep = (bits[cell >> 5] >> (cell & 31).astype(np.uint32)) & np.uint32(1) > 0
-            sig = batch.column(0).to_numpy()
-            first = np.zeros(len(sig), bool)
-            first[np.unique(sig, return_index=True)[1]] = True
-            yield batch.filter(pa.array(keep & first)).select([0, 1])
-
-    sifted = rows.mapInArrow(sift, "sig long, grams binary")
+    sifted = docs.select("text").mapInArrow(run, "sig long, grams binary")
     return sifted.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams"))
 
 
 def _verify(percent: int):
+    @lean
     def run(batches):
         for batch in batches:
             keep = []

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import documents, extended, materialize
+from corvane.llm.common import documents, extended, lean, materialize
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP = 0.75
@@ -84,6 +84,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
     docs = docs.drop(*ADDED)
     schema = extended(docs, **dict.fromkeys(STATS, "long"))
 
+    @lean
     def run(batches):
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
@@ -95,12 +96,12 @@ def with_stats(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def features(stats: DataFrame) -> DataFrame:
+def feature_columns() -> dict[str, Column]:
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     share = lambda a, b: F.sqrt(F.least(F.lit(1.0), a / b))
-    return stats.withColumns({
+    return {
         "f_word": F.log(chars / n), "f_symbol": share(F.col("n_symbols"), chars), "f_repeat": F.asin(share(F.col("n_repeat_words"), n)), "f_lines": share(F.col("n_dup_lines"), n),
-    })
+    }
 
 
 def chi2_cdf(x: float, df: int) -> float:
@@ -157,7 +158,7 @@ def _solve(share: float, factor: float):
 
 def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Statistics -> (fit_key by language and source, estimate by fit_key)."""
-    good = materialize(features(stats.filter(~F.col("base_failed"))).select("lang", "source", *FEATURES), "quality-features")
+    good = materialize(stats.filter(~F.col("base_failed")).select("lang", "source", *[c.alias(k) for k, c in feature_columns().items()]), "quality-features")
     null = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     own = F.concat_ws("\t", F.lit("own"), F.length(null(F.col("lang"))), null(F.col("lang")), null(F.col("source")))
     pool = F.concat_ws("\t", F.lit("lang"), null(F.col("lang")))
@@ -185,9 +186,9 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def judge(stats: DataFrame, keys: DataFrame, estimate: DataFrame) -> DataFrame:
     """stats with distance2 and kept; the estimates have a row per group and are joined by their size."""
-    fitted = materialize(keys.join(estimate, "fit_key"), "quality-fitted")
-    out = features(stats).join(fitted, F.col("k_lang").eqNullSafe(F.col("lang")) & F.col("k_source").eqNullSafe(F.col("source")), "left")
-    d2 = distance2([F.col(f) for f in FEATURES], F.col("mean"), F.col("precision"))
+    fitted = materialize(keys.join(estimate, "fit_key"), "quality-fitted").select(F.struct("*").alias("__fit"))
+    out = stats.join(fitted, F.col("__fit.k_lang").eqNullSafe(stats["lang"]) & F.col("__fit.k_source").eqNullSafe(stats["source"]), "left")
+    d2 = distance2([c for c in feature_columns().values()], F.col("__fit.mean"), F.col("__fit.precision"))
     out = out.withColumn("distance2", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
     return out.select(*stats.columns, "distance2", "kept")
 

@@ -17,10 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, partitions
+from corvane.llm.common import lean, materialize, partitions
 from corvane.llm.wordhash import planes, unplanes
 
-SHARD_BYTES = 8 << 20
+#: Shards grow with the corpus: a shard should hold some hundred keys for each bucket.
+SHARD_BYTES = 4 << 20
 #: Bits of a key beside those of its bucket in a first, coarse exchange; what it passes is always checked again.
 COARSE_BITS = 30
 
@@ -52,6 +53,7 @@ class Shards:
     def __enter__(self) -> Shards:
         most = self.shard_bytes
 
+        @lean
         def run(batches):
             part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -103,7 +105,7 @@ class Keys:
         self.coarse = lo is None
         if self.coarse:
             hi = hi >> np.uint64(self.shift - COARSE_BITS)
-            order = np.argsort(hi, kind="stable")
+            order = np.argsort(hi)
             ranked = hi[order]
             new = np.ones(len(hi), bool)
             new[1:] = ranked[1:] != ranked[:-1]
@@ -159,7 +161,7 @@ def _answer(table: pa.Table) -> pa.Table:
     shards, bucket = table["shard"].to_pylist(), table["bucket"][0].as_py()
     read = [_read(x) for x in table["keys"].to_pylist()]
     hi, lo, flags = (np.concatenate(x) for x in zip(*read, strict=True))
-    order = np.lexsort((lo, hi)) if lo.any() else np.argsort(hi, kind="stable")
+    order = np.lexsort((lo, hi)) if lo.any() else np.argsort(hi)
     ranked, low = hi[order], lo[order]
     new = np.ones(len(hi), bool)
     new[1:] = (ranked[1:] != ranked[:-1]) | (low[1:] != low[:-1])

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import documents, extended, materialize
+from corvane.llm.common import documents, extended, lean, materialize
 from corvane.llm.shards import Keys, Shards, text_of, unpack_docs
 from corvane.llm.wordhash import Chunk, chunks
 
@@ -70,6 +70,7 @@ class _Windows:
 
 
 def _ask_anchors(width: int, buckets: int):
+    @lean
     def run(batches):
         for batch in batches:
             for shard, raw in zip(batch["shard"].to_pylist(), batch["docs"].to_pylist(), strict=True):
@@ -79,6 +80,7 @@ def _ask_anchors(width: int, buckets: int):
 
 
 def _ask_repeats(width: int, buckets: int):
+    @lean
     def run(batches):
         for batch in batches:
             for shard, raw, anchors in zip(batch["shard"].to_pylist(), batch["docs"].to_pylist(), batch["answer0"].to_pylist(), strict=True):
@@ -91,6 +93,7 @@ def _ask_repeats(width: int, buckets: int):
 
 
 def _apply(width: int, buckets: int, names: list[str], make):
+    @lean
     def run(batches):
         for batch in batches:
             columns = (batch[k].to_pylist() for k in ("docs", "answer0", "answer1"))

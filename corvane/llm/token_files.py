@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import encoder, map_ids, tokenizer_path
-from corvane.llm.common import documents, extended, materialize, partitions
+from corvane.llm.common import documents, extended, lean, materialize, partitions
 
 MAGIC, VERSION = b"CVRA", 1
 SCALE_BITS = 20
@@ -151,6 +151,7 @@ def crc_join(first: int, second: int, length: int) -> int:
 def count_ids(tokens: DataFrame, size: int, width: str) -> np.ndarray:
     """Occurrences of each id over all documents; the driver gets a row per id of the vocabulary at most."""
 
+    @lean
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
@@ -187,6 +188,7 @@ def write_blocks(docs: DataFrame, path: str | None = None, block_tokens: int = B
     materialize(spark.createDataFrame(rows, "id int, freq int"), "rans-table")
     tables = spark.sparkContext.broadcast(freq)
 
+    @lean
     def run(batches):
         table, shard = Tables(tables.value), TaskContext.get().partitionId()
         end = np.array([END_ID], width).tobytes()
@@ -228,6 +230,7 @@ def read_documents(blocks: DataFrame, tables: Tables) -> DataFrame:
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast(tables.freq.astype(np.int64))
 
+    @lean
     def run(batches):
         table = Tables(shared.value)
         for batch in batches:
