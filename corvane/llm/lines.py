@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corvane.llm.common import extended, materialize
+from corvane.llm.common import documents, extended, lean, materialize
 from corvane.llm.shards import Keys, Shards, text_of, unpack_docs
 from corvane.llm.wordhash import mix, planes, unplanes
 
@@ -121,6 +122,7 @@ class Runs:
 
 
 def _ask_names(min_words: int, buckets: int):
+    @lean
     def run(batches):
         for batch in batches:
             for shard, raw in zip(batch["shard"].to_pylist(), batch["docs"].to_pylist(), strict=True):
@@ -132,6 +134,7 @@ def _ask_names(min_words: int, buckets: int):
 def _ask_firsts(min_words: int, buckets: int):
     shift = _U(64 - (buckets - 1).bit_length())
 
+    @lean
     def run(batches):
         for batch in batches:
             for shard, raw, answer in zip(batch["shard"].to_pylist(), batch["docs"].to_pylist(), batch["answer0"].to_pylist(), strict=True):
@@ -167,6 +170,7 @@ def _first_of_all(table: pa.Table) -> pa.Table:
 def _apply(min_words: int, buckets: int, names: list[str]):
     shift = _U(64 - (buckets - 1).bit_length())
 
+    @lean
     def run(batches):
         for batch in batches:
             for raw, answer, found in zip(*(batch[k].to_pylist() for k in ("docs", "answer0", "answer1")), strict=True):
@@ -186,15 +190,15 @@ def _apply(min_words: int, buckets: int, names: list[str]):
                 text = docs.schema.field("text").type
                 at = docs.column_names.index("text")
                 docs = docs.set_column(at, docs.schema.field(at), pa.array(kept, pa.binary()).cast(text))
-                yield from pa.table([*docs.columns, pa.array(removed, pa.int64())], names=names).to_batches()
+                yield from pa.table([*docs.columns, pa.array(np.diff(r.first)), pa.array(removed, pa.int64())], names=names).to_batches()
 
     return run
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the lines that stay as text, and lines_removed."""
-    docs = docs.drop("lines_removed")
-    schema = extended(docs, lines_removed="long")
+    """docs with the lines that stay as text, n_lines (with words, before) and lines_removed."""
+    docs = docs.drop("n_lines", "lines_removed")
+    schema = extended(docs, n_lines="long", lines_removed="long")
     asked = "bucket int, shard long, keys binary"
     with Shards(docs) as shards:
         n = shards.buckets
@@ -202,3 +206,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         sent = shards.rows(names).mapInArrow(_ask_firsts(min_words, n), asked)
         firsts = materialize(sent.groupBy("bucket").applyInArrow(_first_of_all, "shard long, bucket int, bits binary"), "line-firsts")
         return materialize(shards.rows(names, firsts).mapInArrow(_apply(min_words, n, schema.names), schema), "lines-out")
+
+
+def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "lines_removed", F.sha2("text", 256).alias("kept_sha256"))
