@@ -128,13 +128,13 @@ def lane_compare(spark, sf_dir):
     return rows.groupBy("query_id", "doc_id").agg(*[F.min(F.when(F.col("lane") == n, F.col("rank"))).alias(n) for n in ("hybrid", "lexical", "dense", "exact")])
 
 
-@query(f"""WITH {LANES}, m AS (SELECT query_id % 4 AS chat, doc_id, min(rank) AS best, count(*) AS views, max(score) AS score FROM ranked WHERE query_id // 4 < 3 GROUP BY ALL)
+@query(f"""WITH {LANES}, m AS (SELECT query_id // 3 AS chat, doc_id, min(rank) AS best, count(*) AS views FROM ranked GROUP BY ALL)
 SELECT chat::BIGINT AS chat, doc_id, best, views, 'R' || (chat + 1)::BIGINT || '-E' || row_number() OVER (PARTITION BY chat ORDER BY views DESC, best, doc_id) AS label FROM m""")
 def multi_view_merge(spark, sf_dir):
-    """Questions of one chat are views of one need: up to three searches each, merged by document."""
+    """Three questions are one chat, views of one need: their searches are merged by document."""
     from pyspark.sql import Window
 
-    rows = hits(spark, sf_dir).filter(F.expr("query_id div 4") < 3).withColumn("chat", F.col("query_id") % 4)
+    rows = hits(spark, sf_dir).withColumn("chat", F.expr("query_id div 3"))
     m = rows.groupBy("chat", "doc_id").agg(F.min("rank").alias("best"), F.count("*").alias("views"))
     w = Window.partitionBy("chat").orderBy(F.col("views").desc(), "best", "doc_id")
     return m.withColumn("label", F.concat(F.lit("R"), (F.col("chat") + 1).cast("string"), F.lit("-E"), F.row_number().over(w).cast("string")))

@@ -11,12 +11,12 @@ from corvane.sources.tables import table
 
 
 @query("""WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age, max(ts) OVER (PARTITION BY user_id) AS now FROM events WHERE event_type = 'click')
-SELECT user_id, event_id, age <= 2 AS held, age <= 2 AND ts > now - INTERVAL 6 HOUR AS live FROM r WHERE age <= 4""")
+SELECT user_id, event_id, age <= 2 AS held, age <= 2 AND ts > now - INTERVAL 6 HOUR AS live FROM r""")
 def token_registry_batch(spark, sf_dir):
     """Result tokens of each user: the two latest are held, and live for six hours."""
     w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     e = table(spark, sf_dir, "events").filter("event_type = 'click'").select("user_id", "event_id", "ts", F.row_number().over(w).alias("age"), F.max("ts").over(Window.partitionBy("user_id")).alias("now"))
-    return e.filter("age <= 4").select("user_id", "event_id", (F.col("age") <= 2).alias("held"), ((F.col("age") <= 2) & (F.col("ts") > F.col("now") - F.expr("INTERVAL 6 HOURS"))).alias("live"))
+    return e.select("user_id", "event_id", (F.col("age") <= 2).alias("held"), ((F.col("age") <= 2) & (F.col("ts") > F.col("now") - F.expr("INTERVAL 6 HOURS"))).alias("live"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS starts FROM events),
