@@ -24,7 +24,7 @@ def ranks(key: np.ndarray, memory: int = MEMORY) -> np.ndarray:
     """Dense ranks of int64 keys; equal keys share one."""
     n = len(key)
     if n <= memory:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         step = np.empty(n, np.int64)
         if n:
@@ -37,7 +37,7 @@ def ranks(key: np.ndarray, memory: int = MEMORY) -> np.ndarray:
         runs, sample = [], []
         for k, start in enumerate(range(0, n, memory)):
             part = np.asarray(key[start : start + memory])
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part)
             keys = np.memmap(f"{d}/k{k}", np.int64, "w+", shape=(len(part),))
             items = np.memmap(f"{d}/i{k}", np.int64, "w+", shape=(len(part),))
             keys[:], items[:] = part[order], order + start
@@ -50,7 +50,7 @@ def ranks(key: np.ndarray, memory: int = MEMORY) -> np.ndarray:
             ends = [len(k) if rim is None else int(np.searchsorted(k, rim)) for k, _ in runs]
             keys = np.concatenate([k[a:b] for (k, _), a, b in zip(runs, at, ends, strict=True)])
             items = np.concatenate([i[a:b] for (_, i), a, b in zip(runs, at, ends, strict=True)])
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             ranked = keys[order]
             if len(ranked):
                 step = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
@@ -62,7 +62,7 @@ def ranks(key: np.ndarray, memory: int = MEMORY) -> np.ndarray:
 
 def _generations(text, first, depth, seed_rank, own: int, memory: int) -> np.ndarray:
     """Dense ranks of the suffixes ``first``, all of type ``own`` (0 for L, 1 for S), whose seeds are ``depth`` places on."""
-    order = np.argsort(-depth, kind="stable")
+    order = np.argsort(-depth)
     start, far = first[order], depth[order]
     most = int(far[0]) if len(far) else 0
     alive = np.searchsorted(-far, -np.arange(most + 1), side="right")  # how many reach at least that far

@@ -1,11 +1,13 @@
 """Operator 8: removal of byte strings of WIDTH bytes that occur again, by suffix sorting with external induction.
 
-Texts are cut into pieces so that equal strings meet in one suffix sort: every window of WIDTH bytes belongs to the
+Texts are cut into pieces so that equal strings meet in one suffix sort. Every window of WIDTH bytes belongs to the
 smallest of its GRAM-byte strings (by a hash of their first bytes; leftmost of equal ones), so equal windows belong to equal
-grams at equal offsets. Only grams that occur twice in the corpus matter (first exchange). A piece is the consecutive
-windows of one gram; equal pieces are sent once for each shard and sorted once, with a weight. The pieces of a bucket are one text
-for ``induction.suffix_ranks``; neighbours in its order are compared up to WIDTH bytes, and windows that equal a neighbour,
-or whose piece has a weight over 1, go. Answers are bits for each window and return to the shards.
+grams at equal offsets; only grams that occur twice in the corpus matter (first exchange). A piece is the consecutive
+windows of one gram whose offsets fall into one range of SPAN: they all hold the same core of WIDTH - SPAN + 1
+bytes, and only pieces whose core occurs twice matter (second exchange). Those are sent to the bucket of their core, equal pieces
+once for each shard, with a weight. The pieces of a bucket are one text for ``induction.suffix_ranks``; neighbours in
+its order are compared up to WIDTH bytes, and windows that equal a neighbour, or whose piece has a weight over 1, go.
+Answers are bits for each window and return to the shards. Pieces of one core over SORT_BYTES are cut by longer cores.
 
 Null text is empty; texts under WIDTH bytes lose nothing; repeated rows are repeats of each other; an empty table gives no
 rows; matches never cross documents.
@@ -17,22 +19,28 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import documents, extended, materialize
+from corvane.llm.common import documents, extended, lean, materialize
 from corvane.llm.induction import suffix_ranks
 from corvane.llm.shards import Keys, Shards, text_of, unpack_docs
 from corvane.llm.wordhash import chunks, mix
 
 WIDTH, GRAM = 400, 96
 SEGMENT = 1 << 25
-#: Bytes of pieces in one suffix sort; the pieces of one gram stay together, whatever their size.
-SORT_BYTES = 1 << 23
+SPAN = 102
+#: Bytes of pieces in one suffix sort, about.
+SORT_BYTES = 1 << 19
 _U = np.uint64
 _PLACE = 26  # bits of a place in a segment group
 
 
+def span_of(width: int) -> int:
+    return min(SPAN, width // 4 + 2)
+
+
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     """Minimum of v[i:i + width] for every i that has width values."""
     n = len(v)
@@ -46,12 +54,12 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 class Pieces:
-    """Of some texts: piece k has the windows from low[k] to high[k] of ``raw`` and the gram hash key[k]."""
+    """Of some texts: gram k, at[k] in ``raw`` with hash key[k], owns the windows from low[k] to high[k]."""
 
     def __init__(self, texts: list[bytes], width: int, gram: int):
         self.raw = raw = b"".join(texts)
         n, none = len(raw), np.zeros(0, np.int64)
-        self.low, self.high, self.key = none, none, np.zeros(0, _U)
+        self.low, self.high, self.at, self.key = none, none, none, np.zeros(0, _U)
         if n < width:
             return
         padded = raw + bytes(8)
@@ -69,7 +77,7 @@ class Pieces:
         high = np.concatenate([rim, [len(owner)]]) - 1
         real = owner[low] >= 0
         self.low, self.high = low[real], high[real]
-        at = owner[self.low]
+        self.at = at = owner[self.low]
         h = np.zeros(len(at), _U)
         for k in range(0, gram, 8):
             h = mix(h * _U(0x9E3779B97F4A7C15) + eight[at + k])
@@ -102,19 +110,31 @@ class Texts:
     def anchors(self, buckets: int) -> Keys:
         return Keys(self.key, None, np.ones(len(self.key), bool), buckets)
 
+    def cores(self, yes: np.ndarray, buckets: int) -> Keys:
+        """Keys of the cores of all pieces of the wanted grams, whose place is kept in ``pieces``."""
+        self.pieces, core = [], []
+        width, span, n = self.width, span_of(self.width), 0
+        for p, move in self.groups:
+            some = np.flatnonzero(yes[n : n + len(p.key)])
+            n += len(p.key)
+            for at, low, high, shift in zip(p.at[some].tolist(), p.low[some].tolist(), p.high[some].tolist(), move[some].tolist(), strict=True):
+                for q in range((at - high) // span, (at - low) // span + 1):
+                    a, b, c = max(low, at - (q + 1) * span + 1), min(high, at - q * span), at - q * span
+                    core.append(xxhash.xxh3_64_intdigest(p.raw[c : c + width - span + 1], q))
+                    self.pieces.append((p.raw, a, b + width, shift, at - a))
+        self.core = np.array(core, _U)
+        return Keys(self.core, None, np.ones(len(core), bool), buckets)
+
     def wanted(self, yes: np.ndarray, buckets: int):
-        """Unique wanted pieces by bucket, key and content: {bucket: [(key, content, [where each begins among all bytes])]}."""
+        """Unique wanted pieces by bucket: {bucket: [(core, content, offset of the gram, [where each begins among all bytes])]}."""
         shift = 64 - (buckets - 1).bit_length()
-        found: dict[tuple[int, bytes], list[int]] = {}
-        at = 0
-        for p, move in self.groups:
-            for k in np.flatnonzero(yes[at : at + len(p.key)]).tolist():
-                low = int(p.low[k])
-                found.setdefault((int(p.key[k]), p.raw[low : int(p.high[k]) + self.width]), []).append(low + int(move[k]))
-            at += len(p.key)
+        found: dict[tuple[int, bytes, int], list[int]] = {}
+        for k in np.flatnonzero(yes).tolist():
+            raw, a, b, move, offset = self.pieces[k]
+            found.setdefault((int(self.core[k]), raw[a:b], offset), []).append(a + move)
         out: dict[int, list] = {}
-        for (key, content), places in sorted(found.items()):
-            out.setdefault(key >> shift, []).append((key, content, places))
+        for (core, content, offset), places in sorted(found.items()):
+            out.setdefault(core >> shift, []).append((core, content, offset, places))
         return out
 
     def covered(self, starts: np.ndarray) -> np.ndarray:
@@ -125,20 +145,20 @@ class Texts:
 
 
 def pack(pieces: list) -> bytes:
-    head = np.array([len(pieces)], "<u4").tobytes()
-    keys = np.array([k for k, _, _ in pieces], "<u8").tobytes()
-    sizes = np.array([len(c) for _, c, _ in pieces], "<u4").tobytes()
-    twice = np.array([len(p) > 1 for _, _, p in pieces], np.uint8).tobytes()
-    return zstandard.ZstdCompressor(3).compress(head + keys + sizes + twice + b"".join(c for _, c, _ in pieces))
+    n = np.array([len(pieces)], "<u4").tobytes()
+    cores, contents, offsets, places = zip(*pieces, strict=True)
+    head = [np.array(cores, "<u8"), np.array([len(c) for c in contents], "<u4"), np.array(offsets, "<u2"), np.array([len(p) > 1 for p in places], np.uint8)]
+    return zstandard.ZstdCompressor(3).compress(n + b"".join(x.tobytes() for x in head) + b"".join(contents))
 
 
 def unpack(raw: bytes):
+    """[(core, content, offset, weight)]"""
     raw = zstandard.ZstdDecompressor().decompress(raw)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
-    keys, sizes, twice = np.frombuffer(raw, "<u8", n, 4), np.frombuffer(raw, "<u4", n, 4 + 8 * n).astype(np.int64), np.frombuffer(raw, np.uint8, n, 4 + 12 * n)
-    at = 4 + 13 * n
-    ends = at + np.cumsum(sizes)
-    return [(int(k), raw[e - s : e], int(t) + 1) for k, e, s, t in zip(keys, ends.tolist(), sizes.tolist(), twice, strict=True)]
+    cores, sizes = np.frombuffer(raw, "<u8", n, 4), np.frombuffer(raw, "<u4", n, 4 + 8 * n).astype(np.int64)
+    offsets, twice = np.frombuffer(raw, "<u2", n, 4 + 12 * n), np.frombuffer(raw, np.uint8, n, 4 + 14 * n)
+    ends = 4 + 15 * n + np.cumsum(sizes)
+    return [(k, raw[e - s : e], o, t + 1) for k, e, s, o, t in zip(cores.tolist(), ends.tolist(), sizes.tolist(), offsets.tolist(), twice.tolist(), strict=True)]
 
 
 def repeated_windows(pieces: list[bytes], width: int) -> list[np.ndarray]:
@@ -166,38 +186,70 @@ def repeated_windows(pieces: list[bytes], width: int) -> list[np.ndarray]:
     return [hit[f : f + s - width + 1] for f, s in zip(first, sizes, strict=True)]
 
 
+def group_windows(group: list[tuple[bytes, int]], width: int, span: int, out: dict) -> list:
+    """Jobs for suffix sorts of one core's pieces (content, offset): [(pieces, where their windows go in ``out``)].
+
+    A group over SORT_BYTES is cut by the cores of shorter ranges, at last by whole windows, which are equal as they stand."""
+    if sum(len(c) for c, _ in group) <= SORT_BYTES:
+        return [[(c, out[c, o], 0) for c, o in group]]
+    span = max(1, span // 8)
+    cut: dict[tuple[int, bytes], dict] = {}
+    for c, o in group:
+        for q in range((o - (len(c) - width)) // span, o // span + 1):
+            a, b, at = max(0, o - (q + 1) * span + 1), min(len(c) - width, o - q * span), o - q * span
+            cut.setdefault((q, c[at : at + width - span + 1]), {}).setdefault((c[a : b + width], o - a), []).append((out[c, o], a))
+    jobs = []
+    for parts in cut.values():
+        inner = {k: np.zeros(len(k[0]) - width + 1, bool) for k in parts}
+        if len(parts) > 1:
+            for job in group_windows(list(parts), width, span, inner):
+                _run([job], width)
+        for k, places in parts.items():
+            for flags, a in places:
+                flags[a : a + len(inner[k])] |= inner[k] | (len(places) > 1)
+    return jobs
+
+
+def _run(jobs: list, width: int) -> None:
+    """One suffix sort of several jobs' pieces; equal windows of different jobs have different cores, so none are."""
+    pieces = [x for job in jobs for x in job]
+    for (_, flags, a), found in zip(pieces, repeated_windows([c for c, _, _ in pieces], width), strict=True):
+        flags[a : a + len(found)] |= found
+
+
 def _sort(width: int):
     """All shards' pieces of a bucket -> a bit for each window, in the order in which each shard sent its pieces."""
 
     def run(table: pa.Table) -> pa.Table:
         shards, bucket = table["shard"].to_pylist(), table["bucket"][0].as_py()
         sent = [unpack(x) for x in table["keys"].to_pylist()]
-        weight: dict[tuple[int, bytes], int] = {}
+        weight: dict[tuple[int, bytes, int], int] = {}
         for pieces in sent:
-            for k, c, t in pieces:
-                weight[k, c] = weight.get((k, c), 0) + t
-        by_key: dict[int, list[bytes]] = {}
-        for k, c in weight:
-            by_key.setdefault(k, []).append(c)
-        hits: dict[tuple[int, bytes], np.ndarray] = {}
-        batch, size = [], 0
-        groups = [[(k, c) for c in cs] for k, cs in sorted(by_key.items()) if len(cs) > 1]
-        for n, group in enumerate(groups, 1):
-            batch += group
-            size += sum(len(c) for _, c in group)
-            if size >= SORT_BYTES or n == len(groups):
-                hits.update(zip(batch, repeated_windows([c for _, c in batch], width), strict=True))
-                batch, size = [], 0
-        bits = []
-        for pieces in sent:
-            flags = [np.ones(len(c) - width + 1, bool) if weight[k, c] > 1 else hits.get((k, c), np.zeros(len(c) - width + 1, bool)) for k, c, _ in pieces]
-            bits.append(np.packbits(np.concatenate(flags)).tobytes())
+            for core, c, o, t in pieces:
+                weight[core, c, o] = weight.get((core, c, o), 0) + t
+        groups: dict[int, list] = {}
+        for core, c, o in weight:
+            groups.setdefault(core, []).append((c, o))
+        flags = {k: np.full(len(k[1]) - width + 1, n > 1) for k, n in weight.items()}
+        jobs, size = [], 0
+        for core, group in sorted(groups.items()):
+            if len(group) > 1:
+                for job in group_windows(group, width, span_of(width), {(c, o): flags[core, c, o] for c, o in group}):
+                    jobs.append(job)
+                    size += sum(len(c) for c, _, _ in job)
+                    if size >= SORT_BYTES:
+                        _run(jobs, width)
+                        jobs, size = [], 0
+        if jobs:
+            _run(jobs, width)
+        bits = [np.packbits(np.concatenate([flags[core, c, o] for core, c, o, _ in pieces])).tobytes() for pieces in sent]
         return pa.table({"shard": pa.array(shards, pa.int64()), "bucket": pa.array([bucket] * len(shards), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
     return run
 
 
 def _ask_anchors(width: int, gram: int, buckets: int):
+    @lean
     def run(batches):
         for batch in batches:
             for shard, raw in zip(batch["shard"].to_pylist(), batch["docs"].to_pylist(), strict=True):
@@ -206,12 +258,28 @@ def _ask_anchors(width: int, gram: int, buckets: int):
     return run
 
 
-def _send_pieces(width: int, gram: int, buckets: int):
+def _ask_cores(width: int, gram: int, buckets: int):
+    @lean
     def run(batches):
         for batch in batches:
-            for shard, raw, answer in zip(batch["shard"].to_pylist(), batch["docs"].to_pylist(), batch["answer0"].to_pylist(), strict=True):
+            for shard, raw, grams in zip(batch["shard"].to_pylist(), batch["docs"].to_pylist(), batch["answer0"].to_pylist(), strict=True):
                 t = Texts(text_of(unpack_docs(raw)), width, gram)
-                wanted = t.wanted(t.anchors(buckets).answered(answer), buckets)
+                yield t.cores(t.anchors(buckets).answered(grams), buckets).rows(shard, buckets)
+
+    return run
+
+
+def _wanted(texts: list[bytes | None], grams, cores, width: int, gram: int, buckets: int):
+    t = Texts(texts, width, gram)
+    return t, t.wanted(t.cores(t.anchors(buckets).answered(grams), buckets).answered(cores), buckets)
+
+
+def _send_pieces(width: int, gram: int, buckets: int):
+    @lean
+    def run(batches):
+        for batch in batches:
+            for shard, raw, grams, cores in zip(batch["shard"].to_pylist(), *(batch[k].to_pylist() for k in ("docs", "answer0", "answer1")), strict=True):
+                _, wanted = _wanted(text_of(unpack_docs(raw)), grams, cores, width, gram, buckets)
                 if wanted:
                     yield pa.RecordBatch.from_arrays([pa.array(list(wanted), pa.int32()), pa.array([shard] * len(wanted), pa.int64()), pa.array([pack(x) for x in wanted.values()], pa.binary())], names=["bucket", "shard", "keys"])
 
@@ -219,20 +287,20 @@ def _send_pieces(width: int, gram: int, buckets: int):
 
 
 def _apply(width: int, gram: int, buckets: int, names: list[str], make):
+    @lean
     def run(batches):
         for batch in batches:
-            for raw, answer, found in zip(*(batch[k].to_pylist() for k in ("docs", "answer0", "answer1")), strict=True):
+            for raw, grams, cores, found in zip(*(batch[k].to_pylist() for k in ("docs", "answer0", "answer1", "answer2")), strict=True):
                 docs = unpack_docs(raw)
                 texts = text_of(docs)
-                t = Texts(texts, width, gram)
-                wanted = t.wanted(t.anchors(buckets).answered(answer), buckets)
+                t, wanted = _wanted(texts, grams, cores, width, gram, buckets)
                 starts = [np.zeros(0, np.int64)]
                 for x in found or ():
                     pieces = wanted[x["bucket"]]
-                    sizes = [len(c) - width + 1 for _, c, _ in pieces]
+                    sizes = [len(c) - width + 1 for _, c, _, _ in pieces]
                     flags = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=sum(sizes)).astype(bool)
                     at = 0
-                    for (_, _, places), n in zip(pieces, sizes, strict=True):
+                    for (_, _, _, places), n in zip(pieces, sizes, strict=True):
                         hit = np.flatnonzero(flags[at : at + n])
                         starts += [hit + p for p in places] if len(hit) else []
                         at += n
@@ -257,9 +325,10 @@ def _remove(docs: DataFrame, width: int, gram: int, added: dict[str, str], make,
     with Shards(docs) as shards:
         n = shards.buckets
         anchors = shards.exchange(shards.rows().mapInArrow(_ask_anchors(width, gram, n), asked), "anchors")
-        pieces = shards.rows(anchors).mapInArrow(_send_pieces(width, gram, n), asked)
+        cores = shards.exchange(shards.rows(anchors).mapInArrow(_ask_cores(width, gram, n), asked), "cores")
+        pieces = shards.rows(anchors, cores).mapInArrow(_send_pieces(width, gram, n), asked)
         found = materialize(pieces.groupBy("bucket").applyInArrow(_sort(width), "shard long, bucket int, bits binary"), "suffixes")
-        out = shards.rows(anchors, found).mapInArrow(_apply(width, gram, n, schema.names, make), schema)
+        out = shards.rows(anchors, cores, found).mapInArrow(_apply(width, gram, n, schema.names, make), schema)
         return materialize(out.drop(*drop), "suffix-out")
 
 
