@@ -12,6 +12,7 @@ and joined per document. Null text is the empty text: no ids, and it decodes to
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from array import array
 from itertools import chain, islice
@@ -26,14 +27,15 @@ from corvane.llm.common import documents, extended, lean
 LONG_WORD = 4096
 LEAF_CHARS = 128
 PART_CHARS = 1 << 18
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 192 << 20
 END = "</w>"
-#: Letters below are single code points in composed and in lower-case form, in every version of Unicode.
-LATIN = "\u0180"
+#: ASCII letters and the bytes of U+00C0 to U+017F: letters there are single code points in composed and in lower-case form, in
+#: every version of Unicode.
+LATIN = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
 #: A run of these is one pre-token, whatever it follows.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that a worker remembers from task to task; more go when a task ends.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 500_000
 
 
 def tokenizer_path() -> str:
@@ -105,7 +107,11 @@ class Encoder:
         if self.cache.held > CACHE_BYTES:
             self.forget()
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, (x or b"").split())), self.type) for x in texts]
+        gc.disable()  # millions of small objects, none in a cycle
+        try:
+            return [np.frombuffer(b"".join(map(get, (x or b"").split())), self.type) for x in texts]
+        finally:
+            gc.enable()
 
     def forget(self) -> None:
         """Keeps the words learnt first, which are the frequent ones."""
@@ -123,10 +129,13 @@ class Encoder:
         core = raw.rstrip(MARKS)
         tail = self.tails[raw[len(core) :]] if len(core) < len(raw) else b""
         if core.isalpha():  # of bytes: A-Z and a-z only
-            return array(self.code, [t.id for t in self.model.tokenize(core.lower().decode())]).tobytes() + tail
-        text = core.decode("utf-8", "replace")
+            small = core.lower()
+            if small != raw:  # its ids may be known, and are from now on
+                return self.cache[small] + tail
+            return array(self.code, [t.id for t in self.model.tokenize(small.decode())]).tobytes()
+        text = "" if core.translate(None, LATIN) else core.decode("utf-8", "replace")
         small = text.lower()
-        if small.isalpha() and len(small) == len(text) and max(text) < LATIN:
+        if small.isalpha() and len(small) == len(text):
             return array(self.code, [t.id for t in self.model.tokenize(small.encode().decode("latin-1").translate(self.byte_letters))]).tobytes() + tail
         return self.pack(self.lib.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids)
 

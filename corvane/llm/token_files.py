@@ -18,12 +18,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.bpe import encoder, map_ids, tokenizer_path
-from corvane.llm.common import documents, extended, lean, materialize, partitions
+from corvane.llm.bpe import as_bytes, encoder, slices, tokenizer_path
+from corvane.llm.common import documents, lean, materialize, partitions
 
 MAGIC, VERSION = b"CVRA", 1
 SCALE_BITS = 20
@@ -148,19 +149,43 @@ def crc_join(first: int, second: int, length: int) -> int:
     return times(power, first) ^ second
 
 
-def count_ids(tokens: DataFrame, size: int, width: str) -> np.ndarray:
-    """Occurrences of each id over all documents; the driver gets a row per id of the vocabulary at most."""
+def tokenise(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, tie, packed) for each document, and for each task a row with counts (id, occurrences) instead: one pass over
+    the texts gives both."""
+    coder = encoder(path)
+    size, width = coder.size, np.dtype(coder.type).str
 
     @lean
     def run(batches):
-        total = np.zeros(size, np.int64)
+        coder, total = encoder(path), np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width), minlength=size)
-            total[END_ID] += batch.num_rows
+            texts = as_bytes(batch.column(1))
+            for a, b in slices(texts):
+                ids = coder.encode_batch(texts[a:b])
+                total += np.bincount(np.concatenate(ids), minlength=size)
+                total[END_ID] += b - a
+                packed = [x.tobytes() for x in ids]
+                tie = pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in packed])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), tie, pa.array(packed, pa.binary()), pa.nulls(b - a, pa.binary())], names=["doc_id", "tie", "packed", "counts"])
+        coder.forget()
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.stack([used, total[used]]).tobytes()], pa.binary())], names=["doc_id", "tie", "packed", "counts"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tie long, packed binary, counts binary")
+
+
+def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
+    """Occurrences of each id over all documents; the driver gets a row per id of the vocabulary at most."""
 
-    rows = tokens.select("packed").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    @lean
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                ids, n = np.frombuffer(raw, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
+
+    rows = tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(size, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -176,14 +201,8 @@ def write_blocks(docs: DataFrame, path: str | None = None, block_tokens: int = B
     spark = docs.sparkSession
     coder = encoder(path)
     size, width = coder.size, np.dtype(coder.type).str
-    docs = docs.select("doc_id", "text")
-
-    def pack(_, ids):
-        return [pa.array([x.tobytes() for x in ids], pa.binary())]
-
-    packed = map_ids(docs, extended(docs, packed="binary"), pack, path).drop("text")
-    tokens = materialize(packed, "ids")
-    freq = scaled(count_ids(tokens, size, width))
+    tokens = materialize(tokenise(docs, path), "ids")
+    freq = scaled(count_ids(tokens, size))
     rows = [(i, int(f)) for i, f in enumerate(freq) if f]
     materialize(spark.createDataFrame(rows, "id int, freq int"), "rans-table")
     tables = spark.sparkContext.broadcast(freq)
@@ -220,8 +239,8 @@ def write_blocks(docs: DataFrame, path: str | None = None, block_tokens: int = B
         if have:
             yield flush()
 
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("packed").asc()]
-    ranged = tokens.repartitionByRange(max(2, partitions(spark)), *order).sortWithinPartitions(*order, F.col("packed"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie").asc()]
+    ranged = tokens.filter("counts IS NULL").select("doc_id", "tie", "packed").repartitionByRange(max(2, partitions(spark)), *order).sortWithinPartitions(*order, F.col("packed"))
     return materialize(ranged.select("doc_id", "packed").mapInArrow(run, _BLOCK), "blocks", "uncompressed"), Tables(freq)
 
 
