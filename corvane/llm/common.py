@@ -24,7 +24,19 @@ def work_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="corvane-")
         atexit.register(shutil.rmtree, root, True)
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the steps that this driver has written so far; call it when the results that read them are written."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

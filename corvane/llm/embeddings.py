@@ -8,8 +8,7 @@ for each list, never pairs; lists over BLOCK vectors are cut into pairs of block
 square root of the number of vectors, so that lists keep their length.
 
 Equal vectors are one class with a weight. Null vectors, zero vectors and those with null or non-finite components link with
-nothing and are their own component; vectors of another length than the most frequent meet only each other, exactly
-compared. A null vec_id never is the smallest. An empty table gives no rows.
+nothing and are their own component; vectors meet those of their own length alone, in an index for each. A null vec_id never is the smallest. An empty table gives no rows.
 """
 
 from __future__ import annotations

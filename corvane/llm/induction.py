@@ -1,4 +1,4 @@
-"""Suffix sorting by recursive induced sorting, in batches, on disk where memory ends.
+"""Suffix sorting by recursive induced sorting, in batches, on disk where memory ends, with common prefixes carried along.
 
 Suffixes are L or S as their first unequal neighbour is smaller or larger. Those that begin a run of S (LMS) seed the order:
 an L suffix is decided by its first symbols down to the next LMS suffix, an S suffix by those up to the next L
@@ -7,6 +7,11 @@ suffix. Where the textbook takes one suffix after another from a priority queue,
 LMS substrings get their names from an induction whose seeds are known by one symbol only; if names repeat,
 the string of names, at most half as long, is sorted by recursion, and its ranks seed the last induction.
 
+That last induction carries the common prefix of each suffix with the one before it: two neighbours with one symbol and type
+share one symbol more than the suffixes after them, whose common prefix is the least on the way between their ranks in the generation
+before; neighbours of two types share the shorter of their runs of that symbol. Seeds bring theirs from the recursion, where
+equal names stand for whole substrings.
+
 ``ranks`` is the queue: it gives dense ranks to a batch of tuples. Up to ``memory`` tuples it sorts in memory, beyond it
 writes sorted runs into temporary files and merges them range by range, so a batch may be far larger than memory.
 """
@@ -60,63 +65,160 @@ def ranks(key: np.ndarray, memory: int = MEMORY) -> np.ndarray:
         return out
 
 
-def _generations(text, first, depth, seed_rank, own: int, memory: int) -> np.ndarray:
-    """Dense ranks of the suffixes ``first``, all of type ``own`` (0 for L, 1 for S), whose seeds are ``depth`` places on."""
+class Least:
+    """Minimum of values[a + 1 : b + 1] for arrays a < b, by a table of the minima of 1, 2, 4, ... values."""
+
+    def __init__(self, values: np.ndarray, cap: int):
+        n = len(values)
+        levels = max(1, n.bit_length())
+        self.table = np.empty(n * levels, np.uint16 if cap < 1 << 16 else np.int32)
+        self.values, self.stride = self.table[:n], n
+        self.values[:] = values
+        for j in range(1, levels):
+            last, step = self.table[(j - 1) * n : j * n], 1 << (j - 1)
+            np.minimum(last[: n - step], last[step:], out=self.table[j * n : (j + 1) * n - step])
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        level = np.frexp((b - a).astype(np.float64))[1].astype(np.int64) - 1
+        row = level * self.stride + 1
+        return np.minimum(self.table[row + a], self.table[row + b - (1 << level)]).astype(np.int32)
+
+
+class Text:
+    """What a text's inductions share."""
+
+    def __init__(self, text: np.ndarray, cap: int):
+        n = self.n = len(text)
+        self.text, self.cap = text, cap
+        differ = _next(np.append(text[:-1] != text[1:], False))
+        self.small = np.ones(n, bool)
+        self.small[:-1] = text[differ[:-1]] < text[differ[:-1] + 1]
+        self.run = np.minimum(differ + 1 - np.arange(n), cap).astype(np.int32)  # of equal symbols from here on
+        self.run[-1] = 1
+        self.lms = np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1
+
+
+def _next(flags: np.ndarray) -> np.ndarray:
+    """The first place from each on where flags holds; len(flags) if none."""
+    at = np.where(flags, np.arange(len(flags)), len(flags))
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def _neighbours(t: Text, at: np.ndarray, own: np.ndarray, now: np.ndarray, seed: np.ndarray, inner: Least | None, outer: Least) -> np.ndarray:
+    """Common prefixes of suffixes ``at``, in order, each with the one before: ``now`` are ranks of the next suffixes of those of the
+    generation's own type, ``seed`` ranks of the others."""
+    out = np.zeros(len(at), np.int32)
+    same = np.flatnonzero(t.text[at[1:]] == t.text[at[:-1]]) + 1
+    a, b = own[same - 1], own[same]
+    k = same[a != b]
+    out[k] = np.minimum(t.run[at[k - 1]], t.run[at[k]])
+    k = same[~a & ~b]
+    if len(k):
+        out[k] = outer.between(seed[k - 1], seed[k])
+    k = same[a & b]
+    if len(k):
+        out[k] = np.minimum(t.cap, 1 + inner.between(now[k - 1], now[k]))
+    return out
+
+
+def _generations(t: Text, first, depth, seed_rank, own: int, memory: int, seeds: Least | None = None):
+    """Ranks of the suffixes ``first``, all of type ``own`` (0 for L, 1 for S), whose seeds are ``depth`` places on; with the
+    seeds' common prefixes also those of the ranked suffixes."""
     order = np.argsort(-depth)
     start, far = first[order], depth[order]
     most = int(far[0]) if len(far) else 0
     alive = np.searchsorted(-far, -np.arange(most + 1), side="right")  # how many reach at least that far
-    now = np.zeros(0, np.int64)
+    now, inner = np.zeros(0, np.int64), None
     for j in range(most, -1, -1):
         n, old = int(alive[j]), len(now)
         at = start[:n] + j
-        key = (text[at] * 2 + own) << 31
+        if j == 0:
+            n = old
+            at = at[:n]
+        key = (t.text[at] * 2 + own) << 31
         key[:old] |= now
-        if j and n > old:  # those whose seed is here
-            key[old:] = ((text[at[old:]] * 2 + 1 - own) << 31) | seed_rank[at[old:]]
-        now = ranks(key, memory)
+        if n > old:  # those whose seed is here
+            key[old:] = ((t.text[at[old:]] * 2 + 1 - own) << 31) | seed_rank[at[old:]]
+        found = ranks(key, memory)
+        if seeds is not None:
+            place = np.empty(n, np.int64)
+            place[found] = np.arange(n)  # ranks are distinct here
+            ranked, mine = at[place], place < old
+            before = np.where(mine, now[np.minimum(place, max(old - 1, 0))], 0) if old else np.zeros(n, np.int64)
+            common = _neighbours(t, ranked, mine, before, seed_rank[ranked], inner, seeds)
+            inner = Least(common, t.cap)
+        now = found
     out = np.empty(len(first), np.int64)
     out[order] = now
+    return (out, inner) if seeds is not None else out
+
+
+def _induce(t: Text, lms_rank, memory: int, seeds: Least | None = None):
+    """Ranks of all L suffixes and of all S suffixes but the end mark, by place, from ranks of the LMS suffixes by place."""
+    large, rest = np.flatnonzero(~t.small), np.flatnonzero(t.small[:-1])
+    rank, s_rank = np.zeros(t.n, np.int64), np.zeros(t.n, np.int64)
+    found = _generations(t, large, _next(t.small)[large] - large, lms_rank, 0, memory, seeds)
+    found, l_common = found if seeds is not None else (found, None)
+    rank[large] = found
+    found = _generations(t, rest, _next(~t.small)[rest] - rest, rank, 1, memory, l_common if seeds is not None else None)
+    found, s_common = found if seeds is not None else (found, None)
+    s_rank[rest] = found + 1
+    return rank, s_rank, l_common, s_common
+
+
+def _compare(t: Text, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Common prefixes of suffixes a and b that are known to share ``start`` symbols."""
+    out = np.minimum(start, t.cap)
+    alive = np.flatnonzero(out < t.cap)
+    while len(alive):
+        same = t.text[a[alive] + out[alive]] == t.text[b[alive] + out[alive]]  # the end mark differs from all
+        alive = alive[same]
+        out[alive] += 1
+        alive = alive[out[alive] < t.cap]
     return out
 
 
-def _next(flags: np.ndarray) -> np.ndarray:
-    """The first place from each on where flags holds; len(flags) if none."""
-    at = np.where(flags, np.arange(len(flags)), len(flags))
-    return np.minimum.accumulate(at[::-1])[::-1]
-
-
-def _induce(text, small, lms_rank, memory):
-    """(ranks of L suffixes, ranks of S suffixes) by place, from ranks of the LMS suffixes by place; the end mark has none."""
-    n = len(text)
-    large = np.flatnonzero(~small)
-    rank = np.zeros(n, np.int64)
-    rank[large] = _generations(text, large, _next(small)[large] - large, lms_rank, 0, memory)
-    rest = np.flatnonzero(small[:-1])
-    s_rank = np.zeros(n, np.int64)
-    s_rank[rest] = _generations(text, rest, _next(~small)[rest] - rest, rank, 1, memory) + 1
-    return rank, s_rank
-
+def suffix_order(text: np.ndarray, cap: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """(the place of every suffix in the order of all, for every place the symbols shared with the suffix before, up to cap).
 
-def suffix_ranks(text: np.ndarray, memory: int = MEMORY) -> np.ndarray:
-    """The place of every suffix in the order of all; text: int64, not negative, its last symbol the only 0."""
+    text: int64, not negative, its last symbol the only 0."""
     n = len(text)
     if n >= 1 << 29:
         raise ValueError("a text of 2**29 symbols or more must be cut into several")
     if n == 1:
-        return np.zeros(1, np.int64)
-    differ = _next(np.append(text[:-1] != text[1:], False))
-    small = np.ones(n, bool)
-    small[:-1] = text[differ[:-1]] < text[differ[:-1] + 1]
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+        return np.zeros(1, np.int64), np.zeros(1, np.int32)
+    t = Text(text, cap)
     # Seeds known by their symbol alone give names to LMS substrings.
-    _, s_rank = _induce(text, small, np.zeros(n, np.int64), memory)
-    names = s_rank[lms]
+    names = _induce(t, np.zeros(n, np.int64), memory)[1][t.lms]
     names[-1] = 0
     names = ranks(names, memory)
-    if int(names.max()) + 1 < len(lms):
-        names = suffix_ranks(names, memory)
+    m = len(names)
+    if int(names.max()) + 1 < m:
+        names, shared = suffix_order(names, cap // 2 + 1, memory)
+    else:
+        shared = np.zeros(m, np.int32)
+    order = np.empty(m, np.int64)
+    order[names] = np.arange(m)
+    # Equal names are equal substrings: what they span is shared, the rest is looked at.
+    spanned = t.lms[np.minimum(order[1:] + shared[1:], m - 1)] - t.lms[order[1:]]
+    common = np.zeros(m, np.int32)
+    common[1:] = _compare(t, t.lms[order[:-1]], t.lms[order[1:]], spanned)
     seeds = np.zeros(n, np.int64)
-    seeds[lms] = names
-    l_rank, s_rank = _induce(text, small, seeds, memory)
-    return ranks((text * 2 + small) << 31 | np.where(small, s_rank, l_rank), memory)
+    seeds[t.lms] = names
+    l_rank, s_rank, l_common, s_common = _induce(t, seeds, memory, Least(common, cap))
+    rank = ranks((text * 2 + t.small) << 31 | np.where(t.small, s_rank, l_rank), memory)
+    at = np.empty(n, np.int64)
+    at[rank] = np.arange(n)
+    # Neighbours of one symbol and type are neighbours among their type's suffixes.
+    out = np.zeros(n, np.int32)
+    kind, symbol = t.small[at], text[at]
+    same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
+    mixed = same[kind[same] != kind[same - 1]]
+    out[mixed] = np.minimum(t.run[at[mixed - 1]], t.run[at[mixed]])
+    both = same[kind[same] == kind[same - 1]]
+    large, little = both[~kind[both]], both[kind[both]]
+    if len(large):
+        out[large] = l_common.values[l_rank[at[large]]]
+    if len(little):
+        out[little] = s_common.values[s_rank[at[little]] - 1]
+    return rank, out

@@ -45,13 +45,14 @@ def text_of(table: pa.Table) -> list[bytes | None]:
 class Shards:
     """Use as a context manager: the table goes at the end, so results must be materialised inside."""
 
-    def __init__(self, docs: DataFrame, shard_bytes: int = SHARD_BYTES):
-        self.spark, self.docs = docs.sparkSession, docs
+    def __init__(self, docs: DataFrame, shard_bytes: int = SHARD_BYTES, note=None):
+        """note(texts) -> bytes is kept beside each shard, for what every pass would have to compute again."""
+        self.spark, self.docs, self.note = docs.sparkSession, docs, note
         self.buckets = 1 << (2 * partitions(self.spark) - 1).bit_length()
         self.name, self.shard_bytes = f"corvane_shards_{uuid.uuid4().hex}", shard_bytes
 
     def __enter__(self) -> Shards:
-        most = self.shard_bytes
+        most, note = self.shard_bytes, self.note
 
         @lean
         def run(batches):
@@ -59,7 +60,9 @@ class Shards:
 
             def flush():
                 nonlocal count, held, size
-                row = pa.RecordBatch.from_arrays([pa.array([(part << 24) + count], pa.int64()), pa.array([pack_docs(pa.Table.from_batches(held))], pa.binary())], names=["shard", "docs"])
+                table = pa.Table.from_batches(held)
+                noted = note(text_of(table)) if note else None
+                row = pa.RecordBatch.from_arrays([pa.array([(part << 24) + count], pa.int64()), pa.array([pack_docs(table)], pa.binary()), pa.array([noted], pa.binary())], names=["shard", "docs", "note"])
                 count, held, size = count + 1, [], 0
                 return row
 
@@ -77,7 +80,7 @@ class Shards:
             if held:
                 yield flush()
 
-        rows = self.docs.mapInArrow(run, "shard long, docs binary")
+        rows = self.docs.mapInArrow(run, "shard long, docs binary, note binary")
         rows.write.bucketBy(self.buckets, "shard").option("compression", "uncompressed").saveAsTable(self.name)
         return self
 
@@ -85,7 +88,7 @@ class Shards:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def rows(self, *answers: DataFrame) -> DataFrame:
-        """(shard, docs, answer0, answer1, ...)."""
+        """(shard, docs, note, answer0, answer1, ...)."""
         out = self.spark.table(self.name)
         for k, a in enumerate(answers):
             packed = a.groupBy(F.col("shard").alias(f"shard{k}")).agg(F.collect_list(F.struct("bucket", "bits")).alias(f"answer{k}"))

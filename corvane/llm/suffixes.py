@@ -5,8 +5,8 @@ smallest of its GRAM-byte strings (by a hash of their first bytes; leftmost of e
 grams at equal offsets; only grams that occur twice in the corpus matter (first exchange). A piece is the consecutive
 windows of one gram whose offsets fall into one range of SPAN: they all hold the same core of WIDTH - SPAN + 1
 bytes, and only pieces whose core occurs twice matter (second exchange). Those are sent to the bucket of their core, equal pieces
-once for each shard, with a weight. The pieces of a bucket are one text for ``induction.suffix_ranks``; neighbours in
-its order are compared up to WIDTH bytes, and windows that equal a neighbour, or whose piece has a weight over 1, go.
+once for each shard, with a weight. The pieces of a bucket are one text for ``induction.suffix_order``, which carries
+common prefixes up to WIDTH bytes along: windows that equal a neighbour, or whose piece has a weight over 1, go.
 Answers are bits for each window and return to the shards. Pieces of one core over SORT_BYTES are cut by longer cores.
 
 Null text is empty; texts under WIDTH bytes lose nothing; repeated rows are repeats of each other; an empty table gives no
@@ -24,9 +24,9 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from corvane.llm.common import documents, extended, lean, materialize
-from corvane.llm.induction import suffix_ranks
+from corvane.llm.induction import suffix_order
 from corvane.llm.shards import Keys, Shards, text_of, unpack_docs
-from corvane.llm.wordhash import chunks, mix
+from corvane.llm.wordhash import chunks, mix, planes, unplanes
 
 WIDTH, GRAM = 400, 96
 SEGMENT = 1 << 25
@@ -56,10 +56,13 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 class Pieces:
     """Of some texts: gram k, at[k] in ``raw`` with hash key[k], owns the windows from low[k] to high[k]."""
 
-    def __init__(self, texts: list[bytes], width: int, gram: int):
+    def __init__(self, texts: list[bytes], width: int, gram: int, noted: np.ndarray | None = None):
         self.raw = raw = b"".join(texts)
         n, none = len(raw), np.zeros(0, np.int64)
         self.low, self.high, self.at, self.key = none, none, none, np.zeros(0, _U)
+        if noted is not None:
+            self.low, self.high, self.at, self.key = *(noted[k].astype(np.int64) for k in ("low", "high", "at")), noted["key"]
+            return
         if n < width:
             return
         padded = raw + bytes(8)
@@ -84,10 +87,23 @@ class Pieces:
         self.key = h
 
 
+_NOTE = np.dtype([("low", "<u4"), ("high", "<u4"), ("at", "<u4"), ("key", "<u8")])
+
+
+def unpack_note(raw: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    sizes = np.frombuffer(raw, "<u4", int(np.frombuffer(raw, "<u4", 1)[0]), 4).tolist()
+    at, out = 4 + 4 * len(sizes), []
+    for n in sizes:
+        out.append(unplanes(raw[at : at + n * _NOTE.itemsize], _NOTE) if n else np.zeros(0, _NOTE))
+        at += n * _NOTE.itemsize
+    return out
+
+
 class Texts:
     """The pieces of a shard, in the order of its texts; texts over SEGMENT bytes are cut, with overlap."""
 
-    def __init__(self, texts: list[bytes | None], width: int, gram: int):
+    def __init__(self, texts: list[bytes | None], width: int, gram: int, note: bytes | None = None):
         self.width, self.sizes = width, np.array([len(t or b"") for t in texts], np.int64)
         cut, offset = [], []  # segments and where they begin among all bytes
         base = 0
@@ -98,8 +114,9 @@ class Texts:
                 offset.append(base + a)
             base += len(t)
         self.total, groups = base, []
-        for a, b in chunks(cut):
-            p = Pieces(cut[a:b], width, gram)
+        known = unpack_note(note) if note else None
+        for k, (a, b) in enumerate(chunks(cut)):
+            p = Pieces(cut[a:b], width, gram, known[k] if known else None)
             lengths = np.array([len(x) for x in cut[a:b]], np.int64)
             firsts = np.cumsum(lengths) - lengths
             part = np.searchsorted(firsts, p.low, side="right") - 1
@@ -107,6 +124,16 @@ class Texts:
         self.groups = groups
         self.key = np.concatenate([p.key for p, _ in groups]) if groups else np.zeros(0, _U)
 
+    def note(self) -> bytes:
+        """The grams, to be kept beside the shard: finding them is most of a pass."""
+        parts = []
+        for p, _ in self.groups:
+            grams = np.zeros(len(p.key), _NOTE)
+            grams["low"], grams["high"], grams["at"], grams["key"] = p.low, p.high, p.at, p.key
+            parts.append(grams)
+        head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
+        return zstandard.ZstdCompressor(1).compress(head + b"".join(planes(g) for g in parts))
+
     def anchors(self, buckets: int) -> Keys:
         return Keys(self.key, None, np.ones(len(self.key), bool), buckets)
 
@@ -170,19 +197,11 @@ def repeated_windows(pieces: list[bytes], width: int) -> list[np.ndarray]:
     text[:-1] = np.frombuffer(raw, np.uint8)
     text[:-1] += 2
     text[first + sizes] = 1  # after each piece
-    rank = suffix_ranks(text)
-    windows = np.concatenate([np.arange(f, f + s - width + 1) for f, s in zip(first, sizes, strict=True)])
-    order = windows[np.argsort(rank[windows])]
-    # Neighbours alone can be equal; most differ early.
-    eight = np.ndarray((len(raw),), "<u8", raw + bytes(8), strides=(1,))
-    same = np.arange(len(order) - 1)
-    for k in range(0, width - 7, 8):
-        same = same[eight[order[same] + k] == eight[order[same + 1] + k]]
-    for k in range(width - width % 8, width):
-        data = np.frombuffer(raw, np.uint8)
-        same = same[data[order[same] + k] == data[order[same + 1] + k]]
-    hit = np.zeros(len(text), bool)
-    hit[order[same]] = hit[order[same + 1]] = True
+    rank, common = suffix_order(text, width)
+    # A suffix that shares width bytes with a neighbour starts a window: no piece's end is among them.
+    equal = common >= width
+    equal[:-1] |= equal[1:].copy()
+    hit = equal[rank]
     return [hit[f : f + s - width + 1] for f, s in zip(first, sizes, strict=True)]
 
 
@@ -248,12 +267,13 @@ def _sort(width: int):
     return run
 
 
-def _ask_anchors(width: int, gram: int, buckets: int):
+def _ask_anchors(buckets: int):
     @lean
     def run(batches):
         for batch in batches:
-            for shard, raw in zip(batch["shard"].to_pylist(), batch["docs"].to_pylist(), strict=True):
-                yield Texts(text_of(unpack_docs(raw)), width, gram).anchors(buckets).rows(shard, buckets)
+            for shard, note in zip(batch["shard"].to_pylist(), batch["note"].to_pylist(), strict=True):
+                key = np.concatenate([g["key"] for g in unpack_note(note)])
+                yield Keys(key, None, np.ones(len(key), bool), buckets).rows(shard, buckets)
 
     return run
 
@@ -262,15 +282,15 @@ def _ask_cores(width: int, gram: int, buckets: int):
     @lean
     def run(batches):
         for batch in batches:
-            for shard, raw, grams in zip(batch["shard"].to_pylist(), batch["docs"].to_pylist(), batch["answer0"].to_pylist(), strict=True):
-                t = Texts(text_of(unpack_docs(raw)), width, gram)
+            for shard, raw, note, grams in zip(*(batch[k].to_pylist() for k in ("shard", "docs", "note", "answer0")), strict=True):
+                t = Texts(text_of(unpack_docs(raw)), width, gram, note)
                 yield t.cores(t.anchors(buckets).answered(grams), buckets).rows(shard, buckets)
 
     return run
 
 
-def _wanted(texts: list[bytes | None], grams, cores, width: int, gram: int, buckets: int):
-    t = Texts(texts, width, gram)
+def _wanted(texts: list[bytes | None], note: bytes, grams, cores, width: int, gram: int, buckets: int):
+    t = Texts(texts, width, gram, note)
     return t, t.wanted(t.cores(t.anchors(buckets).answered(grams), buckets).answered(cores), buckets)
 
 
@@ -278,8 +298,8 @@ def _send_pieces(width: int, gram: int, buckets: int):
     @lean
     def run(batches):
         for batch in batches:
-            for shard, raw, grams, cores in zip(batch["shard"].to_pylist(), *(batch[k].to_pylist() for k in ("docs", "answer0", "answer1")), strict=True):
-                _, wanted = _wanted(text_of(unpack_docs(raw)), grams, cores, width, gram, buckets)
+            for shard, raw, note, grams, cores in zip(*(batch[k].to_pylist() for k in ("shard", "docs", "note", "answer0", "answer1")), strict=True):
+                _, wanted = _wanted(text_of(unpack_docs(raw)), note, grams, cores, width, gram, buckets)
                 if wanted:
                     yield pa.RecordBatch.from_arrays([pa.array(list(wanted), pa.int32()), pa.array([shard] * len(wanted), pa.int64()), pa.array([pack(x) for x in wanted.values()], pa.binary())], names=["bucket", "shard", "keys"])
 
@@ -290,10 +310,10 @@ def _apply(width: int, gram: int, buckets: int, names: list[str], make):
     @lean
     def run(batches):
         for batch in batches:
-            for raw, grams, cores, found in zip(*(batch[k].to_pylist() for k in ("docs", "answer0", "answer1", "answer2")), strict=True):
+            for raw, note, grams, cores, found in zip(*(batch[k].to_pylist() for k in ("docs", "note", "answer0", "answer1", "answer2")), strict=True):
                 docs = unpack_docs(raw)
                 texts = text_of(docs)
-                t, wanted = _wanted(texts, grams, cores, width, gram, buckets)
+                t, wanted = _wanted(texts, note, grams, cores, width, gram, buckets)
                 starts = [np.zeros(0, np.int64)]
                 for x in found or ():
                     pieces = wanted[x["bucket"]]
@@ -322,9 +342,9 @@ def _remove(docs: DataFrame, width: int, gram: int, added: dict[str, str], make,
     docs = docs.drop(*added)
     schema = extended(docs, **added)
     asked = "bucket int, shard long, keys binary"
-    with Shards(docs) as shards:
+    with Shards(docs, note=lambda texts: Texts(texts, width, gram).note()) as shards:
         n = shards.buckets
-        anchors = shards.exchange(shards.rows().mapInArrow(_ask_anchors(width, gram, n), asked), "anchors")
+        anchors = shards.exchange(shards.rows().select("shard", "note").mapInArrow(_ask_anchors(n), asked), "anchors")
         cores = shards.exchange(shards.rows(anchors).mapInArrow(_ask_cores(width, gram, n), asked), "cores")
         pieces = shards.rows(anchors, cores).mapInArrow(_send_pieces(width, gram, n), asked)
         found = materialize(pieces.groupBy("bucket").applyInArrow(_sort(width), "shard long, bucket int, bits binary"), "suffixes")

@@ -106,10 +106,14 @@ def test_components(spark, edges):
 
 def test_induction():
     r = random.Random(1)
-    for k in range(300):
-        text = [r.randint(1, r.choice([1, 2, 4, 200])) for _ in range(r.randint(0, 60))] + [0]
-        want = np.argsort(sorted(range(len(text)), key=lambda i: text[i:])).tolist()
-        assert induction.suffix_ranks(np.array(text, np.int64), 7 if k % 3 == 0 else 1 << 20).tolist() == want
+    for k in range(600):
+        text = [r.randint(1, r.choice([1, 2, 4, 200])) for _ in range(r.randint(0, 60))]
+        text = (text[:10] * 4 if k % 4 == 0 else text) + [0]
+        cap = r.choice([1, 3, 8, 100])
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        shared = [0] + [next((n for n in range(cap) if text[a + n] != text[b + n]), cap) for a, b in zip(order, order[1:])]
+        rank, common = induction.suffix_order(np.array(text, np.int64), cap, 7 if k % 3 == 0 else 1 << 20)
+        assert rank[order].tolist() == list(range(len(text))) and common.tolist() == shared
 
 
 def test_external_ranks():
@@ -139,3 +143,16 @@ def test_stages_on_awkward_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() >= 0
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_release(spark):
+    import os
+
+    from corvane.llm import common
+
+    kept = common.materialize(spark.range(3), "release")
+    path = kept.inputFiles()[0].split("://")[-1].rsplit("/", 1)[0]
+    path = "/" + path.lstrip("/").removeprefix("localhost/")
+    assert os.path.isdir(path)
+    common.release(spark)
+    assert not os.path.isdir(path)
