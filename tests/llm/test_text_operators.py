@@ -9,7 +9,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 from llm.fixtures import SCHEMA, awkward, components, jaccard_links, repeated, shingles, words
 
