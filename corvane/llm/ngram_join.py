@@ -6,7 +6,8 @@ Rows of the incidence are ordered by how often an n-gram occurs (a count sketch
 that are similar enough share an n-gram among the first |x| - ceil(percent |x| / 100) + 1 of each, so only these columns
 bring candidates together, and a pair is dropped at once where sizes, or what is left of both sets from the shared
 column on, or parity bitmaps bound the overlap below what is needed. Columns with up to LIST classes give pairs, which are verified on whole sets.
-The classes of fuller columns are gathered in clusters, a cluster is cut into blocks of BLOCK classes, and a task multiplies
+A column that is
+fuller within a task already sends one class for all of them, so no task meets a group of documents. The classes of fuller columns are gathered in clusters, a cluster is cut into blocks of BLOCK classes, and a task multiplies
 one pair of blocks: overlap counts add up over column slices, pairs are never written out, only a spanning forest of
 the links is. Components come from all links.
 
@@ -118,17 +119,31 @@ def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray,
         table = shared.value
         held, size, seen = [], 0, set()
 
+        def rows(bucket, packed):
+            none = pa.nulls(len(bucket), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(bucket), pa.list_(pa.int64())), pa.array(bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in packed)], names=[x.split()[0] for x in _LISTED.split(", ")])
+
         def flush():
             gram, sig, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(gram, kind="stable")
+            order = np.argsort(gram)
             gram, sig, n, place = gram[order], sig[order], n[order], place[order]
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            size = np.diff(np.append(first, len(gram)))
+            hot = size > LIST
+            if hot.any():  # full here already: its classes are tied to one of them, which goes on with size 0
+                inside = np.repeat(hot, size)
+                least = np.minimum.reduceat(sig, first)[hot]
+                yield rows([-1], [[planes(np.repeat(least, size[hot]))], [planes(sig[inside])], [b""], [b""]])
+                pivots = gram[first[hot]]
+                gram, sig = np.concatenate([gram[~inside], pivots]), np.concatenate([sig[~inside], least])
+                n, place = (np.concatenate([x[~inside], np.zeros(len(pivots), np.uint32)]) for x in (n, place))
+                order = np.argsort(gram)
+                gram, sig, n, place = gram[order], sig[order], n[order], place[order]
             rims = np.searchsorted((gram >> shift).astype(np.int64), np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(rims))
-            none = pa.nulls(len(used), pa.int64())
-            cols = [[planes(v[rims[b] : rims[b + 1]]) for b in used] for v in (np.diff(gram, prepend=_U(0)), sig, n, place)]
-            for k, b in enumerate(used):  # the first key of a bucket stands as it is
-                cols[0][k] = planes(np.diff(gram[rims[b] : rims[b + 1]], prepend=_U(0)))
-            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(used), pa.list_(pa.int64())), pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=[x.split()[0] for x in _LISTED.split(", ")])
+            cols = [[planes(v[rims[b] : rims[b + 1]]) for b in used] for v in (sig, n, place)]
+            grams = [planes(np.diff(gram[rims[b] : rims[b + 1]], prepend=_U(0))) for b in used]
+            yield rows(used, [grams, *cols])
 
         for batch in batches:
             ids, texts = batch.column(0), as_bytes(batch.column(1))
@@ -146,10 +161,10 @@ def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray,
                 held.append((g.gram[g.first[doc] + place], g.signature[doc], g.sizes[doc].astype(np.uint32), place.astype(np.uint32)))
                 size += len(doc)
                 if size > 1 << 18:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if size:
-            yield flush()
+            yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, _LISTED)
 
@@ -161,30 +176,29 @@ def _meet(percent: int):
         read = lambda name, kind: [unplanes(x, kind) for x in table[name].to_pylist()]
         gram = np.concatenate([np.cumsum(x) for x in read("grams", _U)])
         sig, n, place = np.concatenate(read("sigs", np.int64)), np.concatenate(read("sizes", np.uint32)).astype(np.int64), np.concatenate(read("places", np.uint32)).astype(np.int64)
-        order = np.lexsort((sig, gram))
+        order = np.lexsort((n, sig, gram))  # size 0 first: it stands for more classes
         gram, sig, n, place = gram[order], sig[order], n[order], place[order]
         keep = np.ones(len(gram), bool)
         keep[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])
         gram, sig, n, place = gram[keep], sig[keep], n[keep], place[keep]
         first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(gram)))
+        full = (size > LIST) | (np.minimum.reduceat(n, first) == 0) if len(gram) else size > LIST
         found = []
-        for k in np.unique(size[(size > 1) & (size <= LIST)]):  # all lists of one length at once
-            at = first[size == k]
+        for k in np.unique(size[(size > 1) & ~full]):  # all lists of one length at once
+            at = first[(size == k) & ~full]
             i, j = np.triu_indices(k, 1)
             x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
             need = needed(n[x], n[y], percent)
             ok = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
             ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
             found.append((sig[x[ok]], sig[y[ok]], np.zeros(int(ok.sum()), np.int32)))
-        for at, k in zip(first[size > LIST], size[size > LIST], strict=True):
-            member = slice(at, at + k)
+        for at, k in zip(first[full], size[full], strict=True):
             # Those that could meet no other member of the list stay out.
-            order = np.argsort(n[member], kind="stable")
-            m, left = n[member][order], (n - place)[member][order]
-            best = np.maximum.accumulate(left[::-1])[::-1]
-            possible = np.minimum(left, best.max(initial=0)) >= needed(m, -(-percent * m // 100), percent)
-            s = sig[member][order][possible]
+            m = n[at : at + k]
+            left = np.where(m == 0, 1 << 40, m - place[at : at + k])
+            possible = np.minimum(left, left.max()) >= needed(m, -(-percent * m // 100), percent)
+            s = sig[at : at + k][possible]
             if len(s) > 1:
                 found.append((np.full(len(s) - 1, s.min()), np.delete(s, s.argmin()), np.ones(len(s) - 1, np.int32)))
         a, b, kind = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
@@ -196,6 +210,14 @@ def _meet(percent: int):
     return run
 
 
+@lean
+def _tied(batches):
+    """Rows of classes that were tied before they were sent."""
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(unplanes(a, np.int64)), pa.array(unplanes(b, np.int64))], names=["a", "b"])
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(sig, grams) of the wanted classes. A Bloom filter of fixed size keeps most other sets from being sent at all."""
     # Signatures are hashes: their low bits are the filter's.
@@ -298,9 +320,10 @@ def near_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     buckets = 1 << (2 * partitions(spark) - 1).bit_length()
     listed = materialize(_list_columns(docs, width, percent, count_sketch(docs, width), buckets), "ngram-columns")
     members = listed.filter("bucket is null").select("doc_id", "n", "sig")
-    columns = listed.filter("bucket is not null").select("bucket", "grams", "sigs", "sizes", "places")
+    tied = listed.filter("bucket < 0").select("grams", "sigs").mapInArrow(_tied, "a long, b long").filter("a != b").distinct()
+    columns = listed.filter("bucket >= 0").select("bucket", "grams", "sigs", "sizes", "places")
     met = materialize(columns.groupBy("bucket").applyInArrow(_meet(percent), "a long, b long, kind int").distinct(), "ngram-met")
-    pairs, stars = met.filter("kind = 0").select("a", "b"), met.filter("kind = 1").select("a", "b")
+    pairs, stars = met.filter("kind = 0").select("a", "b"), met.filter("kind = 1").select("a", "b").union(tied)
     inside = components(stars)
     cluster = materialize(inside.unionByName(inside.select(F.col("root").alias("node"), "root").distinct()), "ngram-clusters")
     # A pair inside a cluster is part of its product.
@@ -326,11 +349,13 @@ def near_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     linked = tasks.applyInArrow(_multiply(percent), "a long, b long")
 
     roots = components(near.union(linked))
-    members = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-    members = members.withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "sig")))
-    least = members.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = members.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "sig", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # By class, then by row: tables that are written first meet in joins whose hot keys Spark can split.
+    classes = members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
+    rooted = materialize(classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "ngram-roots")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "ngram-least")
+    named = materialize(rooted.join(least, "root").select("sig", "component"), "ngram-named")
+    out = members.join(named, "sig", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "sig", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
