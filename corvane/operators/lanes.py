@@ -25,6 +25,8 @@ def lexical(docs: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
     asked = terms.select("term").distinct()
     tf = tokens.select("doc_id", "dl", F.explode("ts").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # By document: the sum over a question's terms then needs no shuffle of the joined rows, which are many times the postings.
+    tf = tf.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     rows = terms.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
