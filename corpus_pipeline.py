@@ -18,8 +18,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: later copies of repeated line runs go, and documents that have no word left with them."""
-    out = lines.dedup_lines(docs).filter(~((F.col("lines_removed") > 0) & (F.col("text") == "")))
+    """Line dedup: later copies of repeated line runs, single short lines too, go, and documents that have no word left with them."""
+    out = lines.dedup_lines(docs, min_words=1).filter(~((F.col("lines_removed") > 0) & (F.col("text") == "")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

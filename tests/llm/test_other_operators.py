@@ -145,6 +145,15 @@ def test_stages_on_awkward_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_line_stage_takes_short_lines(spark):
+    """Lines of one to nine words between unique ones: all later copies go, and unique lines stay."""
+    shorts = ["Share", "Read more here", "one two three four five six seven eight nine"]
+    data = [(i, "\n".join(x for k, s in enumerate(shorts) for x in (f"own line {i} {k} of this one document and no other", s))) for i in range(4)]
+    out = {r["doc_id"]: r["text"].split("\n") for r in corpus_pipeline.keep_first_lines(spark, spark.createDataFrame(data, "doc_id long, text string").repartition(3), SF).collect()}
+    assert out[0] == data[0][1].split("\n")
+    assert all(out[i] == [x for x in data[i][1].split("\n") if x not in shorts] for i in range(1, 4))
+
+
 def test_release(spark):
     import os
 
