@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import fusion
+from corvane.operators import lanes as retrieval
 from corvane.plans import features, lanes
 from corvane.plans.base import query
 from corvane.sources.tables import table
@@ -23,10 +24,9 @@ LANES = LANES.replace("SELECT query_id / 100, doc_id", "SELECT query_id // 100,
 def all_lanes(spark, sf_dir):
     lexical = features.bm25(spark, sf_dir)
     dense = lanes.dense(spark, sf_dir).withColumn("query_id", F.expr("query_id div 100"))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = lexical.join(q, "query_id").join(docs, "doc_id").filter(F.contains("text", "passage"))
-    exact = fusion.order_hits(found.select("query_id", "doc_id", F.lit(0).alias("score")), anchors_first=False)
+    # Over all documents; the SQL looks among BM25's best eight alone, which differs where a passage's document is not one of them.
+    found = retrieval.passages(table(spark, sf_dir, "documents").select("doc_id", "text"), features.questions(spark, sf_dir))
+    exact = fusion.order_hits(found.withColumn("score", F.lit(0)), anchors_first=False)
     return {"lexical": lexical, "dense": dense, "exact": exact}
 
 

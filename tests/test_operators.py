@@ -137,3 +137,26 @@ def test_publish_last(spark, tmp_path):
     sinks.write_clean(df, f"{root}/clean")
     sinks.write_bundle(df.withColumn("result_set_id", F.lit("r1")), f"{root}/spool")
     assert spark.read.json(f"{root}/clean").count() == spark.read.json(f"{root}/spool").count() == 3
+
+
+def test_passages_of_all_documents(spark):
+    """Long documents, more than eight with one passage, words cut at a passage's ends, passages without a word inside."""
+    p = "alpha beta gamma delta"
+    data = [(k, f"x {p} y{k}") for k in range(12)] + [(20, "filler word " * 3000 + p), (21, "delta gamma beta alpha"), (22, "Alpha Beta Gamma Delta"), (23, "xalpha beta gamma deltay"), (24, "a #*# b"), (25, None), (26, "solo")]
+    asked = [(1, p), (2, "#*#"), (3, "solo"), (4, "  "), (5, "alpha nowhere delta")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    out = lanes.passages(docs, spark.createDataFrame(asked, "query_id long, text string"))
+    want = [(q, d) for q, t in asked if t.strip() for d, x in data if x and t in x]
+    assert sorted((r["query_id"], r["doc_id"]) for r in out.collect()) == sorted(want)
+
+
+def test_exact_lane_is_not_cut_by_bm25(spark, tmp_path):
+    from corvane.plans import fusion as plan
+
+    p = "alpha beta gamma delta"
+    texts = [p] * 9 + ["filler word " * 3000 + p]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, p)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0], "a")], "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["doc_id"] for r in plan.hits(spark, str(tmp_path)).filter("contains(signals, 'exact')").collect()}
+    assert got == set(range(10))
