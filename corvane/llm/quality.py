@@ -5,8 +5,8 @@ a minimum-covariance-determinant estimate of its centre and scatter, and documen
 exceeds a chi-square quantile are rejected.
 
 The estimate is made of concentration steps that never bring a group together: a step adds up counts, sums and products
-by (group, distance bin); the bins up to the one that reaches three quarters of the group are the next half-set, whole
-bins only, so the result does not depend on row order. Groups under MIN_ROWS are pooled by language, and those under
+by (group, distance bin); the bins up to the one that reaches half of the group, (n + p + 1) / 2 rows, are the next half-set,
+whole bins only, so the result does not depend on row order. Groups under MIN_ROWS are pooled by language, and those under
 it again in one pool. FLOOR keeps the scatter away from zero where most documents have the same value.
 
 Null text has no words and fails the base rules; null language or source are groups of their own; repeated rows count as
@@ -117,8 +117,13 @@ def chi2_quantile(q: float, df: int) -> float:
     return high
 
 
-#: Makes the scatter of the KEEP innermost rows that of all rows of a normal sample.
-CONSISTENCY = KEEP / chi2_cdf(chi2_quantile(KEEP, P), P + 2)
+def consistency(share: float) -> float:
+    """Makes the scatter of this share of innermost rows that of all rows of a normal sample."""
+    return share / chi2_cdf(chi2_quantile(share, P), P + 2)
+
+
+#: For fits with keep=KEEP, which junk over a quarter of a group breaks down; by default half-sets are as small as they can be.
+CONSISTENCY = consistency(KEEP)
 CUTOFF = chi2_quantile(1 - TAIL, P)
 
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -135,7 +140,7 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(F.greatest(F.lit(2.0**-10), F.least(d2, F.lit(2.0**30)))) * 32).cast("int")
 
 
-def _solve(share: float, factor: float):
+def _solve(keep: float | None):
     """Bins of one group -> its estimate; the group has a few hundred rows at most, whatever its number of documents."""
 
     def run(pdf):
@@ -143,6 +148,8 @@ def _solve(share: float, factor: float):
 
         pdf = pdf.sort_values("bin")
         upto = pdf["n"].cumsum().to_numpy()
+        share = keep or min(1.0, (upto[-1] + P + 1) // 2 / upto[-1])
+        factor = consistency(share) if share < 1 else 1.0
         taken = pdf.iloc[: int(np.searchsorted(upto, share * upto[-1])) + 1].drop(columns=["fit_key", "bin"]).sum()
         n = float(taken["n"])
         mean = np.array([taken[f"s{i}"] for i in range(P)]) / n
@@ -156,7 +163,7 @@ def _solve(share: float, factor: float):
     return run
 
 
-def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fit(stats: DataFrame, keep: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Statistics -> (fit_key by language and source, estimate by fit_key)."""
     good = materialize(stats.filter(~F.col("base_failed")).select("lang", "source", *[c.alias(k) for k, c in feature_columns().items()]), "quality-features")
     null = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
@@ -180,7 +187,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
         estimate = materialize(estimate, "quality-step")
         near = keyed.join(estimate.withColumnRenamed("fit_key", "e_key"), F.col("e_key") == F.col("fit_key"))
         bins = near.groupBy("fit_key", _bin(distance2(x, F.col("mean"), F.col("precision"))).alias("bin")).agg(*sums)
-        estimate = bins.groupBy("fit_key").applyInPandas(_solve(KEEP, CONSISTENCY), _FIT)
+        estimate = bins.groupBy("fit_key").applyInPandas(_solve(keep), _FIT)
     return keys, materialize(estimate, "quality-estimate")
 
 

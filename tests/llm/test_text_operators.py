@@ -118,6 +118,15 @@ def test_quality_finds_outliers(spark):
     assert all(out[i] for i in range(300)) and not any(v for i, v in out.items() if i >= 1000)
 
 
+def test_quality_with_a_third_of_junk(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    clean = [(i, " ".join(word() for _ in range(r.randint(60, 200))), "en", "s") for i in range(200)]
+    junk = [(1000 + i, " ".join(word() + r.choice(["###", "$$$", ""]) for _ in range(120)), "en", "s") for i in range(100)]
+    out = {x["doc_id"]: x["kept"] for x in quality.quality(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i] for i in range(200)) and not any(v for i, v in out.items() if i >= 1000)
+
+
 def test_chi2():
     assert quality.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and quality.CONSISTENCY == pytest.approx(1.486, abs=1e-2)
 
