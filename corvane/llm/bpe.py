@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import re
+import uuid
 from array import array
 from itertools import chain, islice
 
@@ -84,6 +86,7 @@ class Encoder:
         self.lib.no_padding()
         self.long_word, self.leaf = long_word, leaf
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.specials = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         self.vocab = spec["model"]["vocab"]
         self.ranks = {tuple(x) if isinstance(x, list) else tuple(x.split(" ")): i for i, x in enumerate(spec["model"]["merges"])}
         self.token = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
@@ -140,17 +143,15 @@ class Encoder:
         return self.pack(self.lib.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def parts(self, text: str):
-        """(special id or None, normalised text) in turn: special tokens are found before anything else."""
+        """(special id or None, normalised text) in turn: special tokens are found before anything else, the leftmost first."""
         at = 0
-        while True:
-            found = min(((k, s) for s in self.special if (k := text.find(s, at)) >= 0), default=None)
-            end = found[0] if found else len(text)
-            if end > at:
-                yield None, self.lib.normalizer.normalize_str(text[at:end])
-            if not found:
-                return
-            yield self.special[found[1]], ""
-            at = end + len(found[1])
+        for found in self.specials.finditer(text) if self.special else ():
+            if found.start() > at:
+                yield None, self.lib.normalizer.normalize_str(text[at : found.start()])
+            yield self.special[found[0]], ""
+            at = found.end()
+        if at < len(text):
+            yield None, self.lib.normalizer.normalize_str(text[at:])
 
     def unsplit(self, text: str) -> list[int]:
         out: list[int] = []
@@ -385,9 +386,10 @@ def _both(docs: DataFrame, schema, make, make_long, path: str, part_chars: int)
     """Short texts row by row, texts over part_chars by parts and the tree; rows with the same id and text are alike."""
     is_long = F.coalesce(F.length("text"), F.lit(0)) > part_chars
     short = map_ids(docs.filter(~is_long), schema, make, path)
-    long_docs = docs.filter(is_long).withColumn("__row_key", F.sha2("text", 256))
-    parts = _part_rows(long_docs.select(F.col("__row_key").alias("row_key"), "text").dropDuplicates(["row_key"]), path, part_chars).repartition("row_key", "part")
-    joined = _encode_parts(parts, path).groupBy("row_key").applyInArrow(_join_parts(path), "row_key string, packed binary").toDF("__row_key", "__packed")
+    key, held = f"row_key_{uuid.uuid4().hex}", f"packed_{uuid.uuid4().hex}"  # no column of docs has these names
+    long_docs = docs.filter(is_long).withColumn(key, F.sha2("text", 256))
+    parts = _part_rows(long_docs.select(F.col(key).alias("row_key"), "text").dropDuplicates(["row_key"]), path, part_chars).repartition("row_key", "part")
+    joined = _encode_parts(parts, path).groupBy("row_key").applyInArrow(_join_parts(path), "row_key string, packed binary").toDF(key, held)
 
     @lean
     def run(batches):
@@ -397,7 +399,7 @@ def _both(docs: DataFrame, schema, make, make_long, path: str, part_chars: int)
             for i in range(batch.num_rows):
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:-1], *make_long(coder, packed[i : i + 1])], names=schema.names)
 
-    both = long_docs.join(joined, "__row_key").select(*docs.columns, "__packed")
+    both = long_docs.join(joined, key).select(*docs.columns, held)
     return short.unionByName(both.mapInArrow(run, schema))
 
 

@@ -13,7 +13,8 @@ the links is. Components come from all links.
 
 Null or empty texts have no n-grams, size 0, and link with nothing, each its own component; texts shorter than n words
 are one n-gram. Rows with one doc_id and text are one document; a null doc_id never is the smallest, and has a null
-component if nothing else is reached. An empty table gives no rows.
+component if nothing else is reached. Rows that share a doc_id but not a text are documents of their own, told apart by
+``text_key``. Other columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import as_bytes
@@ -40,6 +41,11 @@ CHUNK = 1 << 19
 _U = np.uint64
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of one doc_id apart: the 128 bits of md5, of null as of the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def needed(a, b, percent: int):
     """The least overlap of sets of a and b n-grams that makes 100 * overlap >= percent * union."""
     return -(-percent * (a + b) // (100 + percent))
@@ -106,7 +112,7 @@ def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in sorted(rows, key=lambda r: r["piece"])]) if rows else np.zeros(CELLS, np.uint32)
 
 
-_LISTED = "doc_id long, n long, sig long, parity array<long>, bucket int, grams binary, sigs binary, sizes binary, places binary"
+_LISTED = "doc_id long, text_key binary, n long, sig long, parity array<long>, bucket int, grams binary, sigs binary, sizes binary, places binary"
 
 
 def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray, buckets: int) -> DataFrame:
@@ -121,7 +127,7 @@ def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray,
 
         def rows(bucket, packed):
             none = pa.nulls(len(bucket), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(bucket), pa.list_(pa.int64())), pa.array(bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in packed)], names=[x.split()[0] for x in _LISTED.split(", ")])
+            return pa.RecordBatch.from_arrays([none, pa.nulls(len(bucket), pa.binary()), none, none, pa.nulls(len(bucket), pa.list_(pa.int64())), pa.array(bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in packed)], names=[x.split()[0] for x in _LISTED.split(", ")])
 
         def flush():
             gram, sig, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -146,12 +152,12 @@ def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray,
             yield rows(used, [grams, *cols])
 
         for batch in batches:
-            ids, texts = batch.column(0), as_bytes(batch.column(1))
+            ids, keys, texts = batch.column(0), batch.column(1), as_bytes(batch.column(2))
             for a, b in chunks(texts, CHUNK):
                 g = Grams(texts[a:b], width, table)
                 m = b - a
                 empty = [pa.nulls(m, t) for t in (pa.int32(), *[pa.binary()] * 4)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, m), pa.array(g.sizes.astype(np.int64)), pa.array(g.signature), pa.array(g.parities(), pa.list_(pa.int64())), *empty], names=[x.split()[0] for x in _LISTED.split(", ")])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, m), keys.slice(a, m), pa.array(g.sizes.astype(np.int64)), pa.array(g.signature), pa.array(g.parities(), pa.list_(pa.int64())), *empty], names=[x.split()[0] for x in _LISTED.split(", ")])
                 if len(seen) > 1 << 20:
                     seen.clear()
                 fresh = np.array([s not in seen and not seen.add(s) for s in g.signature.tolist()], bool) & (g.sizes > 0)
@@ -166,7 +172,7 @@ def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray,
         if size:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _LISTED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, _LISTED)
 
 
 def _meet(percent: int):
@@ -314,12 +320,13 @@ def _multiply(percent: int):
 
 
 def near_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, sig, component_id) for every row of docs."""
+    """(doc_id, text_key, n_shingles, sig, component_id, first) for every row of docs; first marks the rows of a component's smallest
+    (doc_id, text_key), null ids last."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     buckets = 1 << (2 * partitions(spark) - 1).bit_length()
     listed = materialize(_list_columns(docs, width, percent, count_sketch(docs, width), buckets), "ngram-columns")
-    members = listed.filter("bucket is null").select("doc_id", "n", "sig")
+    members = listed.filter("bucket is null").select("doc_id", "text_key", "n", "sig")
     tied = listed.filter("bucket < 0").select("grams", "sigs").mapInArrow(_tied, "a long, b long").filter("a != b").distinct()
     columns = listed.filter("bucket >= 0").select("bucket", "grams", "sigs", "sizes", "places")
     met = materialize(columns.groupBy("bucket").applyInArrow(_meet(percent), "a long, b long, kind int").distinct(), "ngram-met")
@@ -350,12 +357,17 @@ def near_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     roots = components(near.union(linked))
     # By class, then by row: tables that are written first meet in joins whose hot keys Spark can split.
-    classes = members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    classes = members.filter("n > 0").groupBy("sig").agg(F.min(place).alias("least"))
     rooted = materialize(classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "ngram-roots")
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "ngram-least")
     named = materialize(rooted.join(least, "root").select("sig", "component"), "ngram-named")
     out = members.join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "sig", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = F.col("n") > 0
+    return out.select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), "sig", F.when(linked, F.col("component.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, place.eqNullSafe(F.col("component"))).otherwise(F.lit(True)).alias("first"),
+    )
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 import pytest
-from llm.fixtures import SCHEMA, awkward, components
+from llm.fixtures import components
 
 import corpus_pipeline
 from corvane.llm import chat, embeddings, induction, queries
@@ -138,13 +138,6 @@ def test_pipeline(spark):
     assert before.count() > 0
 
 
-def test_stages_on_awkward_rows(spark):
-    docs = spark.createDataFrame(awkward(), SCHEMA).repartition(2)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SF).count() >= 0
-        assert stage(spark, docs.limit(0), SF).count() == 0
-
-
 def test_line_stage_takes_short_lines(spark):
     """Lines of one to nine words between unique ones: all later copies go, and unique lines stay."""
     shorts = ["Share", "Read more here", "one two three four five six seven eight nine"]
