@@ -4,13 +4,16 @@ Base rules come first. Every other document has a vector of transformed statisti
 a minimum-covariance-determinant estimate of its centre and scatter, and documents whose squared Mahalanobis distance
 exceeds a chi-square quantile are rejected.
 
-The estimate is made of concentration steps that never bring a group together: a step adds up counts, sums and products
-by (group, distance bin); the bins up to the one that reaches half of the group, (n + p + 1) / 2 rows, are the next half-set,
-whole bins only, so the result does not depend on row order. Groups under MIN_ROWS are pooled by language, and those under
-it again in one pool. FLOOR keeps the scatter away from zero where most documents have the same value.
+The estimate is that of several starts around the group's medians: distances scaled by FLOOR, by quartiles, by the scatter of squashed
+values, and by that of directions alone. From each, concentration steps go on until the determinant of the half-set's scatter falls
+no more, and the start with the least determinant wins. No step brings a group together: counts, sums and products are added up by
+(group, start, distance bin), and the half-set of h = (n + p + 1) / 2 rows is the nearest bins, of the last one the share that makes up h.
+Statistics are whole multiples of 1 / UNIT, so all sums are sums of whole numbers: neither the estimate nor a distance depends on the
+order of rows, and reruns give the same bits. FLOOR is added to the scatter, which keeps it away from zero where most
+documents have the same value. Groups under MIN_ROWS are pooled by language, and those under it again in one pool.
 
 Null text has no words and fails the base rules; null language or source are groups of their own; repeated rows count as
-often as they occur; an empty table gives no rows.
+often as they occur; columns of docs with the names of those added are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,15 +23,16 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import documents, extended, lean, materialize
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-KEEP = 0.75
-STEPS = 6
 MIN_ROWS = 50
+UNIT = 4096
+#: A step that shrinks the determinant by less than this share is the last one of its start.
+SETTLED = 1e-6
 TAIL = 1e-6
 FEATURES = ("f_word", "f_symbol", "f_repeat", "f_lines")
 FLOOR = (0.05, 0.04, 0.15, 0.1)
@@ -122,16 +126,15 @@ def consistency(share: float) -> float:
     return share / chi2_cdf(chi2_quantile(share, P), P + 2)
 
 
-#: For fits with keep=KEEP, which junk over a quarter of a group breaks down; by default half-sets are as small as they can be.
-CONSISTENCY = consistency(KEEP)
 CUTOFF = chi2_quantile(1 - TAIL, P)
 
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-_FIT = "fit_key string, mean array<double>, precision array<double>"
+_STATE = "fit_key string, start int, mean array<double>, precision array<double>, det double, done boolean"
 
 
 def distance2(x: list[Column], mean: Column, precision: Column) -> Column:
-    d = [x[i] - mean[i] for i in range(P)]
+    """Of whole multiples of 1 / UNIT."""
+    d = [x[i] / float(UNIT) - mean[i] for i in range(P)]
     return sum((precision[k] * d[i] * d[j] * (1.0 if i == j else 2.0) for k, (i, j) in enumerate(_PAIRS)), F.lit(0.0))
 
 
@@ -140,62 +143,127 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(F.greatest(F.lit(2.0**-10), F.least(d2, F.lit(2.0**30)))) * 32).cast("int")
 
 
-def _solve(keep: float | None):
-    """Bins of one group -> its estimate; the group has a few hundred rows at most, whatever its number of documents."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("bin")
-        upto = pdf["n"].cumsum().to_numpy()
-        share = keep or min(1.0, (upto[-1] + P + 1) // 2 / upto[-1])
-        factor = consistency(share) if share < 1 else 1.0
-        taken = pdf.iloc[: int(np.searchsorted(upto, share * upto[-1])) + 1].drop(columns=["fit_key", "bin"]).sum()
-        n = float(taken["n"])
-        mean = np.array([taken[f"s{i}"] for i in range(P)]) / n
-        cov = np.zeros((P, P))
-        for i, j in _PAIRS:
-            cov[i, j] = cov[j, i] = taken[f"q{i}{j}"] / n - mean[i] * mean[j]
-        cov = factor * cov + np.diag(np.square(FLOOR))
-        inv = np.linalg.inv(cov)
-        return pd.DataFrame({"fit_key": [pdf["fit_key"].iloc[0]], "mean": [mean.tolist()], "precision": [[float(inv[i, j]) for i, j in _PAIRS]]})
-
-    return run
-
-
-def fit(stats: DataFrame, keep: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Statistics -> (fit_key by language and source, estimate by fit_key)."""
-    good = materialize(stats.filter(~F.col("base_failed")).select("lang", "source", *[c.alias(k) for k, c in feature_columns().items()]), "quality-features")
+def square(upper: list[float]) -> np.ndarray:
+    out = np.zeros((P, P))
+    for k, (i, j) in enumerate(_PAIRS):
+        out[i, j] = out[j, i] = upper[k]
+    return out
+
+
+def estimate(n: float, sums: np.ndarray, products: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(mean, precision, determinant) of n rows with these sums and sums of products, ``share`` of their group."""
+    mean = sums / n
+    cov = consistency(share) * (square(products / n) - np.outer(mean, mean)) if share < 1 else square(products / n) - np.outer(mean, mean)
+    cov = cov + np.diag(np.square(FLOOR))
+    return mean, np.linalg.inv(cov), float(np.linalg.det(cov))
+
+
+def half(n: int) -> int:
+    return min(n, (n + P + 1) // 2)
+
+
+def _concentrate(pdf):
+    """The bins of one group and start -> its next state: a few hundred rows at most, whatever the number of documents."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("bin")
+    n = pdf["n"].to_numpy()
+    upto = np.cumsum(n)
+    need = half(int(upto[-1]))
+    last = int(np.searchsorted(upto, need))
+    weight = np.where(np.arange(len(n)) < last, 1.0, 0.0)
+    weight[last] = (need - (upto[last] - n[last])) / n[last]
+    add = lambda name, unit: float(sum(w * v for w, v in zip(weight.tolist(), pdf[name].tolist(), strict=True) if w)) / unit
+    sums, products = np.array([add(f"s{i}", UNIT) for i in range(P)]), np.array([add(f"q{i}{j}", UNIT**2) for i, j in _PAIRS])
+    mean, precision, det = estimate(need, sums, products, need / upto[-1])
+    old = pdf.iloc[0]
+    better = det < old["det"] * (1 - SETTLED)
+    if not better:  # what was there is as good
+        return pd.DataFrame({"fit_key": [old["fit_key"]], "start": [old["start"]], "mean": [list(old["mean"])], "precision": [list(old["precision"])], "det": [old["det"]], "done": [True]})
+    return pd.DataFrame({"fit_key": [old["fit_key"]], "start": [old["start"]], "mean": [mean.tolist()], "precision": [[float(precision[i, j]) for i, j in _PAIRS]], "det": [det], "done": [False]})
+
+
+def quartiles(keyed: DataFrame) -> DataFrame:
+    """(fit_key, mid, scale): median and half the distance of the quartiles of each statistic, exact, from counts of its values: UNIT
+    values for each step of one, whatever the number of rows."""
+    values = keyed.unpivot(["fit_key"], list(FEATURES), "feature", "v").groupBy("fit_key", "feature", "v").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("fit_key", "feature").orderBy("v")
+    upto = values.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("fit_key", "feature")))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v")))
+    found = upto.groupBy("fit_key", "feature").agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
+    pick = lambda f, c: F.max(F.when(F.col("feature") == f, c))
+    spread = (F.col("high") - F.col("low")) / (2.0 * UNIT)
+    return found.groupBy("fit_key").agg(F.array(*[pick(f, F.col("mid") / float(UNIT)) for f in FEATURES]).alias("mid"), F.array(*[pick(f, spread) for f in FEATURES]).alias("spread"))
+
+
+def _starts(pdf):
+    """Median, quartiles and sums of products of squashed values and of directions -> a group's first states."""
+    import pandas as pd
+
+    row = pdf.iloc[0]
+    scale = np.hypot(np.array(row["spread"], float) * 1.4826, FLOOR)
+    found = [np.diag(np.square(FLOOR)), np.diag(np.square(scale))]
+    for name in ("t", "u"):
+        form = square([row[f"{name}{i}{j}"] / UNIT**2 / row["n"] for i, j in _PAIRS])
+        size = np.sqrt(np.maximum(np.diag(form), 1e-6))
+        correlation = form / np.outer(size, size)
+        np.fill_diagonal(correlation, 1.01)  # never singular
+        found.append(correlation * np.outer(scale, scale))
+    rows = [(row["fit_key"], k, list(row["mid"]), [float(np.linalg.inv(c)[i, j]) for i, j in _PAIRS], math.inf, False) for k, c in enumerate(found)]
+    return pd.DataFrame(rows, columns=["fit_key", "start", "mean", "precision", "det", "done"])
+
+
+def starts(keyed: DataFrame) -> DataFrame:
+    mid = materialize(quartiles(keyed), "quality-medians").withColumnRenamed("fit_key", "m_key")
+    near = keyed.join(mid, F.col("m_key") == F.col("fit_key"))
+    z = [(F.col(f) / float(UNIT) - F.col("mid")[i]) / F.sqrt(F.pow(F.col("spread")[i] * 1.4826, 2) + FLOOR[i] ** 2) for i, f in enumerate(FEATURES)]
+    long = F.sqrt(sum((F.pow(c, 2) for c in z), F.lit(1e-12)))
+    whole = lambda c: F.round(c * UNIT).cast("long")
+    near = near.select("fit_key", "mid", "spread", *[whole(F.tanh(c)).alias(f"t{i}") for i, c in enumerate(z)], *[whole(c / long).alias(f"u{i}") for i, c in enumerate(z)])
+    sums = [F.sum(F.col(f"{k}{i}") * F.col(f"{k}{j}")).alias(f"{k}{i}{j}") for k in "tu" for i, j in _PAIRS]
+    return near.groupBy("fit_key", "mid", "spread").agg(F.count("*").alias("n"), *sums).groupBy("fit_key").applyInPandas(_starts, _STATE)
+
+
+def fit(stats: DataFrame, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Statistics -> (fit_key by language and source, estimate by fit_key: mean, precision and det of the best start)."""
+    whole = [F.round(c * UNIT).cast("long").alias(k) for k, c in feature_columns().items()]
+    good = materialize(stats.filter(~F.col("base_failed")).select("lang", "source", *whole), "quality-features")
     null = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     own = F.concat_ws("\t", F.lit("own"), F.length(null(F.col("lang"))), null(F.col("lang")), null(F.col("source")))
     pool = F.concat_ws("\t", F.lit("lang"), null(F.col("lang")))
     groups = materialize(good.groupBy("lang", "source").count(), "quality-groups")
-    small = groups.filter(F.col("count") < MIN_ROWS).groupBy(F.col("lang").alias("l")).agg(F.sum("count").alias("pooled"))
+    small = groups.filter(F.col("count") < min_rows).groupBy(F.col("lang").alias("l")).agg(F.sum("count").alias("pooled"))
     keys = groups.join(small, F.col("l").eqNullSafe(F.col("lang")), "left").select(
         F.col("lang").alias("k_lang"), F.col("source").alias("k_source"),
-        F.when(F.col("count") >= MIN_ROWS, own).when(F.col("pooled") >= MIN_ROWS, pool).otherwise("all").alias("fit_key"),
+        F.when(F.col("count") >= min_rows, own).when(F.col("pooled") >= min_rows, pool).otherwise("all").alias("fit_key"),
     )
     keys = materialize(keys, "quality-keys")
     keyed = good.join(keys, F.col("k_lang").eqNullSafe(F.col("lang")) & F.col("k_source").eqNullSafe(F.col("source"))).select("fit_key", *FEATURES)
     x = [F.col(f) for f in FEATURES]
     sums = [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in _PAIRS]]
-    # The start: all rows but those far out in any one feature, seen from the medians of the features.
-    start = keyed.groupBy("fit_key").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)])
-    unit = F.array(*[F.lit(1 / FLOOR[i] ** 2 if i == j else 0.0) for i, j in _PAIRS])
-    estimate = start.select("fit_key", F.array(*[F.col(f"m{i}") for i in range(P)]).alias("mean"), unit.alias("precision"))
-    for _ in range(STEPS):
-        estimate = materialize(estimate, "quality-step")
-        near = keyed.join(estimate.withColumnRenamed("fit_key", "e_key"), F.col("e_key") == F.col("fit_key"))
-        bins = near.groupBy("fit_key", _bin(distance2(x, F.col("mean"), F.col("precision"))).alias("bin")).agg(*sums)
-        estimate = bins.groupBy("fit_key").applyInPandas(_solve(keep), _FIT)
-    return keys, materialize(estimate, "quality-estimate")
+    state = materialize(starts(keyed), "quality-starts")
+    ended = []
+    while True:  # determinants fall and are bounded below, so every start ends
+        open_ = state.filter("NOT done").select(F.col("fit_key").alias("e_key"), "start", "mean", "precision", "det")
+        near = keyed.join(open_, F.col("e_key") == F.col("fit_key"))
+        bins = near.groupBy("fit_key", "start", "mean", "precision", "det", _bin(distance2(x, F.col("mean"), F.col("precision"))).alias("bin")).agg(*sums)
+        state = materialize(bins.groupBy("fit_key", "start").applyInPandas(_concentrate, _STATE), "quality-step")
+        ended.append(state.filter("done"))
+        if state.filter("NOT done").isEmpty():
+            break
+    found = ended[0]
+    for more in ended[1:]:
+        found = found.unionByName(more)
+    best = found.groupBy("fit_key").agg(F.min_by(F.struct("mean", "precision", "det"), F.struct("det", "start")).alias("best")).select("fit_key", "best.*")
+    return keys, materialize(best, "quality-estimate")
 
 
 def judge(stats: DataFrame, keys: DataFrame, estimate: DataFrame) -> DataFrame:
     """stats with distance2 and kept; the estimates have a row per group and are joined by their size."""
     fitted = materialize(keys.join(estimate, "fit_key"), "quality-fitted").select(F.struct("*").alias("__fit"))
     out = stats.join(fitted, F.col("__fit.k_lang").eqNullSafe(stats["lang"]) & F.col("__fit.k_source").eqNullSafe(stats["source"]), "left")
-    d2 = distance2([c for c in feature_columns().values()], F.col("__fit.mean"), F.col("__fit.precision"))
+    whole = [F.round(c * UNIT).cast("long") for c in feature_columns().values()]
+    d2 = F.round(distance2(whole, F.col("__fit.mean"), F.col("__fit.precision")), 6)
     out = out.withColumn("distance2", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
     return out.select(*stats.columns, "distance2", "kept")
 

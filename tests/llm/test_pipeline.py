@@ -59,3 +59,30 @@ def test_stages_on_awkward_rows(spark):
     assert counts["BPE encoding and decoding"] == n and counts["quality rules"] < n - wordless
     kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_group(spark, docs, SF).collect()}
     assert {(4, None), (5, ""), (6, " \n\t "), (None, None), (19, "\n\n\n")} <= kept and (2, awkward()[1][1]) not in kept and (8, "a") not in kept
+
+
+def test_whole_pipeline_against_brute_force(spark):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import hashlib
+
+    import numpy as np
+    from llm import brute
+    from llm.fixtures import components, jaccard_links, shingles
+    from tokenizers import Tokenizer
+
+    from corvane.llm import bpe
+
+    docs = sorted((r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    docs = [d for d, k in zip(docs, brute.quality([d[1:] for d in docs]), strict=True) if k]
+    docs = [(d[0], t, *d[2:]) for d, (t, n) in zip(docs, brute.lines([d[:2] for d in docs]), strict=True) if not (n and t == "")]
+    sets = [shingles(d[1], 5) for d in docs]
+    docs = [d for k, (d, c) in enumerate(zip(docs, components(len(docs), jaccard_links(sets, 80)), strict=True)) if k == c]
+    docs = [d for d, n in zip(docs, brute.mix([(d[0], d[1], d[3]) for d in docs]), strict=True) for _ in range(n)]
+    lib = Tokenizer.from_file(bpe.tokenizer_path())
+    want = []
+    for d in docs:
+        ids = lib.encode(d[1], add_special_tokens=False).ids
+        want.append((d[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert want and sorted(rows(corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))) == sorted(want)

@@ -127,8 +127,41 @@ def test_quality_with_a_third_of_junk(spark):
     assert all(out[i] for i in range(200)) and not any(v for i, v in out.items() if i >= 1000)
 
 
+def test_estimate_against_all_half_sets(spark):
+    """Groups of 13 rows, up to four of them outliers: the determinant is near that of the best of all half-sets, verdicts are its own."""
+    from llm import brute
+
+    r, data = random.Random(3), []
+    for g in range(12):
+        for i in range(13):
+            n = r.randint(60, 400)
+            out = i < g % 5
+            data.append((g * 100 + i, "en", f"s{g}", False, n, int(n * (9.5 if out and g % 2 else r.uniform(4.2, 5.2))), int(n * 0.6) if out and not g % 2 else r.randint(0, 2), 0, r.randint(0, n // 25)))
+    stats = spark.createDataFrame(data, "doc_id long, lang string, source string, base_failed boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    keys, estimate = quality.fit(stats, min_rows=10)
+    det = {x["k_source"]: x["det"] for x in keys.join(estimate, "fit_key").collect()}
+    kept = {x["doc_id"]: x["kept"] for x in quality.judge(stats, keys, estimate).collect()}
+    for g in range(12):
+        mine = [d for d in data if d[2] == f"s{g}"]
+        x = np.array([brute.features((d[4], d[5], d[6], d[7], d[8])) for d in mine])
+        part = brute.least_determinant(x)
+        assert det[f"s{g}"] <= 1.25 * np.linalg.det(brute.scatter(x[part], len(part) / 13)), g  # no search but the full one is sure of the least
+        assert [kept[d[0]] for d in mine] == [bool(v <= brute.CUTOFF) for v in brute.distances(x, x[part], len(part) / 13)]
+
+
+def test_verdicts_of_real_documents(spark):
+    """Verdicts equal those of a search from random starts; reruns over other partitions give the same bits."""
+    from llm import brute
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", "text")
+    data = [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    out = {r["doc_id"]: (r["kept"], r["distance2"]) for r in quality.quality(docs).collect()}
+    assert [out[d[0]][0] for d in data] == brute.quality([(d[3], d[1], d[2]) for d in data])
+    assert out == {r["doc_id"]: (r["kept"], r["distance2"]) for r in quality.quality(docs.repartition(7)).collect()}
+
+
 def test_chi2():
-    assert quality.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and quality.CONSISTENCY == pytest.approx(1.486, abs=1e-2)
+    assert quality.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and quality.consistency(0.75) == pytest.approx(1.486, abs=1e-2)
 
 
 # BPE
