@@ -1,14 +1,14 @@
 """Operator 3: token ids in binary files, coded by a static range asymmetric numeral system (rANS).
 
-Files are Parquet datasets whose rows are self-contained blocks, so Spark's committer makes them whole or absent and a
-lost executor's blocks are written again. One frequency table, counted over all documents, serves every block. A block
-holds up to BLOCK_TOKENS ids in LANES interleaved streams: lane k codes ids k, k + LANES, ... Checkpoints keep the
-lanes' states and the place in the words every CHECK_ROWS rows, so one block can be decoded from several places at once;
-checksums cover the coded words and the ids.
+A folder holds everything that its reader needs: ``table`` (id, freq), the one frequency table of all blocks, counted over all
+documents, and ``blocks``, written last. Both are Parquet datasets whose rows are whole or absent, by Spark's committer; a lost
+executor's blocks are written again. A block is a self-contained row and holds up to BLOCK_TOKENS ids in LANES interleaved
+streams: lane k codes ids k, k + LANES, ... Checkpoints keep the lanes' states and the place in the words every CHECK_ROWS rows;
+the reader decodes a block from all its checkpoints at once, lane beside lane. Checksums cover the table, the coded words and the ids.
 
 Documents stand in ascending doc_id order (null last, ties by content) over range partitions named shards; a document
-longer than a block goes on in the next one. Null text is the empty text, which has its end id alone. An empty table
-gives an empty dataset.
+longer than a block goes on in the next one. Null text is the empty text, which has its end id alone; repeated rows are as many
+documents; other columns are not read, whatever their names. An empty table gives an empty dataset.
 """
 
 from __future__ import annotations
@@ -20,20 +20,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import as_bytes, encoder, slices, tokenizer_path
-from corvane.llm.common import documents, lean, materialize, partitions
+from corvane.llm.common import documents, lean, materialize, partitions, work_dir
 
-MAGIC, VERSION = b"CVRA", 1
+MAGIC, VERSION = b"CVRA", 2
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 LANES = 2048
 BLOCK_TOKENS = 1 << 19
 CHECK_ROWS = 128
 END_ID = 1
-HEAD = struct.Struct("<4sHHIIIIII")  # magic, version, scale bits, ids, lanes, checkpoints, words, crc of words, crc of ids
+SIZES = struct.Struct("<4sHHIIII")  # magic, version, scale bits, ids, lanes, checkpoints, words
+HEAD = struct.Struct("<4sHHIIIIII")  # these, crc of them, of checkpoints and words, crc of ids
 
 
 def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
@@ -88,43 +89,58 @@ def encode_block(ids: np.ndarray, tables: Tables, lanes: int = LANES, check_rows
     marks.reverse()
     sizes = np.concatenate([[0], np.cumsum([len(w) // 4 for w in words])]).astype(np.int64) if rows else np.zeros(1, np.int64)
     body = b"".join(words)
-    head = HEAD.pack(MAGIC, VERSION, tables.bits, n, lanes, len(marks), len(body) // 4, zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes()))
-    return b"".join([head, *(struct.pack("<II", r, int(sizes[r])) + s.astype("<u8").tobytes() for r, s in marks), body])
+    sizes_ = (MAGIC, VERSION, tables.bits, n, lanes, len(marks), len(body) // 4)
+    held = b"".join([*(struct.pack("<II", r, int(sizes[r])) + s.astype("<u8").tobytes() for r, s in marks), body])
+    return HEAD.pack(*sizes_, zlib.crc32(held, zlib.crc32(SIZES.pack(*sizes_))), zlib.crc32(ids.astype("<u4").tobytes())) + held
 
 
 def decode_block(raw: bytes, tables: Tables, first: int = 0, last: int | None = None) -> np.ndarray:
-    """All ids of a block, or those from checkpoint ``first`` to before checkpoint ``last``; raises on a broken checksum."""
-    magic, version, bits, n, lanes, marks, n_words, crc_words, crc_ids = HEAD.unpack_from(raw)
+    """All ids of a block, or those from checkpoint ``first`` to before checkpoint ``last``; raises on a broken checksum.
+
+    All spans between checkpoints are decoded side by side: one step takes a row of each."""
+    magic, version, bits, n, lanes, marks, n_words, crc_held, crc_ids = HEAD.unpack_from(raw)
     if magic != MAGIC or version != VERSION or bits != tables.bits:
         raise ValueError("not a block of this format")
-    at, checks = HEAD.size, []
+    if zlib.crc32(raw[HEAD.size :], zlib.crc32(raw[: SIZES.size])) != crc_held:
+        raise ValueError("the words of a block are damaged")
+    at, row, place, states = HEAD.size, [], [], []
     for _ in range(marks):
-        checks.append((*struct.unpack_from("<II", raw, at), at + 8))
+        r, w = struct.unpack_from("<II", raw, at)
+        row.append(r)
+        place.append(w)
+        states.append(np.frombuffer(raw, "<u8", lanes, at + 8))
         at += 8 + 8 * lanes
-    body = raw[at : at + 4 * n_words]
-    if zlib.crc32(body) != crc_words:
-        raise ValueError("the words of a block are damaged")
-    words = np.frombuffer(body, "<u4").astype(np.uint64)
     if not n:
         return np.zeros(0, np.uint32)
-    row, place, states = checks[first]
-    stop = checks[last][0] if last is not None and last < marks else -(-n // lanes)
-    state = np.frombuffer(raw, "<u8", lanes, states).copy()
-    out = np.empty(min(n, stop * lanes) - row * lanes, np.uint32)
+    words = np.append(np.frombuffer(raw, "<u4", n_words, at), np.zeros(1, "<u4")).astype(np.uint64)
+    last = marks if last is None else min(last, marks)
+    starts = np.array(row[first:last], np.int64)
+    place = np.array(place[first:last], np.int64)
+    state = np.stack(states[first:last])
+    ends = np.append(starts[1:], row[last] if last < marks else -(-n // lanes))
+    steps = ends - starts
+    out = np.zeros(int(steps.sum()) * lanes, np.uint32)
+    rows = out.reshape(-1, lanes)
+    offset = starts - starts[0]
     scale, mask = np.uint64(bits), np.uint64((1 << bits) - 1)
-    for r in range(row, stop):
-        a = (r - row) * lanes
-        m = min(lanes, len(out) - a)
-        x = state[:m]
+    tail = n - (n - 1) // lanes * lanes  # ids in the block's last row
+    for r in range(int(steps.max())):
+        on = np.flatnonzero(steps > r)
+        x = state if len(on) == len(steps) else state[on]
         slot = x & mask
         s = tables.symbol[slot]
         x = tables.freq[s] * (x >> scale) + slot - tables.start[s]
-        low = np.flatnonzero(x < LOW)
-        x[low] = (x[low] << np.uint64(32)) | words[place : place + len(low)]
-        place += len(low)
-        state[:m] = x
-        out[a : a + m] = s
-    if first == 0 and last is None and zlib.crc32(out.astype("<u4").tobytes()) != crc_ids:
+        low = x < LOW
+        if last == marks and on[-1] == len(steps) - 1 and r == steps[-1] - 1:
+            low[-1, tail:] = False  # lanes without an id in this row
+        taken = np.cumsum(low, axis=1)
+        span, lane = np.nonzero(low)
+        x[span, lane] = (x[span, lane] << np.uint64(32)) | words[place[on][span] + taken[span, lane] - 1]
+        place[on] += taken[:, -1]
+        state[on] = x
+        rows[offset[on] + r] = s
+    out = out[: n - int(starts[0]) * lanes] if last == marks else out
+    if first == 0 and last == marks and zlib.crc32(out.astype("<u4").tobytes()) != crc_ids:
         raise ValueError("the ids of a block are damaged")
     return out
 
@@ -193,18 +209,21 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
 
 
 _BLOCK = "shard int, block int, first long, n_tokens long, seq array<long>, doc_id array<long>, doc_first array<long>, part array<int>, n array<long>, payload binary"
+_TABLE = "bits int, size int, ids binary, freqs binary, crc32 long"
 
 
-def write_blocks(docs: DataFrame, path: str | None = None, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, Tables]:
-    """Tokenises, counts, codes and writes; returns the blocks as read back, and the tables (also written, beside them)."""
+def write_files(docs: DataFrame, folder: str | None = None, path: str | None = None, block_tokens: int = BLOCK_TOKENS) -> str:
+    """Tokenises, counts, codes and writes; returns the folder, by default a new one in the session's shared folder."""
     path = path or tokenizer_path()
     spark = docs.sparkSession
+    folder = folder or work_dir(spark, "token-files")
     coder = encoder(path)
     size, width = coder.size, np.dtype(coder.type).str
     tokens = materialize(tokenise(docs, path), "ids")
     freq = scaled(count_ids(tokens, size))
-    rows = [(i, int(f)) for i, f in enumerate(freq) if f]
-    materialize(spark.createDataFrame(rows, "id int, freq int"), "rans-table")
+    ids, freqs = np.flatnonzero(freq), freq[freq > 0]
+    rows = [(SCALE_BITS, size, ids.astype("<u4").tobytes(), freqs.astype("<u4").tobytes(), zlib.crc32(ids.astype("<u4").tobytes() + freqs.astype("<u4").tobytes()))]
+    spark.createDataFrame(rows, _TABLE).coalesce(1).write.parquet(f"{folder}/table")
     tables = spark.sparkContext.broadcast(freq)
 
     @lean
@@ -241,17 +260,41 @@ def write_blocks(docs: DataFrame, path: str | None = None, block_tokens: int = B
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie").asc()]
     ranged = tokens.filter("counts IS NULL").select("doc_id", "tie", "packed").repartitionByRange(max(2, partitions(spark)), *order).sortWithinPartitions(*order, F.col("packed"))
-    return materialize(ranged.select("doc_id", "packed").mapInArrow(run, _BLOCK), "blocks", "uncompressed"), Tables(freq)
-
-
-def read_documents(blocks: DataFrame, tables: Tables) -> DataFrame:
-    """Blocks -> (doc_id, start, n_tokens, ids_crc32), from the decoded ids."""
-    spark = blocks.sparkSession
-    shared = spark.sparkContext.broadcast(tables.freq.astype(np.int64))
+    ranged.select("doc_id", "packed").mapInArrow(run, _BLOCK).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    return folder
+
+
+def read_table(spark: SparkSession, folder: str) -> Tables:
+    """The frequency table of a folder: one row, a few hundred KB by the vocabulary."""
+    row = spark.read.schema(_TABLE).parquet(f"{folder}/table").first()
+    if zlib.crc32(bytes(row["ids"]) + bytes(row["freqs"])) != row["crc32"]:
+        raise ValueError("the frequency table is damaged")
+    freq = np.zeros(row["size"], np.int64)
+    freq[np.frombuffer(row["ids"], "<u4")] = np.frombuffer(row["freqs"], "<u4")
+    return Tables(freq, row["bits"])
+
+
+@lean
+def _join_crcs(batches):
+    for batch in batches:
+        crcs = []
+        for items in batch.column(0).to_pylist():
+            crc = items[0]["crc"]
+            for x in items[1:]:
+                crc = crc_join(crc, x["crc"], 4 * x["n"])
+            crcs.append(crc)
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(crcs, pa.int64())], names=[*batch.schema.names[1:], "ids_crc32"])
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document in a folder's files, from the decoded ids; the folder is all it takes."""
+    tables = read_table(spark, folder)
+    blocks = spark.read.schema(_BLOCK).parquet(f"{folder}/blocks")
+    shared = spark.sparkContext.broadcast((tables.freq.astype(np.int64), tables.bits))
 
     @lean
     def run(batches):
-        table = Tables(shared.value)
+        table = Tables(*shared.value)
         for batch in batches:
             for r in batch.to_pylist():
                 ids, at, crcs = decode_block(r["payload"], table), 0, []
@@ -266,18 +309,11 @@ def read_documents(blocks: DataFrame, tables: Tables) -> DataFrame:
 
     parts = blocks.mapInArrow(run, "shard int, seq long, doc_id long, doc_first long, part int, n long, crc long")
     grouped = parts.groupBy("shard", "seq", "doc_id", "doc_first").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("part", "n", "crc"))).alias("parts"))
-
-    @F.udf("long")
-    def whole(items):
-        crc = items[0]["crc"]
-        for x in items[1:]:
-            crc = crc_join(crc, x["crc"], 4 * x["n"])
-        return crc
-
     # Only documents that go over a block's end have several parts, two for most blocks.
     grouped = materialize(grouped, "block-documents")
-    one = grouped.filter(F.size("parts") == 1).withColumn("ids_crc32", F.col("parts")[0]["crc"])
-    more = grouped.filter(F.size("parts") > 1).withColumn("ids_crc32", whole("parts"))
+    names = ["shard", "doc_id", "doc_first", "n_tokens"]
+    one = grouped.filter(F.size("parts") == 1).select(*names, F.col("parts")[0]["crc"].alias("ids_crc32"))
+    more = grouped.filter(F.size("parts") > 1).select("parts", *names).mapInArrow(_join_crcs, "shard int, doc_id long, doc_first long, n_tokens long, ids_crc32 long")
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     bases = materialize(shards.select("shard", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base")), "shard-bases")
@@ -286,4 +322,4 @@ def read_documents(blocks: DataFrame, tables: Tables) -> DataFrame:
 
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
-    return read_documents(*write_blocks(documents(spark, sf_dir)))
+    return read_documents(spark, write_files(documents(spark, sf_dir)))

@@ -87,8 +87,7 @@ def test_water_filling(spark):
 def test_empty_tables(empty):
     assert mixing.mix(empty).count() == quality.quality(empty).count() == bpe.encode(empty).count() == lines.dedup_lines(empty).count() == 0
     assert substring.remove_repeats(empty).count() == suffixes.remove_repeats(empty).count() == ngram_join.near_documents(empty).count() == 0
-    blocks, tables = token_files.write_blocks(empty)
-    assert token_files.read_documents(blocks, tables).count() == 0
+    assert token_files.read_documents(empty.sparkSession, token_files.write_files(empty)).count() == 0
 
 
 # quality
@@ -203,9 +202,9 @@ def test_bpe_real(real, lib):
 
 
 @pytest.mark.parametrize("block_tokens", [1 << 19, 64])
-def test_token_files(docs, lib, block_tokens):
-    blocks, tables = token_files.write_blocks(docs, block_tokens=block_tokens)
-    got = sorted((r["start"], r["n_tokens"], r["ids_crc32"], r["doc_id"]) for r in token_files.read_documents(blocks, tables).collect())
+def test_token_files(spark, docs, lib, block_tokens, tmp_path):
+    folder = token_files.write_files(docs, f"{tmp_path}/files", block_tokens=block_tokens)
+    got = sorted((r["start"], r["n_tokens"], r["ids_crc32"], r["doc_id"]) for r in token_files.read_documents(spark, folder).collect())
     data = [(r[0], lib.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in awkward()]
     assert [x[3] for x in got] == sorted((x[0] for x in data if x[0] is not None)) + [None, None]
     at = 0
@@ -214,6 +213,33 @@ def test_token_files(docs, lib, block_tokens):
         at += n
 
 
+def test_token_query(spark, real, lib):
+    from corvane.llm import queries
+
+    at, got = 0, {r["doc_id"]: r for r in queries.queries()["op3_token_files"](spark, SF).collect()}
+    for r in real.orderBy("doc_id").collect():
+        ids = np.array([*lib.encode(r["text"], add_special_tokens=False).ids, 1], "<u4")
+        assert (got[r["doc_id"]]["start"], got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert len(got) == real.count()
+
+
+def test_damaged_files(spark, docs, tmp_path):
+    """Bytes that change on disk are found, wherever they are: in the table, in coded words, in a state."""
+    folder = token_files.write_files(docs, f"{tmp_path}/files")
+    blocks, table = (spark.read.parquet(f"{folder}/{k}").collect() for k in ("blocks", "table"))
+    r = max(blocks, key=lambda r: len(r["payload"]))
+    for at in (len(r["payload"]) - 3, token_files.HEAD.size + 12):
+        raw = bytearray(r["payload"])
+        raw[at] ^= 4
+        with pytest.raises(ValueError):
+            token_files.decode_block(bytes(raw), token_files.read_table(spark, folder))
+    bad = table[0].asDict() | {"freqs": bytes([table[0]["freqs"][0] ^ 1]) + bytes(table[0]["freqs"][1:])}
+    spark.createDataFrame([bad], token_files._TABLE).write.mode("overwrite").parquet(f"{folder}/table")
+    with pytest.raises(ValueError, match="table"):
+        token_files.read_documents(spark, folder)
+
+
 def test_rans_block():
     r = np.random.default_rng(4)
     for n in (1, 31, 5000, 100_000):
