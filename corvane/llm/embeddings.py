@@ -2,13 +2,15 @@
 
 Pivots are reference points: farthest-first picks among the SAMPLE classes with the smallest hashes (all rows are indexed; only
 the pivots come from a bounded sample). A vector is described by its NEAREST pivots, in order. Inverted lists are keyed
-by pairs of pivots; a pair of vectors meets in the list of the two smallest pivots that they share, once, and only if
-they share SHARED pivots at least. Then the cosine in double precision decides. Tasks return counts and a spanning forest
-for each list, never pairs; lists over BLOCK vectors are cut into pairs of blocks. The number of pivots grows with the
-square root of the number of vectors, so that lists keep their length.
-
-Equal vectors are one class with a weight. Null vectors, zero vectors and those with null or non-finite components link with
-nothing and are their own component; vectors meet those of their own length alone, in an index for each. A null vec_id never is the smallest. An empty table gives no rows.
+by pairs of pivots and hold numbers of pivots alone, no vectors; a pair of vectors meets in the list of the two smallest pivots that they share, once, and
+only if they share SHARED pivots at least. Vectors are fetched for the lists where they have such a partner, and the cosine in double
+precision decides. Tasks return counts and a spanning forest for each list, never pairs; lists over BLOCK vectors are cut into
+pairs of blocks. The number of pivots grows with the square root of the number of vectors, so that lists keep their length, up to
+MOST_PIVOTS; beyond it lists grow and are cut into more blocks, no pair is left out.
+
+Equal vectors are one class with a weight, told apart by 128 bits of hash and numbered. Null vectors, zero vectors and those with null or non-finite
+components link with nothing and are their own component; vectors meet those of their own length alone, in an index for each. A
+null vec_id never is the smallest. Rows may repeat a vec_id; other columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,8 +52,8 @@ def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
     return x[picked]
 
 
-def links_within(x: np.ndarray, sets: np.ndarray, left: np.ndarray, right: np.ndarray, key: tuple[int, int], shared: int, threshold: float):
-    """Linked pairs (i, j) of left x right whose two smallest shared pivots are the key's; each pair once."""
+def partners(sets: np.ndarray, left: np.ndarray, right: np.ndarray, key: tuple[int, int], shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places in left, in right) whose two smallest shared pivots are the key's, with ``shared`` in common; each pair once."""
     pivots = np.unique(sets)
     place = np.searchsorted(pivots, sets)
     has = np.zeros((len(sets), len(pivots)), np.float32)
@@ -61,9 +63,15 @@ def links_within(x: np.ndarray, sets: np.ndarray, left: np.ndarray, right: np.nd
     i, j = np.nonzero(ok)
     if np.array_equal(left, right):
         i, j = i[i < j], j[i < j]
+    return i, j
+
+
+def links_within(x: np.ndarray, sets: np.ndarray, left: np.ndarray, right: np.ndarray, key: tuple[int, int], shared: int, threshold: float):
+    """Linked pairs (i, j) of left x right among those partners."""
+    i, j = partners(sets, left, right, key, shared)
     if not len(i):
         return i, j
-    if len(i) * 4 > ok.size:
+    if len(i) * 4 > len(left) * len(right):
         near = (x[left] @ x[right].T)[i, j] >= threshold
     else:
         near = np.concatenate([np.einsum("ij,ij->i", x[left[i[a : a + 65536]]], x[right[j[a : a + 65536]]]) for a in range(0, len(i), 65536)]) >= threshold
@@ -88,24 +96,52 @@ def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+_LISTED = "p int, q int, cls long, pivots binary"
+_KEYED = "p int, q int, i int, j int, block int, cls long, pivots binary"
+
+
 def _post(pivots, nearest: int):
-    """(cls, n, embedding) -> a row for every pair of its nearest pivots that leaves a larger one."""
+    """(cls, embedding) -> a row for every pair of its nearest pivots that leaves a larger one."""
 
     @lean
     def run(batches):
         p = pivots.value
         for batch in batches:
-            x = matrix(batch.column(2))
+            x = matrix(batch.column(1))
             m = min(nearest, len(p))
             similar = x @ p.T
-            sets = np.sort(np.argpartition(-similar, m - 1, axis=1)[:, :m], axis=1).astype(np.int32) if m < len(p) else np.tile(np.arange(len(p), dtype=np.int32), (len(x), 1))
+            sets = np.sort(np.argpartition(-similar, m - 1, axis=1)[:, :m], axis=1).astype("<u2") if m < len(p) else np.tile(np.arange(len(p), dtype="<u2"), (len(x), 1))
             a, b = (np.zeros(1, np.int64), np.zeros(1, np.int64)) if m < SHARED else np.triu_indices(m - SHARED + 2, 1)
             row = np.repeat(np.arange(len(x)), len(a))
-            flat = pa.array(sets[row].ravel())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sets[:, a].ravel()), pa.array(sets[:, b].ravel()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, m), pa.int32()), flat), batch.column(2).take(pa.array(row))],
-                names=["p", "q", "cls", "n", "pivots", "embedding"],
-            )
+            packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, 2 * m * len(row) + 1, 2 * m, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(sets[row]))])
+            yield pa.RecordBatch.from_arrays([pa.array(sets[:, a].ravel().astype(np.int32)), pa.array(sets[:, b].ravel().astype(np.int32)), batch.column(0).take(pa.array(row)), packed], names=["p", "q", "cls", "pivots"])
+
+    return run
+
+
+def _lists(table: pa.Table):
+    """(key, rows of its first block, rows of its second one, pivots of all rows) of each list of a bucket."""
+    keys = np.stack([table[k].to_numpy() for k in ("p", "q", "i", "j")], 1)
+    sets = np.frombuffer(b"".join(table["pivots"].to_pylist()), "<u2").reshape(len(keys), -1)
+    block = table["block"].to_numpy()
+    order = np.lexsort(keys.T[::-1])
+    edges = np.flatnonzero((keys[order][1:] != keys[order][:-1]).any(1)) + 1
+    for rows in np.split(order, edges):
+        if len(rows) > 1:
+            p, q, i, j = keys[rows[0]]
+            yield (p, q), rows, np.flatnonzero(block[rows] == i), np.flatnonzero(block[rows] == j), sets[rows]
+
+
+def _with_partners(shared: int):
+    """The rows of one bucket's lists that have a partner there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        keep = np.zeros(table.num_rows, bool)
+        for key, rows, a, b, sets in _lists(table):
+            i, j = partners(sets, a, b, key, min(shared, sets.shape[1]))
+            keep[rows[a[i]]] = keep[rows[b[j]]] = True
+        return table.filter(pa.array(keep)).select([x.split()[0] for x in _KEYED.split(", ")])
 
     return run
 
@@ -117,19 +153,10 @@ def _compare(shared: int, threshold: float):
         table = table.combine_chunks()
         cls, n = table["cls"].to_numpy(), table["n"].to_numpy()
         x = matrix(table["embedding"].combine_chunks())
-        sets = table["pivots"].combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
-        keys = np.stack([table[k].to_numpy() for k in ("p", "q", "i", "j")], 1)
-        block = table["block"].to_numpy()
-        order = np.lexsort(keys.T[::-1])
-        edges = np.flatnonzero((keys[order][1:] != keys[order][:-1]).any(1)) + 1
         weight = np.zeros(len(cls), np.int64)
         forest = []
-        for rows in np.split(order, edges):
-            if len(rows) < 2:
-                continue
-            p, q, i, j = keys[rows[0]]
-            a, b = np.flatnonzero(block[rows] == i), np.flatnonzero(block[rows] == j)
-            s, t = links_within(x[rows], sets[rows], a, b, (p, q), min(shared, sets.shape[1]), threshold)
+        for key, rows, a, b, sets in _lists(table):
+            s, t = links_within(x[rows], sets, a, b, key, min(shared, sets.shape[1]), threshold)
             np.add.at(weight, rows[s], n[rows[t]])
             np.add.at(weight, rows[t], n[rows[s]])
             forest += [(cls[rows[u]], cls[rows[v]]) for u, v in _forest(s, t)]
@@ -152,16 +179,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = vectors.select("vec_id", F.when(usable, e.cast("array<double>")).alias("embedding"))
     rows = rows.withColumn("h", F.struct(F.xxhash64("embedding").alias("x"), F.xxhash64(F.lit(7), "embedding").alias("y"), F.size("embedding").alias("dim")))
     classes = rows.filter("embedding is not null").groupBy("h").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
-    # A class is named by a hash of its vector, as vec_id may be null or repeated.
-    classes = materialize(classes.select(F.xxhash64("h").alias("cls"), "h", "n", "least", "embedding"), "vector-classes")
+    # A class has a number, fixed once it is written, as vec_id may be null or repeated.
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "h", "n", "least", "embedding"), "vector-classes")
     links, forests = [], []
     for dim, count in [(r["dim"], r["count"]) for r in classes.groupBy(F.col("h.dim").alias("dim")).count().collect()]:  # a row for each length of vectors
         same = classes.filter(F.col("h.dim") == dim).select("cls", "n", "embedding")
-        sample = same.orderBy(F.xxhash64("cls", F.lit(3))).limit(SAMPLE).select("embedding").toArrow()
+        sample = same.orderBy(F.xxhash64("embedding", F.lit(3))).limit(SAMPLE).select("embedding").toArrow()
         k = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, math.sqrt(count / 2))))
         pivots = spark.sparkContext.broadcast(farthest_first(matrix(sample["embedding"].combine_chunks()), k))
-        posted = same.mapInArrow(_post(pivots, NEAREST), "p int, q int, cls long, n long, pivots array<int>, embedding array<double>")
-        posted = materialize(posted.withColumn("embedding", F.col("embedding").cast("array<float>")) if dict(vectors.dtypes)["embedding"] == "array<float>" else posted, "vector-lists")
+        posted = materialize(same.select("cls", "embedding").mapInArrow(_post(pivots, NEAREST), _LISTED), "vector-lists")
         full = posted.groupBy("p", "q").count().filter(F.col("count") > BLOCK).select(F.col("p").alias("fp"), F.col("q").alias("fq"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
         cut = posted.join(full, (F.col("p") == F.col("fp")) & (F.col("q") == F.col("fq")), "left").drop("fp", "fq")
         cut = cut.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(9)), F.col("blocks")).cast("int"))
@@ -169,7 +195,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         buckets = 16 * partitions(spark)
         bucket = F.pmod(F.xxhash64("p", "q", "i", "j"), F.lit(buckets)).cast("int").alias("bucket")
         # All lists of a bucket are one task's; a list is at most two blocks.
-        out = cut.select(bucket, "p", "q", "i", "j", "block", "cls", "n", "pivots", "embedding").groupBy("bucket").applyInArrow(_compare(SHARED, threshold), "a long, b long, links long")
+        names = [x.split()[0] for x in _KEYED.split(", ")]
+        met = materialize(cut.select(bucket, *names).groupBy("bucket").applyInArrow(_with_partners(SHARED), _KEYED), "vector-partners")
+        fetched = met.join(same.select(F.col("cls").alias("c"), "n", "embedding"), F.col("c") == F.col("cls"))
+        out = fetched.select(bucket, *names, "n", "embedding").groupBy("bucket").applyInArrow(_compare(SHARED, threshold), "a long, b long, links long")
         out = materialize(out, "vector-links")
         links.append(out.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links")))
         forests.append(out.filter("b is not null").select("a", "b"))
