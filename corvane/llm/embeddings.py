@@ -2,9 +2,10 @@
 
 Pivots are reference points: farthest-first picks among the SAMPLE classes with the smallest hashes (all rows are indexed; only
 the pivots come from a bounded sample). A vector is described by its NEAREST pivots, in order. Inverted lists are keyed
-by pairs of pivots and hold numbers of pivots alone, no vectors; a pair of vectors meets in the list of the two smallest pivots that they share, once, and
-only if they share SHARED pivots at least. Vectors are fetched for the lists where they have such a partner, and the cosine in double
-precision decides. Tasks return counts and a spanning forest for each list, never pairs; lists over BLOCK vectors are cut into
+by pairs of pivots and hold numbers of pivots and a sketch, no vectors; a pair of vectors meets in the list of the two smallest pivots that they share,
+once, and only if they share SHARED pivots at least. The sketch is a projection on SKETCH axes of the sample, a byte each: projections are never
+farther apart than the vectors, so what it rules out can't be linked. Vectors are fetched for the lists where a partner is left, and the
+cosine in double precision decides. Tasks return counts and a spanning forest for each list, never pairs; lists over BLOCK vectors are cut into
 pairs of blocks. The number of pivots grows with the square root of the number of vectors, so that lists keep their length, up to
 MOST_PIVOTS; beyond it lists grow and are cut into more blocks, no pair is left out.
 
@@ -28,6 +29,7 @@ from corvane.llm.components import components
 THRESHOLD = 0.95
 SAMPLE = 4096
 NEAREST, SHARED = 8, 3
+SKETCH = 16
 LEAST_PIVOTS, MOST_PIVOTS = 48, 4096
 BLOCK = 1024
 
@@ -52,23 +54,39 @@ def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
     return x[picked]
 
 
-def partners(sets: np.ndarray, left: np.ndarray, right: np.ndarray, key: tuple[int, int], shared: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (places in left, in right) whose two smallest shared pivots are the key's, with ``shared`` in common; each pair once."""
+def axes(x: np.ndarray, k: int = SKETCH) -> np.ndarray:
+    """Orthonormal columns along which the sample spreads most."""
+    spread = x - x.mean(0)
+    return np.linalg.eigh(spread.T @ spread)[1][:, ::-1][:, :k]
+
+
+def within_reach(threshold: float) -> float:
+    """The largest squared distance of the sketches, in units of a byte, of two unit vectors whose cosine reaches the threshold: half a unit
+    is lost to rounding on each axis of either."""
+    return (127 * math.sqrt(max(0.0, 2 - 2 * threshold)) + math.sqrt(SKETCH) + 1e-3) ** 2
+
+
+def partners(sets: np.ndarray, left: np.ndarray, right: np.ndarray, key: tuple[int, int], shared: int, sketches: np.ndarray | None = None, reach: float = math.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places in left, in right) whose two smallest shared pivots are the key's, with ``shared`` in common and sketches within reach;
+    each pair once."""
     pivots = np.unique(sets)
     place = np.searchsorted(pivots, sets)
     has = np.zeros((len(sets), len(pivots)), np.float32)
     np.put_along_axis(has, place, 1, 1)
     before = has[:, (pivots < key[1]) & (pivots != key[0])]
     ok = (has[left] @ has[right].T >= shared) & (before[left] @ before[right].T == 0)
+    if sketches is not None:  # whole numbers below 2**24: exact in single precision
+        a, b = sketches[left].astype(np.float32), sketches[right].astype(np.float32)
+        ok &= (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T) <= reach
     i, j = np.nonzero(ok)
     if np.array_equal(left, right):
         i, j = i[i < j], j[i < j]
     return i, j
 
 
-def links_within(x: np.ndarray, sets: np.ndarray, left: np.ndarray, right: np.ndarray, key: tuple[int, int], shared: int, threshold: float):
+def links_within(x: np.ndarray, sets: np.ndarray, left: np.ndarray, right: np.ndarray, key: tuple[int, int], shared: int, threshold: float, sketches: np.ndarray | None = None):
     """Linked pairs (i, j) of left x right among those partners."""
-    i, j = partners(sets, left, right, key, shared)
+    i, j = partners(sets, left, right, key, shared, sketches, within_reach(threshold))
     if not len(i):
         return i, j
     if len(i) * 4 > len(left) * len(right):
@@ -100,12 +118,12 @@ _LISTED = "p int, q int, cls long, pivots binary"
 _KEYED = "p int, q int, i int, j int, block int, cls long, pivots binary"
 
 
-def _post(pivots, nearest: int):
-    """(cls, embedding) -> a row for every pair of its nearest pivots that leaves a larger one."""
+def _post(index, nearest: int):
+    """(cls, embedding) -> a row for every pair of its nearest pivots that leaves a larger one: its pivots, two bytes each, and its sketch."""
 
     @lean
     def run(batches):
-        p = pivots.value
+        p, basis = index.value
         for batch in batches:
             x = matrix(batch.column(1))
             m = min(nearest, len(p))
@@ -113,33 +131,38 @@ def _post(pivots, nearest: int):
             sets = np.sort(np.argpartition(-similar, m - 1, axis=1)[:, :m], axis=1).astype("<u2") if m < len(p) else np.tile(np.arange(len(p), dtype="<u2"), (len(x), 1))
             a, b = (np.zeros(1, np.int64), np.zeros(1, np.int64)) if m < SHARED else np.triu_indices(m - SHARED + 2, 1)
             row = np.repeat(np.arange(len(x)), len(a))
-            packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, 2 * m * len(row) + 1, 2 * m, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(sets[row]))])
+            sketch = np.zeros((len(x), SKETCH), np.int8)
+            sketch[:, : basis.shape[1]] = np.rint(127 * (x @ basis))
+            held = np.concatenate([sets.view(np.uint8).reshape(len(x), -1), sketch.view(np.uint8)], 1)
+            width = held.shape[1]
+            packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, width * len(row) + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(held[row]))])
             yield pa.RecordBatch.from_arrays([pa.array(sets[:, a].ravel().astype(np.int32)), pa.array(sets[:, b].ravel().astype(np.int32)), batch.column(0).take(pa.array(row)), packed], names=["p", "q", "cls", "pivots"])
 
     return run
 
 
 def _lists(table: pa.Table):
-    """(key, rows of its first block, rows of its second one, pivots of all rows) of each list of a bucket."""
+    """(key, rows, places of its first block, of its second one, pivots of the rows, sketches) of each list of a bucket."""
     keys = np.stack([table[k].to_numpy() for k in ("p", "q", "i", "j")], 1)
-    sets = np.frombuffer(b"".join(table["pivots"].to_pylist()), "<u2").reshape(len(keys), -1)
+    held = np.frombuffer(b"".join(table["pivots"].to_pylist()), np.uint8).reshape(len(keys), -1)
+    sets, sketches = np.ascontiguousarray(held[:, :-SKETCH]).view("<u2"), np.ascontiguousarray(held[:, -SKETCH:]).view(np.int8)
     block = table["block"].to_numpy()
     order = np.lexsort(keys.T[::-1])
     edges = np.flatnonzero((keys[order][1:] != keys[order][:-1]).any(1)) + 1
     for rows in np.split(order, edges):
         if len(rows) > 1:
             p, q, i, j = keys[rows[0]]
-            yield (p, q), rows, np.flatnonzero(block[rows] == i), np.flatnonzero(block[rows] == j), sets[rows]
+            yield (p, q), rows, np.flatnonzero(block[rows] == i), np.flatnonzero(block[rows] == j), sets[rows], sketches[rows]
 
 
-def _with_partners(shared: int):
+def _with_partners(shared: int, threshold: float):
     """The rows of one bucket's lists that have a partner there."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         keep = np.zeros(table.num_rows, bool)
-        for key, rows, a, b, sets in _lists(table):
-            i, j = partners(sets, a, b, key, min(shared, sets.shape[1]))
+        for key, rows, a, b, sets, sketches in _lists(table):
+            i, j = partners(sets, a, b, key, min(shared, sets.shape[1]), sketches, within_reach(threshold))
             keep[rows[a[i]]] = keep[rows[b[j]]] = True
         return table.filter(pa.array(keep)).select([x.split()[0] for x in _KEYED.split(", ")])
 
@@ -155,8 +178,8 @@ def _compare(shared: int, threshold: float):
         x = matrix(table["embedding"].combine_chunks())
         weight = np.zeros(len(cls), np.int64)
         forest = []
-        for key, rows, a, b, sets in _lists(table):
-            s, t = links_within(x[rows], sets, a, b, key, min(shared, sets.shape[1]), threshold)
+        for key, rows, a, b, sets, sketches in _lists(table):
+            s, t = links_within(x[rows], sets, a, b, key, min(shared, sets.shape[1]), threshold, sketches)
             np.add.at(weight, rows[s], n[rows[t]])
             np.add.at(weight, rows[t], n[rows[s]])
             forest += [(cls[rows[u]], cls[rows[v]]) for u, v in _forest(s, t)]
@@ -186,8 +209,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         same = classes.filter(F.col("h.dim") == dim).select("cls", "n", "embedding")
         sample = same.orderBy(F.xxhash64("embedding", F.lit(3))).limit(SAMPLE).select("embedding").toArrow()
         k = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, math.sqrt(count / 2))))
-        pivots = spark.sparkContext.broadcast(farthest_first(matrix(sample["embedding"].combine_chunks()), k))
-        posted = materialize(same.select("cls", "embedding").mapInArrow(_post(pivots, NEAREST), _LISTED), "vector-lists")
+        picked = matrix(sample["embedding"].combine_chunks())
+        index = spark.sparkContext.broadcast((farthest_first(picked, k), axes(picked)))
+        posted = materialize(same.select("cls", "embedding").mapInArrow(_post(index, NEAREST), _LISTED), "vector-lists")
         full = posted.groupBy("p", "q").count().filter(F.col("count") > BLOCK).select(F.col("p").alias("fp"), F.col("q").alias("fq"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
         cut = posted.join(full, (F.col("p") == F.col("fp")) & (F.col("q") == F.col("fq")), "left").drop("fp", "fq")
         cut = cut.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(9)), F.col("blocks")).cast("int"))
@@ -196,7 +220,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         bucket = F.pmod(F.xxhash64("p", "q", "i", "j"), F.lit(buckets)).cast("int").alias("bucket")
         # All lists of a bucket are one task's; a list is at most two blocks.
         names = [x.split()[0] for x in _KEYED.split(", ")]
-        met = materialize(cut.select(bucket, *names).groupBy("bucket").applyInArrow(_with_partners(SHARED), _KEYED), "vector-partners")
+        met = materialize(cut.select(bucket, *names).groupBy("bucket").applyInArrow(_with_partners(SHARED, threshold), _KEYED), "vector-partners")
         fetched = met.join(same.select(F.col("cls").alias("c"), "n", "embedding"), F.col("c") == F.col("cls"))
         out = fetched.select(bucket, *names, "n", "embedding").groupBy("bucket").applyInArrow(_compare(SHARED, threshold), "a long, b long, links long")
         out = materialize(out, "vector-links")

@@ -88,6 +88,19 @@ def test_vectors_empty_and_repeated(spark):
     assert sorted((r["vec_id"] is None, r["n_links"]) for r in out) == [(False, 3)] * 3 + [(True, 0), (True, 3)]
 
 
+def test_sketches_rule_out_no_link():
+    r = np.random.default_rng(3)
+    for dim in (2, 16, 64, 300):
+        x = r.normal(size=(300, dim))
+        x = np.concatenate([x, x + 0.3 * r.normal(size=x.shape) * r.uniform(0, 1, (300, 1))])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        basis = embeddings.axes(x[:100])
+        s = np.zeros((600, embeddings.SKETCH))
+        s[:, : basis.shape[1]] = np.rint(127 * (x @ basis))
+        far = ((s[:, None] - s[None]) ** 2).sum(2)
+        assert (far[x @ x.T >= 0.95] <= embeddings.within_reach(0.95)).all()
+
+
 def test_vector_recall(spark):
     """Thousands of links with cosines from 0.95 to 0.99, of which nine in ten at least must be found and none too many; and the tables'
     own vectors, which have no link."""
