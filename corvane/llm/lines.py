@@ -1,16 +1,20 @@
-"""Operator 2: line dedup by prefix doubling over line-id sequences.
+"""Operator 2: line dedup by a suffix array over line ids, ranked by distributed prefix doubling.
 
-A document is the sequence of its lines that hold a word, a line's id a 128-bit hash. Doubling gives names to runs of 1, 2,
-4, ... lines, in every task for its own documents; a run of any length is named by the two longest such runs that cover it, so runs
-are equal where their names are and need no common numbering. A repeated run counts from MIN_WORDS words on. Each
-line starts one shortest run with that many words and ends one; a line is in a repeated run of MIN_WORDS words or more
-just if one of those around it is repeated. So these two runs a line are exchanged: first which names occur twice at all,
-then, for those, where each shard has its first one: the reducer's common-prefix interval keeps the first of all. Lines in runs
-that occur before, in the order of doc_id (null last), text hash and place, are deleted; touching runs are one maximal run.
+A document is the sequence of its lines that hold a word, a line's id a 128-bit hash. Lines that occur once end every repeated run, so
+one packed exchange drops them first; the suffixes that begin at other lines are rows (shard, text, place). Their ranks by the first
+2**k lines are order-preserving numbers: equal keys are counted, the distinct ones are sorted by range over the cluster and numbered in
+that order, and the next key of a suffix is its rank and the rank 2**k lines further on, found by a join at that distance. Suffixes whose
+first 2**k lines occur once are complete and go on no further, so rounds shrink.
+
+Suffixes that share their first n lines are a longest-common-prefix interval of the array: for a power of two those of one rank, for
+other lengths those that share the two ranks which cover n lines. Every interval has a first place in the corpus, in the order of doc_id (null
+last), text hash, row and line; its other members are later copies. A run counts from min_words words on. Each line starts one shortest
+run of that many words and ends one, and a line is in a later copy of such a run just if one of these is a later copy, so doubling ends when
+ranks name the longest of them. Later copies are deleted; touching ones are one maximal run.
 
 Lines without words stay unless all other lines go; a document that loses all its words is empty text. Null text
 stays null; rows alike in id and text are copies of each other, and one of them keeps its lines; an empty table gives no
-rows. Other columns stay as they are.
+rows. Other columns stay as they are, but those named as the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -21,31 +25,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import documents, extended, lean, materialize
+from corvane.llm.common import documents, extended, lean, materialize, partitions
 from corvane.llm.shards import Keys, Shards, text_of, unpack_docs
-from corvane.llm.wordhash import mix, planes, unplanes
 
 MIN_WORDS = 10
 _U = np.uint64
-_A = _U(0xD6E8FEB86659FD93)
-_LAST = np.iinfo(np.int64).max
-#: name, name, doc_id (null: the largest), text hash, place of the run
-_FIRST = np.dtype([("hi", "<u8"), ("lo", "<u4"), ("doc", "<i8"), ("tie", "<i8"), ("place", "<u4")])
+_PLACE = ["shard", "text", "place"]
+_SUFFIX = "shard long, text int, place int, hi long, lo long, words long, last boolean, doc_id long, tie long, runs array<int>"
 
 
-class Runs:
+class Lines:
     """Of one shard: the lines with words, text after text, and the shortest runs of min_words from and to each."""
 
-    def __init__(self, table: pa.Table, min_words: int):
-        texts = text_of(table)
-        ids = table["doc_id"].cast(pa.int64()).to_pylist() if "doc_id" in table.column_names else [None] * len(texts)
-        self.texts, self.lines = texts, []
-        hi, lo, words, doc = [], [], [], []
-        tie = np.zeros(len(texts), np.int64)
-        for d, raw in enumerate(texts):
+    def __init__(self, table: pa.Table):
+        self.texts = text_of(table)
+        self.ids = table["doc_id"].cast(pa.int64()).to_pylist() if "doc_id" in table.column_names else [None] * len(self.texts)
+        self.lines, hi, lo, words, doc = [], [], [], [], []
+        for d, raw in enumerate(self.texts):
             lines = (raw or b"").split(b"\n")
             self.lines.append(lines)
-            tie[d] = xxhash.xxh3_64_intdigest(raw or b"") >> 1
             for line in lines:
                 n = len(line.split())
                 if n:
@@ -54,57 +52,31 @@ class Runs:
                     lo.append(h & 0xFFFFFFFFFFFFFFFF)
                     words.append(n)
                     doc.append(d)
-        n = len(words)
-        doc = np.array(doc, np.int64)
-        first = np.searchsorted(doc, np.arange(len(texts) + 1))
-        self.first = first
-        upto = np.concatenate([[0], np.cumsum(np.array(words, np.int64))])
-        i = np.arange(n)
-        stop = np.searchsorted(upto, upto[:-1] + min_words)  # run i..stop-1
-        begin = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1  # run begin..i
-        ahead = np.flatnonzero(stop <= first[doc + 1]) if n else i
-        back = np.flatnonzero((begin >= first[doc]) & (upto[1:] >= min_words)) if n else i
-        both = np.concatenate([i[ahead] << 31 | stop[ahead], begin[back] << 31 | i[back] + 1])
-        both = np.unique(both)  # a run may be both the first line's and the last one's
-        self.start, self.stop = both >> 31, both & (2**31 - 1)
-        length = self.stop - self.start
-        level = np.frexp(length)[1] - 1 if n else length
-        a, b = np.array(hi, _U), np.array(lo, _U)
-        self.hi, low = np.zeros(len(length), _U), np.zeros(len(length), _U)
-        for j in range(int(level.max(initial=0)) + 1 if len(length) else 0):
-            k = np.flatnonzero(level == j)
-            s, t = self.start[k], self.stop[k] - (1 << j)
-            tag = length[k].astype(_U)
-            self.hi[k] = mix(mix(a[s] + tag) * _A + a[t])
-            low[k] = mix(mix(b[s] + tag) * _A + b[t])
-            if len(a) > 1 << j:
-                a, b = (mix(x[: len(x) - (1 << j)] * _A + mix(x[1 << j :])) for x in (a, b))
-        self.lo = (low >> _U(32)).astype(np.uint32)
-        whose = doc[self.start] if n else self.start
-        self.place = (self.start - first[whose]).astype(np.uint32)
-        self.doc = np.array([_LAST if x is None else x for x in ids], np.int64)[whose]
-        self.tie = tie[whose]
-
-    def names(self, buckets: int) -> Keys:
-        return Keys(self.hi, None, np.ones(len(self.hi), bool), buckets)
-
-    def repeated(self, answer, buckets: int) -> np.ndarray:
-        """The runs that may be repeated, in the order of name, then of where they are."""
-        some = np.flatnonzero(self.names(buckets).answered(answer))
-        order = np.lexsort((self.start[some], self.place[some], self.tie[some], self.doc[some], self.lo[some], self.hi[some]))
-        return some[order]
+        self.hi, self.lo, self.words, self.doc = np.array(hi, _U), np.array(lo, _U), np.array(words, np.int64), np.array(doc, np.int64)
+        self.first = np.searchsorted(self.doc, np.arange(len(self.texts) + 1))
 
-    def heads(self, some: np.ndarray) -> np.ndarray:
-        """Which of these runs are the first of their name."""
-        out = np.ones(len(some), bool)
-        out[1:] = (self.hi[some][1:] != self.hi[some][:-1]) | (self.lo[some][1:] != self.lo[some][:-1])
-        return out
+    def keys(self, buckets: int) -> Keys:
+        return Keys(self.hi, None, np.ones(len(self.hi), bool), buckets)
 
-    def kept(self, gone: np.ndarray) -> tuple[list[bytes | None], list[int]]:
+    def runs(self, min_words: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, length) of the shortest runs from and to each line, of which all lines are among ``some``; each once."""
+        n = len(self.words)
+        i, upto = np.arange(n), np.concatenate([[0], np.cumsum(self.words)])
+        stop = np.searchsorted(upto, upto[:-1] + min_words)  # run i..stop-1
+        begin = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1  # run begin..i
+        ahead = np.flatnonzero(stop <= self.first[self.doc + 1]) if n else i
+        back = np.flatnonzero((begin >= self.first[self.doc]) & (upto[1:] >= min_words)) if n else i
+        both = np.unique(np.concatenate([i[ahead] << 31 | stop[ahead], begin[back] << 31 | i[back] + 1]))  # a run may be both
+        start, stop = both >> 31, both & (2**31 - 1)
+        once = np.concatenate([[0], np.cumsum(~some)])
+        whole = once[stop] == once[start]
+        return start[whole], (stop - start)[whole]
+
+    def kept(self, start: np.ndarray, length: np.ndarray) -> tuple[list[bytes | None], list[int]]:
         """Texts without the lines covered by these runs, and how many went."""
         change = np.zeros(self.first[-1] + 1, np.int64)
-        np.add.at(change, self.start[gone], 1)
-        np.add.at(change, self.stop[gone], -1)
+        np.add.at(change, start, 1)
+        np.add.at(change, start + length, -1)
         cut = np.cumsum(change)[:-1] > 0
         out, removed = [], []
         for d, (raw, lines) in enumerate(zip(self.texts, self.lines, strict=True)):
@@ -121,76 +93,103 @@ class Runs:
         return out, removed
 
 
-def _ask_names(min_words: int, buckets: int):
+def _ask_lines(buckets: int):
     @lean
     def run(batches):
         for batch in batches:
             for shard, raw in zip(batch["shard"].to_pylist(), batch["docs"].to_pylist(), strict=True):
-                yield Runs(unpack_docs(raw), min_words).names(buckets).rows(shard, buckets)
+                yield Lines(unpack_docs(raw)).keys(buckets).rows(shard, buckets)
 
     return run
 
 
-def _ask_firsts(min_words: int, buckets: int):
-    shift = _U(64 - (buckets - 1).bit_length())
+def _suffixes(min_words: int, buckets: int):
+    """A row for each line that may occur twice, with the lengths of the shortest runs that start there."""
 
     @lean
     def run(batches):
         for batch in batches:
-            for shard, raw, answer in zip(batch["shard"].to_pylist(), batch["docs"].to_pylist(), batch["answer0"].to_pylist(), strict=True):
-                r = Runs(unpack_docs(raw), min_words)
-                some = r.repeated(answer, buckets)
-                some = some[r.heads(some)]
-                items = np.zeros(len(some), _FIRST)
-                for name in _FIRST.names:
-                    items[name] = getattr(r, name)[some]
-                rims = np.searchsorted((items["hi"] >> shift).astype(np.int64), np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(rims))
-                packed = [planes(np.ascontiguousarray(items[rims[b] : rims[b + 1]])) for b in used]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([shard] * len(used), pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "shard", "keys"])
+            for shard, raw, answer in zip(*(batch[k].to_pylist() for k in ("shard", "docs", "answer0")), strict=True):
+                x = Lines(unpack_docs(raw))
+                some = x.keys(buckets).answered(answer)
+                start, length = x.runs(min_words, some)
+                at = np.flatnonzero(some)
+                doc, m = x.doc[at], len(at)
+                tie = np.array([xxhash.xxh3_64_intdigest(t or b"") >> 1 for t in x.texts], np.int64)
+                offsets = np.searchsorted(start, np.append(at, len(some)))
+                ids = pa.array(x.ids, pa.int64()).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([shard] * m, pa.int64()), pa.array(doc.astype(np.int32)), pa.array((at - x.first[doc]).astype(np.int32)), pa.array(x.hi[at].view(np.int64)), pa.array(x.lo[at].view(np.int64)),
+                        pa.array(x.words[at]), ids.is_null(), ids, pa.array(tie[doc]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(length.astype(np.int32))),
+                    ],
+                    names=[c.split()[0] for c in _SUFFIX.split(", ")],
+                )
 
     return run
 
 
-def _first_of_all(table: pa.Table) -> pa.Table:
-    """A bit for each name that a shard sent: whether its run is the first of all."""
-    shards = table["shard"].to_numpy()
-    read = [unplanes(x, _FIRST) for x in table["keys"].to_pylist()]
-    items, whose = np.concatenate(read), np.repeat(shards, [len(x) for x in read])
-    order = np.lexsort((whose, items["place"], items["tie"], items["doc"], items["lo"], items["hi"]))
-    ranked = items[order]
-    first = np.ones(len(items), bool)
-    first[1:] = (ranked["hi"][1:] != ranked["hi"][:-1]) | (ranked["lo"][1:] != ranked["lo"][:-1])
-    yes = np.empty(len(items), bool)
-    yes[order] = first
-    bits = [np.packbits(x).tobytes() for x in np.split(yes, np.cumsum([len(x) for x in read])[:-1])]
-    return pa.table({"shard": pa.array(shards, pa.int64()), "bucket": pa.array([table["bucket"][0].as_py()] * len(shards), pa.int32()), "bits": pa.array(bits, pa.binary())})
-
-
-def _apply(min_words: int, buckets: int, names: list[str]):
-    shift = _U(64 - (buckets - 1).bit_length())
-
+def _in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with ``number``, ascending in the order of the keys over the whole cluster: ranges of keys are partitions, and a number is
+    the partition's and the place in it."""
+    ordered = rows.repartitionByRange(max(2, partitions(rows.sparkSession)), *keys).sortWithinPartitions(*keys)
+    return ordered.withColumn("number", F.monotonically_increasing_id())
+
+
+def _ranked(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of suffixes -> those whose keys occur twice, with rank (in the order of the keys) and later (not the first place of its rank)."""
+    groups = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1"), "line-intervals")
+    ranks = materialize(_in_order(groups.select(*keys, "first"), *keys).withColumnRenamed("number", "rank"), "line-ranks")
+    return materialize(rows.join(ranks, list(keys)).select(*_PLACE, "at", "rank", (F.col("at") != F.col("first")).alias("later")), "line-suffixes")
+
+
+def _further(level: DataFrame, distance, name: str) -> DataFrame:
+    """(place, name): the ranks that stand ``distance`` lines further on."""
+    return level.select("shard", "text", (F.col("place") - distance).alias("place"), F.col("rank").alias(name))
+
+
+def later_copies(suffixes: DataFrame) -> DataFrame:
+    """(shard, text, place, length) of the runs that an earlier place in the corpus has too."""
+    order = ["last", "doc_id", "tie", *_PLACE]
+    rows = materialize(_in_order(suffixes, *order).withColumnRenamed("number", "at").select(*_PLACE, "at", "hi", "lo", "runs"), "line-places")
+    runs = rows.select(*_PLACE, "at", F.explode("runs").alias("length"))
+    longest = runs.agg(F.max("length")).first()[0] or 0
+    level, span, found = _ranked(rows.select(*_PLACE, "at", "hi", "lo"), "hi", "lo"), 1, []
+    while span <= longest:
+        # Intervals of this many lines are ranks; those of up to twice as many are pairs of ranks.
+        found.append(runs.filter(F.col("length") == span).join(level.filter("later"), [*_PLACE, "at"]).select(*_PLACE, "length"))
+        longer = runs.filter((F.col("length") > span) & (F.col("length") < 2 * span))
+        if span > 1:
+            ends = level.select("shard", "text", F.col("place").alias("end"), F.col("rank").alias("right"))
+            named = longer.join(level.select(*_PLACE, F.col("rank").alias("left")), _PLACE).withColumn("end", F.col("place") + F.col("length") - span).join(ends, ["shard", "text", "end"])
+            named = materialize(named.select(*_PLACE, "at", "length", "left", "right"), "line-runs")
+            firsts = named.groupBy("length", "left", "right").agg(F.min("at").alias("first"))
+            found.append(named.join(firsts, ["length", "left", "right"]).filter("at != first").select(*_PLACE, "length"))
+        if 2 * span > longest:
+            break
+        pairs = materialize(level.select(*_PLACE, "at", F.col("rank").alias("left")).join(_further(level, span, "right"), _PLACE), "line-pairs")
+        if pairs.isEmpty():
+            break
+        level, span = _ranked(pairs, "left", "right"), 2 * span
+    out = found[0] if found else suffixes.select(*_PLACE, F.lit(0).alias("length")).filter("false")
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _apply(names: list[str]):
     @lean
     def run(batches):
         for batch in batches:
-            for raw, answer, found in zip(*(batch[k].to_pylist() for k in ("docs", "answer0", "answer1")), strict=True):
+            for raw, runs in zip(batch["docs"].to_pylist(), batch["later"].to_pylist(), strict=True):
                 docs = unpack_docs(raw)
-                r = Runs(docs, min_words)
-                some = r.repeated(answer, buckets)
-                heads = r.heads(some)
-                bucket = (r.hi[some[heads]] >> shift).astype(np.int64)
-                rims = np.searchsorted(bucket, np.arange(buckets + 1))
-                first = np.zeros(len(bucket), bool)
-                for x in found or ():
-                    a, b = rims[x["bucket"]], rims[x["bucket"] + 1]
-                    first[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
-                later = np.ones(len(some), bool)
-                later[np.flatnonzero(heads)[first]] = False
-                kept, removed = r.kept(some[later])
+                x = Lines(docs)
+                start = np.array([x.first[r["text"]] + r["place"] for r in runs or ()], np.int64)
+                kept, removed = x.kept(start, np.array([r["length"] for r in runs or ()], np.int64))
                 text = docs.schema.field("text").type
                 at = docs.column_names.index("text")
                 docs = docs.set_column(at, docs.schema.field(at), pa.array(kept, pa.binary()).cast(text))
-                yield from pa.table([*docs.columns, pa.array(np.diff(r.first)), pa.array(removed, pa.int64())], names=names).to_batches()
+                yield from pa.table([*docs.columns, pa.array(np.diff(x.first)), pa.array(removed, pa.int64())], names=names).to_batches()
 
     return run
 
@@ -199,13 +198,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines that stay as text, n_lines (with words, before) and lines_removed."""
     docs = docs.drop("n_lines", "lines_removed")
     schema = extended(docs, n_lines="long", lines_removed="long")
-    asked = "bucket int, shard long, keys binary"
     with Shards(docs) as shards:
         n = shards.buckets
-        names = shards.exchange(shards.rows().mapInArrow(_ask_names(min_words, n), asked), "line-names")
-        sent = shards.rows(names).mapInArrow(_ask_firsts(min_words, n), asked)
-        firsts = materialize(sent.groupBy("bucket").applyInArrow(_first_of_all, "shard long, bucket int, bits binary"), "line-firsts")
-        return materialize(shards.rows(names, firsts).mapInArrow(_apply(min_words, n, schema.names), schema), "lines-out")
+        twice = shards.exchange(shards.rows().mapInArrow(_ask_lines(n), "bucket int, shard long, keys binary"), "line-names")
+        suffixes = materialize(shards.rows(twice).mapInArrow(_suffixes(min_words, n), _SUFFIX), "line-candidates")
+        later = materialize(later_copies(suffixes), "line-copies")
+        return materialize(shards.beside(later, "later").mapInArrow(_apply(schema.names), schema), "lines-out")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

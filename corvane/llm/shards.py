@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import lean, materialize, partitions
 from corvane.llm.wordhash import planes, unplanes
 
-#: Shards grow with the corpus: a shard should hold some hundred keys for each bucket.
+#: Text of a shard, with 64 bytes for every document, so that empty ones fill shards too.
 SHARD_BYTES = 4 << 20
 #: Bits of a key beside those of its bucket in a first, coarse exchange; what it passes is always checked again.
 COARSE_BITS = 30
@@ -68,7 +68,7 @@ class Shards:
 
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text"))
-                sizes = np.array([len(x or b"") for x in texts.cast(pa.binary() if not pa.types.is_large_string(texts.type) else pa.large_binary()).to_pylist()], np.int64)
+                sizes = np.array([64 + len(x or b"") for x in texts.cast(pa.binary() if not pa.types.is_large_string(texts.type) else pa.large_binary()).to_pylist()], np.int64)
                 at = 0
                 while at < batch.num_rows:
                     room = np.searchsorted(np.cumsum(sizes[at:]), max(1, most - size)) + 1
@@ -95,6 +95,11 @@ class Shards:
             out = out.join(packed, F.col("shard") == F.col(f"shard{k}"), "left").drop(f"shard{k}")
         return out
 
+    def beside(self, rows: DataFrame, name: str) -> DataFrame:
+        """(shard, docs, note, name): the rows of each shard, but for their shard, as an array; a shard's texts bound it."""
+        packed = rows.groupBy(F.col("shard").alias("beside")).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "shard"])).alias(name))
+        return self.spark.table(self.name).join(packed, F.col("shard") == F.col("beside"), "left").drop("beside")
+
     def exchange(self, asked: DataFrame, name: str) -> DataFrame:
         """(bucket, shard, keys) -> (shard, bucket, bits): see Keys for what keys holds."""
         return materialize(asked.groupBy("bucket").applyInArrow(_answer, "shard long, bucket int, bits binary"), name)
