@@ -31,6 +31,8 @@ from corvane.llm.common import documents, extended, lean, materialize
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_ROWS = 50
 UNIT = 4096
+#: So many rows of a table with a row for each group, or each group and start, are broadcast; more are joined as Spark sees fit.
+FEW = 4096
 #: A step that shrinks the determinant by less than this share is the last one of its start.
 SETTLED = 1e-6
 TAIL = 1e-6
@@ -158,6 +160,11 @@ def estimate(n: float, sums: np.ndarray, products: np.ndarray, share: float) ->
     return mean, np.linalg.inv(cov), float(np.linalg.det(cov))
 
 
+def few(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """rows, to be broadcast if they are counted and few: the documents then stay where they are, however hot their group is."""
+    return F.broadcast(rows) if (rows.count() if n is None else n) <= FEW else rows
+
+
 def half(n: int) -> int:
     return min(n, (n + P + 1) // 2)
 
@@ -215,7 +222,7 @@ def _starts(pdf):
 
 def starts(keyed: DataFrame) -> DataFrame:
     mid = materialize(quartiles(keyed), "quality-medians").withColumnRenamed("fit_key", "m_key")
-    near = keyed.join(mid, F.col("m_key") == F.col("fit_key"))
+    near = keyed.join(few(mid), F.col("m_key") == F.col("fit_key"))
     z = [(F.col(f) / float(UNIT) - F.col("mid")[i]) / F.sqrt(F.pow(F.col("spread")[i] * 1.4826, 2) + FLOOR[i] ** 2) for i, f in enumerate(FEATURES)]
     long = F.sqrt(sum((F.pow(c, 2) for c in z), F.lit(1e-12)))
     whole = lambda c: F.round(c * UNIT).cast("long")
@@ -238,18 +245,19 @@ def fit(stats: DataFrame, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFram
         F.when(F.col("count") >= min_rows, own).when(F.col("pooled") >= min_rows, pool).otherwise("all").alias("fit_key"),
     )
     keys = materialize(keys, "quality-keys")
-    keyed = good.join(keys, F.col("k_lang").eqNullSafe(F.col("lang")) & F.col("k_source").eqNullSafe(F.col("source"))).select("fit_key", *FEATURES)
+    keyed = good.join(few(keys), F.col("k_lang").eqNullSafe(F.col("lang")) & F.col("k_source").eqNullSafe(F.col("source"))).select("fit_key", *FEATURES)
     x = [F.col(f) for f in FEATURES]
     sums = [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in _PAIRS]]
     state = materialize(starts(keyed), "quality-starts")
-    ended = []
+    ended, left = [], state.count()
     while True:  # determinants fall and are bounded below, so every start ends
         open_ = state.filter("NOT done").select(F.col("fit_key").alias("e_key"), "start", "mean", "precision", "det")
-        near = keyed.join(open_, F.col("e_key") == F.col("fit_key"))
+        near = keyed.join(few(open_, left), F.col("e_key") == F.col("fit_key"))
         bins = near.groupBy("fit_key", "start", "mean", "precision", "det", _bin(distance2(x, F.col("mean"), F.col("precision"))).alias("bin")).agg(*sums)
         state = materialize(bins.groupBy("fit_key", "start").applyInPandas(_concentrate, _STATE), "quality-step")
         ended.append(state.filter("done"))
-        if state.filter("NOT done").isEmpty():
+        left = state.filter("NOT done").count()
+        if not left:
             break
     found = ended[0]
     for more in ended[1:]:
@@ -260,7 +268,7 @@ def fit(stats: DataFrame, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFram
 
 def judge(stats: DataFrame, keys: DataFrame, estimate: DataFrame) -> DataFrame:
     """stats with distance2 and kept; the estimates have a row per group and are joined by their size."""
-    fitted = materialize(keys.join(estimate, "fit_key"), "quality-fitted").select(F.struct("*").alias("__fit"))
+    fitted = few(materialize(keys.join(estimate, "fit_key"), "quality-fitted")).select(F.struct("*").alias("__fit"))
     out = stats.join(fitted, F.col("__fit.k_lang").eqNullSafe(stats["lang"]) & F.col("__fit.k_source").eqNullSafe(stats["source"]), "left")
     whole = [F.round(c * UNIT).cast("long") for c in feature_columns().values()]
     d2 = F.round(distance2(whole, F.col("__fit.mean"), F.col("__fit.precision")), 6)
