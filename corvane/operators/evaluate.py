@@ -2,21 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from corvane.functions.text import sha
 
 
-def p95(c: Column | str) -> Column:
-    """Nearest rank: the smallest value that 95 % do not exceed."""
-    return F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {c})")
+BINS = 1024
+
+
+def _key(columns: list[str]) -> Column:
+    return F.struct(*[F.col(c) for c in columns]) if columns else F.struct(F.lit(0).alias("all"))
+
+
+def _narrow(values: DataFrame, group: list[str], ranks: DataFrame | None) -> DataFrame:
+    """values(group, v, n[, rank]) -> those in the bin of each group that holds its rank, with rank counted from that bin's first value.
+
+    BINS bins lie between a group's smallest and largest finite value; infinities and NaN have their own at the ends."""
+    v, finite = F.col("v"), ~F.isnan("v") & (F.abs("v") < float("inf"))
+    rims = values.groupBy(*group).agg(F.min(F.when(finite, v)).alias("low"), F.max(F.when(finite, v)).alias("high"))
+    same = lambda a, b, names: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in names]
+    inside = F.least(F.lit(BINS - 1), F.floor(F.coalesce((v - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.0)) * BINS))
+    place = F.when(finite, inside).when(v < 0, -1).otherwise(BINS).cast("int")
+    binned = values.alias("x").join(rims.alias("y"), same("x", "y", group)).select("x.*", place.alias("bin"))
+    order = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = binned.groupBy(*group, "bin", *([] if ranks is not None else ["rank"])).agg(F.sum("n").alias("size")).withColumn("upto", F.sum("size").over(order))
+    if ranks is not None:
+        sizes = sizes.alias("x").join(ranks.alias("y"), same("x", "y", group)).select("x.*", "y.t", "y.rank")
+    held = sizes.filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("size")))
+    names = [*group, "bin"]
+    picked = held.select(*names, *(["t"] if ranks is not None else []), (F.col("rank") - F.col("upto") + F.col("size")).alias("rank"))
+    left = binned.drop("rank") if ranks is None else binned
+    out = left.alias("x").join(picked.alias("y"), same("x", "y", names))
+    return out.select(*[F.col(f"x.{g}") for g in group], *([F.col("y.t")] if ranks is not None else []), "x.v", "x.n", "y.rank")
+
+
+def order_statistics(rows: DataFrame, keys: list[str], value: str, wanted: dict) -> DataFrame:
+    """(keys, n, one column for each wanted name): exact values at 1-based ranks, which are functions of the number n of values.
+
+    No task sees a whole key: equal values are counted together, twice a histogram narrows each rank down to one of BINS bins, and only what
+    is left there, a millionth of an even spread, is ordered. Null values do not count."""
+    values = rows.select(_key(keys).alias("k"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("n"))
+    totals = values.groupBy("k").agg(F.sum("n").alias("n"))
+    ranks = totals.select("k", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), f(F.col("n")).cast("long").alias("rank")) for t, f in wanted.items()])).alias("w")).select("k", "w.*")
+    near = _narrow(_narrow(values, ["k"], ranks), ["k", "t"], None)
+    upto = F.sum("n").over(Window.partitionBy("k", "t").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = near.withColumn("upto", upto).filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+    found = hit.groupBy("k").agg(*[F.max(F.when(F.col("t") == t, F.col("v"))).alias(t) for t in wanted])
+    out = totals.alias("x").join(found.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k")))
+    return out.select(*[F.col(f"x.k.{c}").alias(c) for c in keys], "x.n", *[F.col(f"y.{t}") for t in wanted])
+
+
+#: Ranks of n values: the middle two (one for odd n), and the nearest rank that 95 % do not exceed.
+MEDIAN = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor(n / 2) + 1}
+P95 = {"p95": lambda n: F.floor((n * 95 + 99) / 100)}
+
+
+def medians(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, n, name): the average of the middle two values."""
+    return order_statistics(rows, keys, value, MEDIAN).select(*keys, "n", ((F.col("low") + F.col("high")) / 2).alias(name))
 
 
 def summary(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """(keys, metric, n, median, p95) of numeric columns: one unpivot, one aggregation."""
-    long = rows.unpivot(keys, metrics, "metric", "v").filter("v IS NOT NULL")
-    return long.groupBy(*keys, "metric").agg(F.count("*").alias("n"), F.round(F.median("v"), 6).alias("median"), F.round(p95("v"), 6).alias("p95"))
+    """(keys, metric, n, median, p95) of numeric columns; booleans are no numbers and left out."""
+    numeric = [m for m in metrics if not isinstance(rows.schema[m].dataType, BooleanType)]
+    long = rows.unpivot(keys, numeric, "metric", "v")
+    found = order_statistics(long, [*keys, "metric"], "v", MEDIAN | P95)
+    return found.select(*keys, "metric", "n", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
 def merkle(rows: DataFrame, key: str, content: str, fan: int = 1000) -> DataFrame:

@@ -21,3 +21,13 @@ def upsert(old: DataFrame, changed: DataFrame, deleted: DataFrame, key: str = "d
 
 def orphans(children: DataFrame, parents: DataFrame, key: str = "doc_id") -> DataFrame:
     return children.join(parents.select(key), key, "left_anti")
+
+
+def integrity(catalog: DataFrame, vectors: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row: the counts of three stored tables, what has no partner, and whether all agree."""
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    row = one(catalog, "catalog_rows").crossJoin(one(vectors, "vector_rows")).crossJoin(one(manifest, "manifest_rows"))
+    for name, children, parents in (("orphan_vectors", vectors, catalog), ("orphan_labels", manifest, catalog), ("without_vector", catalog, vectors)):
+        row = row.crossJoin(one(orphans(children.select(key), parents, key), name))
+    n = F.col("catalog_rows")
+    return row.withColumn("passes", (n == F.col("vector_rows")) & (n == F.col("manifest_rows")) & (F.col("orphan_vectors") == 0) & (F.col("orphan_labels") == 0) & (F.col("without_vector") == 0))

@@ -45,19 +45,25 @@ def pairs(spark, sf_dir):
 @query(f"WITH {PAIRS} SELECT cohort, count(*) AS n_pairs, round(median(1 - cand / base), 6) AS median_reduction, count(*) FILTER (pair % 2 = 0) AS base_first FROM p GROUP BY cohort")
 def paired_reduction(spark, sf_dir):
     """The median of reductions, which is not the reduction of medians."""
-    return pairs(spark, sf_dir).groupBy("cohort").agg(F.count("*").alias("n_pairs"), F.round(F.median(1 - F.col("cand") / F.col("base")), 6).alias("median_reduction"), F.count_if(F.col("pair") % 2 == 0).alias("base_first"))
+    p = pairs(spark, sf_dir).select("cohort", "pair", (1 - F.col("cand") / F.col("base")).alias("reduction"))
+    counts = p.groupBy("cohort").agg(F.count_if(F.col("pair") % 2 == 0).alias("base_first"))
+    found = evaluate.medians(p, ["cohort"], "reduction").join(counts, "cohort")
+    return found.select("cohort", F.col("n").alias("n_pairs"), F.round("median", 6).alias("median_reduction"), "base_first")
 
 
 @query(f"WITH {PAIRS}, m AS (SELECT cohort, median(base) AS b, median(cand) AS c FROM p GROUP BY cohort) SELECT cohort, round((b - c) / b * 100, 6) AS percent FROM m")
 def median_reduction(spark, sf_dir):
-    m = pairs(spark, sf_dir).groupBy("cohort").agg(F.median("base").alias("b"), F.median("cand").alias("c"))
+    p = pairs(spark, sf_dir)
+    m = evaluate.medians(p, ["cohort"], "base", "b").drop("n").join(evaluate.medians(p, ["cohort"], "cand", "c").drop("n"), "cohort")
     return m.select("cohort", F.round((F.col("b") - F.col("c")) / F.col("b") * 100, 6).alias("percent"))
 
 
 @query(f"""WITH {PAIRS}, g AS (SELECT count(*) AS n, max(base) AS most, min(cand) AS least, count(*) FILTER (cand <= base) AS better, quantile_disc(cand, 0.95) AS p95 FROM p)
 SELECT n > 0 AS has_pairs, most < 1e9 AS bounded, least >= 0 AS not_negative, better * 2 >= n AS mostly_better, p95 < most * 2 AS tail_ok, n > 0 AND most < 1e9 AND least >= 0 AND better * 2 >= n AND p95 < most * 2 AS go FROM g""")
 def gates(spark, sf_dir):
-    g = pairs(spark, sf_dir).agg(F.count("*").alias("n"), F.max("base").alias("most"), F.min("cand").alias("least"), F.count_if(F.col("cand") <= F.col("base")).alias("better"), evaluate.p95("cand").alias("p95"))
+    p = pairs(spark, sf_dir)
+    g = p.agg(F.count("*").alias("n"), F.max("base").alias("most"), F.min("cand").alias("least"), F.count_if(F.col("cand") <= F.col("base")).alias("better"))
+    g = g.crossJoin(evaluate.order_statistics(p, [], "cand", evaluate.P95).select("p95"))  # one row each
     row = {"has_pairs": F.col("n") > 0, "bounded": F.col("most") < 1e9, "not_negative": F.col("least") >= 0, "mostly_better": F.col("better") * 2 >= F.col("n"), "tail_ok": F.col("p95") < F.col("most") * 2}
     everything = None
     for c in row.values():
@@ -126,7 +132,8 @@ def phase_totals(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS files, round(count(*) / median(value), 6) AS files_per_second FROM events WHERE value > 0 GROUP BY event_type")
 def throughput(spark, sf_dir):
-    return events(spark, sf_dir).filter("value > 0").groupBy("event_type").agg(F.count("*").alias("files"), F.round(F.count("*") / F.median("value"), 6).alias("files_per_second"))
+    m = evaluate.medians(events(spark, sf_dir).filter("value > 0"), ["event_type"], "value")
+    return m.select("event_type", F.col("n").alias("files"), F.round(F.col("n") / F.col("median"), 6).alias("files_per_second"))
 
 
 @query(rf"""WITH {features.CHUNKS}, t AS (SELECT doc_id, chunk_index, chunk, regexp_extract_all(lower('検索文書: ' || chunk), '[\p{{L}}\p{{N}}]+') AS ts FROM c)

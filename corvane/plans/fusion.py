@@ -14,7 +14,7 @@ from corvane.sources.tables import table
 #: The dense lane has no key to documents: vec_id = doc_id is a synthetic link, for these demonstrations alone.
 #: A question's exact evidence is the whole passage as one line of the document's text.
 LANES = f"""{features.BM25}, {lanes.DENSE},
-exact_q AS (SELECT l.query_id, l.doc_id, row_number() OVER (PARTITION BY l.query_id ORDER BY l.doc_id) AS rank FROM lexical l JOIN benchmark b ON b.item_id = l.query_id JOIN documents d ON d.doc_id = l.doc_id WHERE contains(d.text, b.text)),
+exact_q AS (SELECT b.item_id AS query_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 u AS (SELECT query_id, doc_id, rank, 'lexical' AS lane FROM lexical UNION ALL SELECT query_id / 100, doc_id, rank, 'dense' FROM dense WHERE query_id % 100 = 0 UNION ALL SELECT query_id, doc_id, rank, 'exact' FROM exact_q),
 fused AS (SELECT query_id::BIGINT AS query_id, doc_id, round(sum((CASE lane WHEN 'exact' THEN 3.0::DOUBLE WHEN 'lexical' THEN 1.0::DOUBLE WHEN 'dense' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) / (60 + rank)), 6) AS score, array_to_string(list_sort(list_distinct(list(lane))), ',') AS signals FROM u GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN list_contains(string_split(signals, ','), 'exact') THEN 0 ELSE 1 END, score DESC, doc_id) AS rank FROM fused)"""
@@ -24,7 +24,7 @@ LANES = LANES.replace("SELECT query_id / 100, doc_id", "SELECT query_id // 100,
 def all_lanes(spark, sf_dir):
     lexical = features.bm25(spark, sf_dir)
     dense = lanes.dense(spark, sf_dir).withColumn("query_id", F.expr("query_id div 100"))
-    # Over all documents; the SQL looks among BM25's best eight alone, which differs where a passage's document is not one of them.
+    # Over all documents, not among BM25's best eight.
     found = retrieval.passages(table(spark, sf_dir, "documents").select("doc_id", "text"), features.questions(spark, sf_dir))
     exact = fusion.order_hits(found.withColumn("score", F.lit(0)), anchors_first=False)
     return {"lexical": lexical, "dense": dense, "exact": exact}

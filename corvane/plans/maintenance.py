@@ -68,13 +68,13 @@ def copy_subset(spark, sf_dir):
     return old(spark, sf_dir).filter(F.col("source").isin("src2", "src3"))
 
 
-@query(f"""WITH {features.CHUNKS} SELECT (SELECT count(*) FROM c) AS chunk_rows, (SELECT count(*) FROM c) AS vector_rows, (SELECT count(*) FROM c WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS orphans, (SELECT count(*) FROM documents WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM c)) AS unchunked, true AS passes""")
+@query("""WITH r AS (SELECT (SELECT count(*) FROM documents) AS catalog_rows, (SELECT count(*) FROM embeddings) AS vector_rows, (SELECT count(*) FROM labels) AS manifest_rows,
+(SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS orphan_vectors, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS orphan_labels,
+(SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS without_vector)
+SELECT *, catalog_rows = vector_rows AND vector_rows = manifest_rows AND orphan_vectors = 0 AND orphan_labels = 0 AND without_vector = 0 AS passes FROM r""")
 def integrity_check(spark, sf_dir):
-    c, d = features.chunk_rows(spark, sf_dir).select("doc_id", "chunk_index"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors = c.select("doc_id")  # one vector for each chunk
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    row = one(c, "chunk_rows").crossJoin(one(vectors, "vector_rows")).crossJoin(one(maintenance.orphans(c, d), "orphans")).crossJoin(one(maintenance.orphans(d.filter("text != ''"), c.select("doc_id").distinct()), "unchunked"))
-    return row.withColumn("passes", (F.col("chunk_rows") == F.col("vector_rows")) & (F.col("orphans") == 0) & (F.col("unchunked") == 0))
+    """Three tables that were written apart: documents as the catalog, embeddings as its vectors, labels as its manifest."""
+    return maintenance.integrity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), table(spark, sf_dir, "labels"))
 
 
 @query(f"WITH {features.CHUNKS} SELECT source, count(*) AS records, ceil(count(*) / 8)::BIGINT AS calls_8, ceil(count(*) / 128)::BIGINT AS calls_128, (count(*) % 128)::BIGINT AS last_batch FROM c GROUP BY source")
@@ -91,12 +91,15 @@ def changed_paths(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT count(*) AS record_count, max(len(embedding))::BIGINT AS dimension, count(DISTINCT label) AS labels FROM embeddings)
-SELECT key, value, expected, value = expected AS same, bool_and(value = expected) OVER () AS passes FROM (SELECT 'dimension' AS key, dimension AS value, 64 AS expected FROM m UNION ALL SELECT 'labels', labels, 10 FROM m UNION ALL SELECT 'record_count', record_count, record_count FROM m)""")
+SELECT key, value, expected, value = expected AS same, bool_and(value = expected) OVER () AS passes FROM (SELECT 'dimension' AS key, dimension AS value, 64 AS expected FROM m UNION ALL SELECT 'labels', labels, 10 FROM m UNION ALL SELECT 'record_count', record_count, (SELECT count(*) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) FROM m)""")
 def expected_metadata(spark, sf_dir):
     from pyspark.sql import Window
 
     m = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("record_count"), F.max(F.size("embedding")).cast("long").alias("dimension"), F.count_distinct("label").alias("labels"))
-    want = {"dimension": F.lit(64), "labels": F.lit(10), "record_count": F.col("record_count")}
+    # Records are expected to be the documents that have a vector.
+    stored = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").agg(F.count("*").alias("stored"))
+    m = m.crossJoin(stored)  # one row each
+    want = {"dimension": F.lit(64), "labels": F.lit(10), "record_count": F.col("stored")}
     rows = m.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value"), v.cast("int").alias("expected")) for k, v in want.items()])))
     rows = rows.withColumn("expected", F.col("expected").cast("long")).withColumn("same", F.col("value") == F.col("expected"))
     return rows.withColumn("passes", F.bool_and("same").over(Window.partitionBy()))  # three rows

@@ -140,10 +140,10 @@ def redact(spark, sf_dir):
 @query("""WITH r AS (SELECT conv_id, list('E' || (turn % 3 + 1)) AS ids FROM conversations GROUP BY conv_id)
 SELECT conv_id, len(ids)::BIGINT AS n, CASE WHEN conv_id % 5 = 0 THEN 'stale_result' WHEN len(ids) > 3 THEN 'too_many_ids' WHEN len(list_distinct(ids)) < len(ids) THEN 'duplicate_id' ELSE 'ok' END AS status FROM r""")
 def evidence_detail(spark, sf_dir):
-    """A request holds a few ids; the check looks at the first ones past the limit alone."""
-    r = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.concat(F.lit("E"), (F.col("turn") % 3 + 1).cast("string"))).alias("ids"))
-    status = F.when(F.col("conv_id") % 5 == 0, "stale_result").when(F.size("ids") > MAX_EVIDENCE, "too_many_ids").when(F.size(F.array_distinct("ids")) < F.size("ids"), "duplicate_id").otherwise("ok")
-    return r.select("conv_id", F.size("ids").cast("long").alias("n"), status.alias("status"))
+    """Counts decide: no list of a conversation's ids is brought together."""
+    r = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct(F.col("turn") % 3).alias("distinct"))
+    status = F.when(F.col("conv_id") % 5 == 0, "stale_result").when(F.col("n") > MAX_EVIDENCE, "too_many_ids").when(F.col("distinct") < F.col("n"), "duplicate_id").otherwise("ok")
+    return r.select("conv_id", "n", status.alias("status"))
 
 
 @query("SELECT user_id, date_diff('day', max(ts)::DATE, DATE '2024-02-28')::BIGINT AS age, date_diff('day', max(ts)::DATE, DATE '2024-02-28') >= 30 AS warn FROM events GROUP BY user_id")

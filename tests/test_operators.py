@@ -91,9 +91,18 @@ def test_difference_and_upsert(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, new.collect()))
 
 
-def test_p95_is_nearest_rank(spark):
-    df = spark.range(1, 21)
-    assert df.agg(evaluate.p95("id")).first()[0] == 19
+def test_order_statistics(spark):
+    """Against sorting, with null keys, infinities, NaN, one value, many equal ones and a spread that one bin holds nearly all of."""
+    import random
+
+    r, inf = random.Random(4), float("inf")
+    groups = {"a": list(range(1, 21)), None: [1.5], "same": [2.0] * 50, "wide": [r.gauss(0, 1) * 10 ** r.randint(-9, 9) for _ in range(501)], "odd": [-inf, -inf, inf, 0.0, float("nan"), 3.0], "huge": [-1e308, 1e308, 0.5]}
+    data = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None)]
+    out = {x["k"]: x for x in evaluate.order_statistics(spark.createDataFrame(data, "k string, v double").repartition(5), ["k"], "v", evaluate.MEDIAN | evaluate.P95).collect()}
+    for k, vs in groups.items():
+        s = sorted(map(float, vs), key=lambda v: (v != v, v))
+        n = len(s)
+        assert out[k]["n"] == n and str([out[k][c] for c in ("low", "high", "p95")]) == str([s[(n + 1) // 2 - 1], s[n // 2], s[-(-95 * n // 100) - 1]]), k
 
 
 def test_merkle_ignores_partitions(spark):
