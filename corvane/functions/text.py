@@ -52,8 +52,8 @@ def suffix(path: Column) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    """Lower case with the one common letter that folds to two."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Lower case, with the letter that folds to two and the final form that folds to the common one."""
+    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def glob_regex(glob: str) -> str:

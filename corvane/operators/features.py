@@ -48,3 +48,16 @@ def html_sections(pages: DataFrame) -> DataFrame:
         F.size(T.find_all(F.col("html"), r"<p>")).cast("long").alias("n_paragraphs"), F.size(T.find_all(F.col("html"), r"<a href=")).cast("long").alias("n_links"),
         F.length(bare).cast("long").alias("text_chars"),
     )
+
+
+def prepared(questions: DataFrame) -> DataFrame:
+    """(query_id, text) -> embedding_text with the query prefix, terms and identifiers, each once, of a text whose white space is collapsed."""
+    c = T.collapse(F.col("text"))
+    found = F.flatten(F.array(*[T.find_all(F.col("text"), p) for p in T.IDENTIFIERS.values()]))
+    return questions.select("query_id", F.concat(F.lit(T.QUERY_PREFIX), c).alias("embedding_text"), F.array_distinct(T.tokens(F.col("text"))).alias("terms"), found.alias("identifiers"))
+
+
+def metadata_postings(files: DataFrame, fields: list[str]) -> DataFrame:
+    """(doc_id, field, value): case-folded values of the named columns; empty ones have no row."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.col(f)).alias("value")) for f in fields])
+    return files.select("doc_id", F.inline(pairs)).filter("value != ''").distinct()

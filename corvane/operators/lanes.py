@@ -75,3 +75,14 @@ def metadata(docs: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
     rows = docs.select("doc_id", F.col("source").alias("s"), F.col("lang").alias("l")).join(questions, F.col("s") == F.col("source"))
     score = (F.lit(1) + F.when(F.col("l") == F.col("lang"), 1).otherwise(0)).cast("double")
     return ranked(rows.select("query_id", "doc_id", score.alias("score")), k).select("query_id", "rank", "doc_id", "score")
+
+
+def by_fields(postings: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
+    """Questions as (query_id, field, value): how many of its fields another document has, from an equi-join on field and value."""
+    met = postings.join(asked, ["field", "value"]).filter("doc_id != query_id").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    return ranked(met, k).select("query_id", "rank", "doc_id", "score")
+
+
+def of_source(rows: DataFrame, source: str) -> DataFrame:
+    """Rows of one source; "any" is all of them, with no filter in the plan."""
+    return rows if source == "any" else rows.filter(F.col("source") == source)
