@@ -21,13 +21,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN
 LANES = LANES.replace("SELECT query_id / 100, doc_id", "SELECT query_id // 100, doc_id")
 
 
-def all_lanes(spark, sf_dir):
-    lexical = features.bm25(spark, sf_dir)
-    dense = lanes.dense(spark, sf_dir).withColumn("query_id", F.expr("query_id div 100"))
-    # Over all documents, not among BM25's best eight.
+def exact_and_lexical(spark, sf_dir):
+    """The exact lane is sought in all documents, not among BM25's best eight."""
     found = retrieval.passages(table(spark, sf_dir, "documents").select("doc_id", "text"), features.questions(spark, sf_dir))
-    exact = fusion.order_hits(found.withColumn("score", F.lit(0)), anchors_first=False)
-    return {"lexical": lexical, "dense": dense, "exact": exact}
+    return {"lexical": features.bm25(spark, sf_dir), "exact": fusion.order_hits(found.withColumn("score", F.lit(0)), anchors_first=False)}
+
+
+def all_lanes(spark, sf_dir):
+    return exact_and_lexical(spark, sf_dir) | {"dense": lanes.dense(spark, sf_dir).withColumn("query_id", F.expr("query_id div 100"))}
 
 
 def hits(spark, sf_dir):
