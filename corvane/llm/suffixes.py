@@ -33,6 +33,8 @@ SEGMENT = 1 << 25
 SPAN = 102
 #: Bytes of pieces in one suffix sort, about.
 SORT_BYTES = 1 << 19
+#: Tuples of a sort's queue that stay in memory; those of a larger batch go through sorted runs on the task's disk.
+MEMORY = 1 << 17
 _U = np.uint64
 _PLACE = 26  # bits of a place in a segment group
 
@@ -188,7 +190,7 @@ def unpack(raw: bytes):
     return [(k, raw[e - s : e], o, t + 1) for k, e, s, o, t in zip(cores.tolist(), ends.tolist(), sizes.tolist(), offsets.tolist(), twice.tolist(), strict=True)]
 
 
-def repeated_windows(pieces: list[bytes], width: int) -> list[np.ndarray]:
+def repeated_windows(pieces: list[bytes], width: int, memory: int = MEMORY) -> list[np.ndarray]:
     """For every window of every piece whether another window of the pieces equals it."""
     raw = b"\0".join(pieces) + b"\0"
     sizes = np.array([len(p) for p in pieces], np.int64)
@@ -197,7 +199,7 @@ def repeated_windows(pieces: list[bytes], width: int) -> list[np.ndarray]:
     text[:-1] = np.frombuffer(raw, np.uint8)
     text[:-1] += 2
     text[first + sizes] = 1  # after each piece
-    rank, common = suffix_order(text, width)
+    rank, common = suffix_order(text, width, memory)
     # A suffix that shares width bytes with a neighbour starts a window: no piece's end is among them.
     equal = common >= width
     equal[:-1] |= equal[1:].copy()
@@ -205,7 +207,7 @@ def repeated_windows(pieces: list[bytes], width: int) -> list[np.ndarray]:
     return [hit[f : f + s - width + 1] for f, s in zip(first, sizes, strict=True)]
 
 
-def group_windows(group: list[tuple[bytes, int]], width: int, span: int, out: dict) -> list:
+def group_windows(group: list[tuple[bytes, int]], width: int, span: int, out: dict, memory: int = MEMORY) -> list:
     """Jobs for suffix sorts of one core's pieces (content, offset): [(pieces, where their windows go in ``out``)].
 
     A group over SORT_BYTES is cut by the cores of shorter ranges, at last by whole windows, which are equal as they stand."""
@@ -221,22 +223,22 @@ def group_windows(group: list[tuple[bytes, int]], width: int, span: int, out: di
     for parts in cut.values():
         inner = {k: np.zeros(len(k[0]) - width + 1, bool) for k in parts}
         if len(parts) > 1:
-            for job in group_windows(list(parts), width, span, inner):
-                _run([job], width)
+            for job in group_windows(list(parts), width, span, inner, memory):
+                _run([job], width, memory)
         for k, places in parts.items():
             for flags, a in places:
                 flags[a : a + len(inner[k])] |= inner[k] | (len(places) > 1)
     return jobs
 
 
-def _run(jobs: list, width: int) -> None:
+def _run(jobs: list, width: int, memory: int) -> None:
     """One suffix sort of several jobs' pieces; equal windows of different jobs have different cores, so none are."""
     pieces = [x for job in jobs for x in job]
-    for (_, flags, a), found in zip(pieces, repeated_windows([c for c, _, _ in pieces], width), strict=True):
+    for (_, flags, a), found in zip(pieces, repeated_windows([c for c, _, _ in pieces], width, memory), strict=True):
         flags[a : a + len(found)] |= found
 
 
-def _sort(width: int):
+def _sort(width: int, memory: int):
     """All shards' pieces of a bucket -> a bit for each window, in the order in which each shard sent its pieces."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -253,14 +255,14 @@ def _sort(width: int):
         jobs, size = [], 0
         for core, group in sorted(groups.items()):
             if len(group) > 1:
-                for job in group_windows(group, width, span_of(width), {(c, o): flags[core, c, o] for c, o in group}):
+                for job in group_windows(group, width, span_of(width), {(c, o): flags[core, c, o] for c, o in group}, memory):
                     jobs.append(job)
                     size += sum(len(c) for c, _, _ in job)
                     if size >= SORT_BYTES:
-                        _run(jobs, width)
+                        _run(jobs, width, memory)
                         jobs, size = [], 0
         if jobs:
-            _run(jobs, width)
+            _run(jobs, width, memory)
         bits = [np.packbits(np.concatenate([flags[core, c, o] for core, c, o, _ in pieces])).tobytes() for pieces in sent]
         return pa.table({"shard": pa.array(shards, pa.int64()), "bucket": pa.array([bucket] * len(shards), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
@@ -338,7 +340,7 @@ def _apply(width: int, gram: int, buckets: int, names: list[str], make):
     return run
 
 
-def _remove(docs: DataFrame, width: int, gram: int, added: dict[str, str], make, drop: tuple[str, ...] = ()) -> DataFrame:
+def _remove(docs: DataFrame, width: int, gram: int, added: dict[str, str], make, memory: int, drop: tuple[str, ...] = ()) -> DataFrame:
     docs = docs.drop(*added)
     schema = extended(docs, **added)
     asked = "bucket int, shard long, keys binary"
@@ -347,31 +349,31 @@ def _remove(docs: DataFrame, width: int, gram: int, added: dict[str, str], make,
         anchors = shards.exchange(shards.rows().select("shard", "note").mapInArrow(_ask_anchors(n), asked), "anchors")
         cores = shards.exchange(shards.rows(anchors).mapInArrow(_ask_cores(width, gram, n), asked), "cores")
         pieces = shards.rows(anchors, cores).mapInArrow(_send_pieces(width, gram, n), asked)
-        found = materialize(pieces.groupBy("bucket").applyInArrow(_sort(width), "shard long, bucket int, bits binary"), "suffixes")
+        found = materialize(pieces.groupBy("bucket").applyInArrow(_sort(width, memory), "shard long, bucket int, bits binary"), "suffixes")
         out = shards.rows(anchors, cores, found).mapInArrow(_apply(width, gram, n, schema.names, make), schema)
         return materialize(out.drop(*drop), "suffix-out")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept (binary: what stays of the text's bytes)."""
+def remove_repeats(docs: DataFrame, width: int = WIDTH, memory: int = MEMORY) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept (binary: what stays of the text's bytes); columns with these names are replaced."""
 
     def make(n, removed, spans, kept):
         return [pa.array(n), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
 
-    return _remove(docs, width, _gram(width), {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}, make)
+    return _remove(docs, width, _gram(width), {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}, make, memory)
 
 
 def _gram(width: int) -> int:
     return min(GRAM, max(8, width // 4 // 8 * 8))
 
 
-def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def digests(docs: DataFrame, width: int = WIDTH, memory: int = MEMORY) -> DataFrame:
     def make(n, removed, spans, kept):
         return [pa.array(n), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
 
     added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
-    return _remove(docs.select("doc_id", "text"), width, _gram(width), added, make, ("text",))
+    return _remove(docs.select("doc_id", "text"), width, _gram(width), added, make, memory, ("text",))
 
 
-def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return digests(documents(spark, sf_dir))
+def op8_suffix_dedup(spark, sf_dir: str, memory: int = MEMORY) -> DataFrame:
+    return digests(documents(spark, sf_dir), memory=memory)

@@ -296,6 +296,28 @@ def test_windows_real(real):
         assert r["n_removed"] == sum(g) and r["kept_sha256"] == hashlib.sha256(np.frombuffer(t, np.uint8)[~np.array(g, bool)].tobytes()).hexdigest()
 
 
+def test_suffix_query_through_disk(spark):
+    """The query with 64 KB of queue memory, 2**13 tuples: sorts go through runs on disk, and every document is that of brute force."""
+    docs = sorted((r["doc_id"], r["text"].encode()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect())
+    seen: dict[bytes, int] = {}
+    for _, t in docs:
+        for k in range(len(t) - 399):
+            h = hashlib.blake2b(t[k : k + 400], digest_size=8).digest()
+            seen[h] = seen.get(h, 0) + 1
+    got = {r["doc_id"]: r for r in suffixes.op8_suffix_dedup(spark, "/root/testdata/sf0.01", 1 << 13).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        gone = np.zeros(len(t) + 1, np.int64)
+        for k in range(len(t) - 399):
+            if seen[hashlib.blake2b(t[k : k + 400], digest_size=8).digest()] > 1:
+                gone[k] += 1
+                gone[k + 400] -= 1
+        cut = np.cumsum(gone)[:-1] > 0
+        spans = int(np.sum(cut & ~np.append(False, cut[:-1]))) if len(t) else 0
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) == (len(t), int(cut.sum()), spans)
+        assert got[i]["kept_sha256"] == hashlib.sha256(np.frombuffer(t, np.uint8)[~cut].tobytes()).hexdigest()
+
+
 def test_small_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(suffixes, "SEGMENT", 500)
     r = random.Random(2)
