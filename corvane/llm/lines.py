@@ -31,7 +31,7 @@ from corvane.llm.shards import Keys, Shards, text_of, unpack_docs
 MIN_WORDS = 10
 _U = np.uint64
 _PLACE = ["shard", "text", "place"]
-_SUFFIX = "shard long, text int, place int, hi long, lo long, words long, last boolean, doc_id long, tie long, runs array<int>"
+_SUFFIX = "shard long, text int, place int, hi long, lo long, last boolean, doc_id long, tie long, reach int, runs array<int>"
 
 
 class Lines:
@@ -72,6 +72,16 @@ class Lines:
         whole = once[stop] == once[start]
         return start[whole], (stop - start)[whole]
 
+    def reach(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The length of the longest of these runs that covers each line; 0 for lines in none."""
+        out = np.zeros(len(self.words), np.int64)
+        for n in np.unique(length):
+            change = np.zeros(len(out) + 1, np.int64)
+            np.add.at(change, start[length == n], 1)
+            np.add.at(change, start[length == n] + n, -1)
+            out[np.cumsum(change)[:-1] > 0] = n
+        return out
+
     def kept(self, start: np.ndarray, length: np.ndarray) -> tuple[list[bytes | None], list[int]]:
         """Texts without the lines covered by these runs, and how many went."""
         change = np.zeros(self.first[-1] + 1, np.int64)
@@ -104,7 +114,8 @@ def _ask_lines(buckets: int):
 
 
 def _suffixes(min_words: int, buckets: int):
-    """A row for each line that may occur twice, with the lengths of the shortest runs that start there."""
+    """A row for each line of a shortest run whose lines may all occur twice: the longest such run around it, the lengths of those that start
+    there. All places of a repeated run are such lines, so nothing else is ranked."""
 
     @lean
     def run(batches):
@@ -113,7 +124,8 @@ def _suffixes(min_words: int, buckets: int):
                 x = Lines(unpack_docs(raw))
                 some = x.keys(buckets).answered(answer)
                 start, length = x.runs(min_words, some)
-                at = np.flatnonzero(some)
+                reach = x.reach(start, length)
+                at = np.flatnonzero(reach)
                 doc, m = x.doc[at], len(at)
                 tie = np.array([xxhash.xxh3_64_intdigest(t or b"") >> 1 for t in x.texts], np.int64)
                 offsets = np.searchsorted(start, np.append(at, len(some)))
@@ -121,7 +133,7 @@ def _suffixes(min_words: int, buckets: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([shard] * m, pa.int64()), pa.array(doc.astype(np.int32)), pa.array((at - x.first[doc]).astype(np.int32)), pa.array(x.hi[at].view(np.int64)), pa.array(x.lo[at].view(np.int64)),
-                        pa.array(x.words[at]), ids.is_null(), ids, pa.array(tie[doc]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(length.astype(np.int32))),
+                        ids.is_null(), ids, pa.array(tie[doc]), pa.array(reach[at].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(length.astype(np.int32))),
                     ],
                     names=[c.split()[0] for c in _SUFFIX.split(", ")],
                 )
@@ -140,34 +152,31 @@ def _ranked(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows of suffixes -> those whose keys occur twice, with rank (in the order of the keys) and later (not the first place of its rank)."""
     groups = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1"), "line-intervals")
     ranks = materialize(_in_order(groups.select(*keys, "first"), *keys).withColumnRenamed("number", "rank"), "line-ranks")
-    return materialize(rows.join(ranks, list(keys)).select(*_PLACE, "at", "rank", (F.col("at") != F.col("first")).alias("later")), "line-suffixes")
-
-
-def _further(level: DataFrame, distance, name: str) -> DataFrame:
-    """(place, name): the ranks that stand ``distance`` lines further on."""
-    return level.select("shard", "text", (F.col("place") - distance).alias("place"), F.col("rank").alias(name))
+    return materialize(rows.join(ranks, list(keys)).select(*_PLACE, "at", "reach", "runs", "rank", (F.col("at") != F.col("first")).alias("later")), "line-suffixes")
 
 
 def later_copies(suffixes: DataFrame) -> DataFrame:
     """(shard, text, place, length) of the runs that an earlier place in the corpus has too."""
     order = ["last", "doc_id", "tie", *_PLACE]
-    rows = materialize(_in_order(suffixes, *order).withColumnRenamed("number", "at").select(*_PLACE, "at", "hi", "lo", "runs"), "line-places")
-    runs = rows.select(*_PLACE, "at", F.explode("runs").alias("length"))
-    longest = runs.agg(F.max("length")).first()[0] or 0
-    level, span, found = _ranked(rows.select(*_PLACE, "at", "hi", "lo"), "hi", "lo"), 1, []
+    rows = materialize(_in_order(suffixes, *order).withColumnRenamed("number", "at").select(*_PLACE, "at", "hi", "lo", "reach", "runs"), "line-places")
+    longest = rows.agg(F.max("reach")).first()[0] or 0
+    level, span, found = _ranked(rows, "hi", "lo"), 1, []
     while span <= longest:
         # Intervals of this many lines are ranks; those of up to twice as many are pairs of ranks.
-        found.append(runs.filter(F.col("length") == span).join(level.filter("later"), [*_PLACE, "at"]).select(*_PLACE, "length"))
-        longer = runs.filter((F.col("length") > span) & (F.col("length") < 2 * span))
+        found.append(level.filter(F.col("later") & F.array_contains("runs", span)).select(*_PLACE, F.lit(span).alias("length")))
         if span > 1:
+            longer = level.select(*_PLACE, "at", F.col("rank").alias("left"), F.explode(F.filter("runs", lambda n: (n > span) & (n < 2 * span))).alias("length"))
             ends = level.select("shard", "text", F.col("place").alias("end"), F.col("rank").alias("right"))
-            named = longer.join(level.select(*_PLACE, F.col("rank").alias("left")), _PLACE).withColumn("end", F.col("place") + F.col("length") - span).join(ends, ["shard", "text", "end"])
+            named = longer.withColumn("end", F.col("place") + F.col("length") - span).join(ends, ["shard", "text", "end"])
             named = materialize(named.select(*_PLACE, "at", "length", "left", "right"), "line-runs")
             firsts = named.groupBy("length", "left", "right").agg(F.min("at").alias("first"))
             found.append(named.join(firsts, ["length", "left", "right"]).filter("at != first").select(*_PLACE, "length"))
         if 2 * span > longest:
             break
-        pairs = materialize(level.select(*_PLACE, "at", F.col("rank").alias("left")).join(_further(level, span, "right"), _PLACE), "line-pairs")
+        # The rank that stands this many lines further on, where a run is long enough to need it.
+        open_ = level.filter(F.col("reach") >= 2 * span)
+        further = open_.select("shard", "text", (F.col("place") - span).alias("place"), F.col("rank").alias("right"))
+        pairs = materialize(open_.select(*_PLACE, "at", "reach", "runs", F.col("rank").alias("left")).join(further, _PLACE), "line-pairs")
         if pairs.isEmpty():
             break
         level, span = _ranked(pairs, "left", "right"), 2 * span
