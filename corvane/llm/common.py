@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,9 +19,12 @@ WORD = r"[^\x20\x09-\x0D]++"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``. Where it is unset, a temporary one in local mode,
+    and an error on a cluster, whose machines don't share their folders."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="corvane-")
         atexit.register(shutil.rmtree, root, True)
         spark.sparkContext.setCheckpointDir(root)

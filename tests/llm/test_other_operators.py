@@ -184,3 +184,14 @@ def test_release(spark):
     assert os.path.isdir(path)
     common.release(spark)
     assert not os.path.isdir(path)
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from corvane.llm import common
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://x"):
+        spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(RuntimeError):
+            common.work_dir(spark, "x")
