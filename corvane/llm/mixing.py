@@ -3,7 +3,8 @@
 Every document gets a hash. A source that must give more than whole passes over its documents gives the rest by a
 threshold on that hash. The threshold comes from a histogram of sizes by (source, hash bucket): buckets are taken
 whole while their running total fits, then only the first bucket that does not fit is split into finer buckets, down to
-``LEVELS * BITS`` bits of the hash. Nothing is sorted but histograms; documents are filtered by comparing their hash.
+``LEVELS * BITS`` bits of the hash. The one hash that then does not fit is taken too where that comes nearer to the target, so a source
+misses it by half of that hash's words at most. Nothing is sorted but histograms; documents are filtered by comparing their hash.
 
 Null text has size 0; null sources are one source, last in the order; documents with one id share a hash, so they are
 taken together (a null id hashes the text instead). A source without words has target 0. An empty table gives no rows.
@@ -69,9 +70,14 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         joined = state.join(histogram.withColumnRenamed("source", "s"), F.col("s").eqNullSafe(F.col("source")), "left")
         fits = F.col("upto") <= F.col("need")
         last = F.lit(1 << DEPTH).cast("long") if level == 0 else F.shiftleft(F.shiftright("cut", step + BITS) + 1, step + BITS)
+        given = F.coalesce(F.sum(F.when(fits, F.col("tokens"))), F.lit(0))
+        edge = F.min(F.when(~fits, F.shiftleft(F.col("bucket"), step)))
+        if step == 0:  # the edge is one hash: over by it, or short without it
+            over = F.min(F.when(~fits, F.col("upto"))) - F.col("need")
+            edge = F.when(over < F.col("need") - given, edge + 1).otherwise(edge)
         state = (
             joined.groupBy("source", "source_size", "target", "passes", "need", "cut")
-            .agg(F.coalesce(F.sum(F.when(fits, F.col("tokens"))), F.lit(0)).alias("given"), F.min(F.when(~fits, F.shiftleft(F.col("bucket"), step))).alias("edge"))
+            .agg(given.alias("given"), edge.alias("edge"))
             .select("source", "source_size", "target", "passes", (F.col("need") - F.col("given")).alias("need"), F.coalesce("edge", last).alias("cut"))
         )
     return state
@@ -117,7 +123,8 @@ v AS (SELECT *, coalesce(max(CASE WHEN weight * level <= full_size THEN level EN
 g AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(full_size, weight * water) END AS target FROM v),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM g),
 c AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS need,
-  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+  sum(d.size) OVER (PARTITION BY d.source, d.h) AS own
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, ((passes + CASE WHEN upto <= need THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
+SELECT doc_id, size, source_size, target, ((passes + CASE WHEN upto <= need OR (upto - own <= need AND upto - need < need - (upto - own)) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
 """

@@ -139,6 +139,7 @@ def mix(docs, weights=(5, 2, 1), share=1.5, cap=2):
         passes = int(target[s] // total[s]) if total[s] else 0
         need, upto = target[s] - passes * total[s], 0
         for _, k in mine:
-            upto += size[k]
-            copies[k] = min(cap, passes + (upto <= need))
+            before, upto = upto, upto + size[k]
+            nearer = before <= need and upto - need < need - before
+            copies[k] = min(cap, passes + (upto <= need or nearer))
     return copies
