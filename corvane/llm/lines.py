@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from corvane.llm.common import documents, extended, lean, materialize, partitions
 from corvane.llm.shards import Keys, Shards, text_of, unpack_docs
 
-MIN_WORDS = 10
+#: Of a repeated run. On sf0.1, 21 % of all different lines of one or two words repeat, 13 % of those of three or four, 11 % of five to
+#: nine and 7 % of longer ones: by that, about half of the different repeated lines below three words repeat by chance and not as copies.
+MIN_WORDS = 3
 _U = np.uint64
 _PLACE = ["shard", "text", "place"]
 _SUFFIX = "shard long, text int, place int, hi long, lo long, last boolean, doc_id long, tie long, reach int, runs array<int>"

@@ -47,11 +47,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256, any_value(n)::BIGINT AS formatted_chars FROM own JOIN sizes USING (conv_id) GROUP BY conv_id
 """
 
+#: Words of a repeated run; every line of one has a word, so it has as many lines at most.
+LEAST = 3
+
 OP2 = rf"""
 WITH l AS (SELECT doc_id, line, k, len({WORDS.format('line')}) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL)),
 w AS MATERIALIZED (SELECT doc_id, line, k, n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM l WHERE n > 0),
-ahead AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 10 AND b.upto - a.upto + a.n >= 10 GROUP BY ALL),
-back AS (SELECT a.doc_id, max(b.i) AS s, a.i AS e FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i - 10 AND a.i AND a.upto - b.upto + b.n >= 10 GROUP BY a.doc_id, a.i),
+ahead AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + {LEAST} AND b.upto - a.upto + a.n >= {LEAST} GROUP BY ALL),
+back AS (SELECT a.doc_id, max(b.i) AS s, a.i AS e FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i - {LEAST} AND a.i AND a.upto - b.upto + b.n >= {LEAST} GROUP BY a.doc_id, a.i),
 r AS (SELECT * FROM ahead UNION SELECT doc_id, s, e FROM back),
 c AS MATERIALIZED (SELECT r.doc_id, s, e, string_agg(line, chr(10) ORDER BY i) AS content FROM r JOIN w ON w.doc_id = r.doc_id AND w.i BETWEEN s AND e GROUP BY r.doc_id, s, e),
 later AS (SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS copy FROM c) WHERE copy > 1),

@@ -391,7 +391,7 @@ def test_lines_of_repeated_rows(spark):
 def test_lines_real(real):
     out = {r["doc_id"]: r for r in rows(lines.dedup_lines(real))}
     data = [(r["doc_id"], r["text"]) for r in real.collect()]
-    for (i, _), n in zip(data, brute_lines(data, 10), strict=True):
+    for (i, _), n in zip(data, brute_lines(data, lines.MIN_WORDS), strict=True):
         assert out[i]["lines_removed"] == n
 
 
