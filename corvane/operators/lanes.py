@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.functions import vectors as V
+from corvane.operators import blocks
 
 K1, B = 1.2, 0.75
 #: So many questions at most are broadcast.
@@ -20,27 +20,35 @@ def ranked(scored: DataFrame, k: int, *keys: str) -> DataFrame:
 
 
 def lexical(docs: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
-    """BM25. Documents are read twice, for lengths and for the terms that questions have; other terms go before any shuffle."""
+    """BM25 of every question over all documents, doc_id being a key. Document counts and lengths come from one aggregation each; then blocks
+    of documents meet blocks of questions, terms by their 64-bit hashes, and the scores of all pairs stay inside a task (``blocks``)."""
     terms = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    tokens = docs.select("doc_id", T.tokens(F.col("text")).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
-    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    n_blocks, few = blocks.question_blocks(terms.groupBy("query_id").agg(F.count("*").alias("n")))
+    tokens = T.tokens(F.col("text"))
+    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.regexp_count(F.lower("text"), F.lit(T.TOKEN)).cast("long")).alias("avg_dl"))
     asked = terms.select("term").distinct()
-    tf = tokens.select("doc_id", "dl", F.explode("ts").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # By document: the sum over a question's terms then needs no shuffle of the joined rows, which are many times the postings.
-    tf = tf.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    rows = terms.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    df = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored, k).select("query_id", "rank", "doc_id", "score")
+    weighted = terms.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    entry = F.struct("query_id", F.xxhash64("term").alias("term"), idf.alias("idf"))
+    sides = weighted.groupBy(blocks.block_of(n_blocks)).agg(F.collect_list(entry).alias("asked"), F.first("avg_dl").alias("avg_dl"))
+    rows = blocks.pack_rows(docs.select("doc_id", F.transform(tokens, lambda t: F.xxhash64(t)).alias("terms")))
+    scored = blocks.meet(rows, sides.drop("block"), few, blocks.bm25_kernel(K1, B), k, _type(docs, "doc_id"), _type(questions, "query_id"))
+    return ranked(scored.withColumn("score", F.round("score", 6)), k).select("query_id", "rank", "doc_id", "score")
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def dense(vectors: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
-    """Exact cosine of every question with every vector: a stated set of questions against all rows."""
-    pairs = vectors.select(F.col("vec_id").alias("doc_id"), "embedding").crossJoin(questions.select("query_id", F.col("embedding").alias("q")))
-    scored = pairs.select("query_id", "doc_id", F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("score")).filter(F.col("score").isNotNull() & (F.col("query_id") != F.col("doc_id")))
-    return ranked(scored, k).select("query_id", "rank", "doc_id", "score")
+    """Exact cosine in double precision of every question with every vector: a stated set of questions against all rows, block by block.
+    Vectors that are null or zero, or have null or non-finite components, or are of another length than the question's, answer nothing."""
+    n_blocks, few = blocks.question_blocks(questions.select("query_id", F.coalesce(F.size("embedding"), F.lit(0)).alias("n")))
+    sides = questions.filter(F.size("embedding") > 0).groupBy(blocks.block_of(n_blocks)).agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
+    rows = blocks.pack_rows(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"))
+    scored = blocks.meet(rows, sides.drop("block"), few, blocks.cosine_kernel, k, _type(vectors, "vec_id"), _type(questions, "query_id"))
+    return ranked(scored.withColumn("score", F.round("score", 6)), k).select("query_id", "rank", "doc_id", "score")
 
 
 def exact(postings: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:

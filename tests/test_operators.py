@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import math
+import random
 import zipfile
 
 import pytest
@@ -169,3 +171,68 @@ def test_exact_lane_is_not_cut_by_bm25(spark, tmp_path):
     spark.createDataFrame([(0, [1.0, 0.0], "a")], "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["doc_id"] for r in plan.hits(spark, str(tmp_path)).filter("contains(signals, 'exact')").collect()}
     assert got == set(range(10))
+
+
+def _bm25(docs, questions, k):
+    """One pair at a time."""
+    import math
+    import re
+    from collections import Counter
+
+    ts = {d: re.findall(r"[^\W_]+", t.lower()) for d, t in docs if t is not None}
+    average = sum(map(len, ts.values())) / len(ts)
+    df = Counter(w for t in ts.values() for w in set(t))
+    out = set()
+    for q, text in questions:
+        scores = []
+        for d, t in ts.items():
+            tf = Counter(t)
+            shared = set(re.findall(r"[^\W_]+", (text or "").lower())) & set(t)
+            if shared:
+                s = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(t) / average)) for w in shared)
+                scores.append((-round(s, 6), d))
+        out |= {(q, i + 1, d, -s) for i, (s, d) in enumerate(sorted(scores)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_bm25_by_blocks_equals_one_pair_at_a_time(spark, monkeypatch, few):
+    """Blocks of few rows and questions, broadcast or not; null and empty texts, ties of copies, terms that no document has."""
+    from corvane.operators import blocks
+
+    for name, value in {"ROWS": 3, "ITEMS": 40, "QUESTIONS": 2, "PAIRS": 4, "FEW": few}.items():
+        monkeypatch.setattr(blocks, name, value)
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choices("a b c d e f Gg hh".split(), k=rng.randint(1, 30)))) for i in range(40)] + [(50, None), (51, ""), (52, "a b c"), (53, "a b c"), (54, "...")]
+    asked = [(i, " ".join(rng.choices("a b c gg zz".split(), k=3))) for i in range(7)] + [(8, None), (9, "zz"), (10, "a b c a")]
+    out = lanes.lexical(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string"), 5)
+    assert {tuple(r) for r in out.collect()} == _bm25(docs, asked, 5)
+
+
+def test_lanes_of_empty_tables(spark):
+    none, some = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "query_id long, text string")
+    assert lanes.lexical(none, some).count() == 0
+    assert lanes.lexical(some.withColumnRenamed("query_id", "doc_id"), none.withColumnRenamed("doc_id", "query_id")).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert lanes.dense(vectors, vectors.withColumnRenamed("vec_id", "query_id")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_dense_by_blocks_equals_one_pair_at_a_time(spark, monkeypatch, few):
+    """Null, zero and non-finite vectors, null components and other lengths answer nothing; copies are ties."""
+    from corvane.operators import blocks
+
+    for name, value in {"ROWS": 4, "ITEMS": 30, "QUESTIONS": 2, "FEW": few}.items():
+        monkeypatch.setattr(blocks, name, value)
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(30)]
+    rows += [(31, rows[0][1]), (32, [0.0, 0.0, 0.0]), (33, None), (34, [1.0, None, 0.0]), (35, [1.0, float("nan"), 0.0]), (36, [1.0, float("inf"), 0.0]), (37, [1.0, 2.0]), (38, []), (39, [2.0, 4.0])]
+    right = {i: v for i, v in rows if v and None not in v and all(map(math.isfinite, v)) and any(v)}
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 6)
+    expected = set()
+    for q in [i for i in right if i % 3 == 0 or i > 30]:
+        near = sorted((-cosine(right[q], v), i) for i, v in right.items() if i != q and len(v) == len(right[q]))
+        expected |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(near[:4])}
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = lanes.dense(v, v.filter("vec_id % 3 = 0 or vec_id > 30").withColumnRenamed("vec_id", "query_id"), 4)
+    assert {tuple(r) for r in out.collect()} == expected
