@@ -66,12 +66,13 @@ ch AS (SELECT s.query_id, s.doc_id, s.rank, c.chunk_index, length(c.chunk)::BIGI
 capped AS (SELECT * FROM (SELECT query_id, doc_id, rank, chunk_index, chars, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, chunk_index) AS of_document FROM ch WHERE overlap >= 8) WHERE of_document <= 2)"""
 
 
-def chunk_hits(spark, sf_dir):
+def chunk_hits(spark, sf_dir, *more: str):
+    """With more columns of the hits, if asked."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
     c = features.chunk_rows(spark, sf_dir).select("doc_id", "chunk_index", "chunk")
-    rows = single_hits(spark, sf_dir).select("query_id", "doc_id", "rank").join(c, "doc_id").join(q, "query_id")
+    rows = single_hits(spark, sf_dir).select("query_id", "doc_id", "rank", *more).join(c, "doc_id").join(q, "query_id")
     rows = rows.filter(F.size(F.array_intersect(F.array_distinct(T.tokens(F.col("chunk"))), "asked")) >= 8)
-    return fusion.cap_per_document(rows.select("query_id", "doc_id", "rank", "chunk_index", F.length("chunk").cast("long").alias("chars")))
+    return fusion.cap_per_document(rows.select("query_id", "doc_id", "rank", "chunk_index", F.length("chunk").cast("long").alias("chars"), *more))
 
 
 @query(f"WITH {LANES}, {CONTENT}, {CHUNK_HITS} SELECT * FROM capped")
@@ -91,11 +92,11 @@ PACKED = """o AS (SELECT query_id, doc_id, chunk_index, chars, row_number() OVER
 packed AS (SELECT * FROM (SELECT *, sum(chars) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM o) WHERE used <= 6000)"""
 
 
-def evidence(spark, sf_dir):
+def evidence(spark, sf_dir, *more: str):
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id").orderBy("rank", "chunk_index")
-    rows = chunk_hits(spark, sf_dir).select("query_id", "doc_id", "chunk_index", "chars", F.row_number().over(w).cast("long").alias("rank"))
+    rows = chunk_hits(spark, sf_dir, *more).select("query_id", "doc_id", "chunk_index", "chars", *more, F.row_number().over(w).cast("long").alias("rank"))
     return fusion.pack(rows, 6000)
 
 
@@ -114,7 +115,7 @@ coalesce(bool_or(contains(r.signals, 'exact')), false) AS anchored, CASE WHEN co
 FROM benchmark b LEFT JOIN packed p ON p.query_id = b.item_id LEFT JOIN ranked r ON r.query_id = p.query_id AND r.doc_id = p.doc_id GROUP BY b.item_id""")
 def answer_status(spark, sf_dir):
     """Neighbours don't count, and a score never makes an answer: exact evidence does."""
-    rows = evidence(spark, sf_dir).join(hits(spark, sf_dir).select("query_id", "doc_id", F.contains("signals", F.lit("exact")).alias("exact")), ["query_id", "doc_id"], "left")
+    rows = evidence(spark, sf_dir, "signals").withColumn("exact", F.contains("signals", F.lit("exact")))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     g = q.join(rows, "query_id", "left").groupBy("query_id").agg(F.count_distinct("doc_id").alias("coverage_documents"), F.count("doc_id").alias("n_evidence"), F.coalesce(F.bool_or("exact"), F.lit(False)).alias("anchored"))
     return g.withColumn("status", F.when(F.col("n_evidence") == 0, "partial").otherwise("ok")).withColumn("answerability", F.when(F.col("anchored"), "answerable").otherwise("uncertain"))
