@@ -63,3 +63,12 @@ f AS (SELECT d.doc_id, d.text, (SELECT count(*) FROM w WHERE w.doc_id = d.doc_id
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM l ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
 SELECT f.doc_id, n_lines, lines_removed, sha256(CASE WHEN lines_removed = 0 THEN f.text WHEN lines_removed = n_lines THEN '' ELSE kept.text END) AS kept_sha256 FROM f LEFT JOIN kept USING (doc_id)
 """
+
+OP12 = """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, other AS negative_id, positive_score, score AS negative_score FROM pos JOIN p USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 5
+"""

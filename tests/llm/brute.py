@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -143,3 +145,95 @@ def mix(docs, weights=(5, 2, 1), share=1.5, cap=2):
             nearer = before <= need and upto - need < need - before
             copies[k] = min(cap, passes + (upto <= need or nearer))
     return copies
+
+
+def negatives(rows, every, positives=5, count=5):
+    """Hard negatives of rows (vec_id, label, vector), all pairs by plain whole numbers."""
+    top = 1 << 24
+    whole = [(i, lab, [math.floor(min(top, max(-top, 256 * x))) for x in v]) for i, lab, v in rows if lab is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    anchors = {(i, lab, tuple(v)) for i, lab, v in whole if i is not None and i % every == 0}
+    out = []
+    order = lambda t: (-t[0], t[1] is None, t[1] or 0)
+    for a, lab, v in anchors:
+        met = [(sum(x * y for x, y in zip(v, w, strict=True)), i, m == lab) for i, m, w in whole if i != a and len(w) == len(v)]
+        for p, i, _ in sorted((t for t in met if t[2]), key=order)[:positives]:
+            inside = sorted((t for t in met if not t[2] and 80 * p <= 100 * t[0] <= 100 * p), key=order)[:count]
+            out += [(a, i, k + 1, n, p, s) for k, (s, n, _) in enumerate(inside)]
+    return out
+
+
+def damage(turns):
+    out = []
+    for c, t, r, x in turns:
+        c_, t_, r, x = (" " if v is None else str(v) for v in (c, t, r, x))
+        case = zlib.crc32(f"{c_}:{t_}".encode()) % 20
+        x = "" if case == 1 else re.sub("[.!?]", "", x) if case == 2 else x
+        out += [(c, t, "user" if case == 4 else r, x)] * (0 if case == 0 else 2 if case == 3 else 1)
+        out += [(c, None, None, None)] if case == 0 else []  # the conversation stays in the result
+    return out
+
+
+STEPS = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+WANTS = {"": "u", "s": "u", "u": "a", "a": "u"}
+
+
+def cheapest(initials, faults):
+    """(cost, audit) by trying everything that costs no more than deleting all rows."""
+    best = (3 * len(initials), "D" * len(initials))
+    todo = [(0, 0, "", "")]
+    while todo:
+        k, cost, state, audit = todo.pop()
+        if cost > best[0]:
+            continue
+        if k == len(initials) and state in ("", "a"):
+            best = min(best, (cost, audit))
+        todo.append((k, cost + 2, STEPS[state, WANTS[state]], audit + "I"))
+        if k < len(initials):
+            todo.append((k + 1, cost + 3, state, audit + "D"))
+            if faults[k] not in ("blank", "duplicate"):
+                more = faults[k] == "truncated"
+                todo.append((k + 1, cost + 2 + more, STEPS[state, WANTS[state]], audit + "R"))
+                if (state, initials[k]) in STEPS:
+                    todo.append((k + 1, cost + more, STEPS[state, initials[k]], audit + "K"))
+    return best
+
+
+def repairs(turns):
+    """Of rows (conv_id, turn, role, text), a null role standing for a conversation without one: what the operator returns, by a plain table
+    over rows and states."""
+    full, out = {"u": "user", "a": "assistant"}, {}
+    for conv in {t[0] for t in turns}:
+        rows = sorted((t[1:] for t in turns if t[0] == conv and t[2] is not None), key=lambda v: (v[0] is not None, v[0] or 0, v[1].encode(), hashlib.sha256(v[2].encode()).digest()))
+        known = [t for t, _, _ in rows if t is not None]
+        seen, faults = set(), []
+        for _, role, text in rows:
+            w = b"".join(text.encode().split()).decode()
+            faults.append("blank" if not w else "duplicate" if (role, text) in seen else "truncated" if w[-1] not in ".!?" else "")
+            seen.add((role, text))
+        initials = [role[:1] for _, role, _ in rows]
+
+        def inserted(best):
+            for _ in range(4):
+                for s, (cost, audit, lines) in list(best.items()):
+                    t = STEPS[s, WANTS[s]]
+                    best[t] = min(best.get(t, (math.inf,)), (cost + 2, audit + "I", [*lines, full[WANTS[s]] + ":"]))
+            return best
+
+        best = {"": (0, "", [])}
+        for (_, role, text), fault in zip(rows, faults, strict=True):
+            new = {}
+            for s, (cost, audit, lines) in inserted(best).items():
+                ways = [(s, 3, "D", [])]
+                if fault not in ("blank", "duplicate"):
+                    more = fault == "truncated"
+                    ways.append((STEPS[s, WANTS[s]], 2 + more, "R", [f"{full[WANTS[s]]}:{text}"]))
+                    kept = STEPS.get((s, role[:1])) if role else s
+                    ways += [(kept, more, "K", [f"{role}:{text}"])] if kept is not None else []
+                for t, more, letter, line in ways:
+                    new[t] = min(new.get(t, (math.inf,)), (cost + more, audit + letter, lines + line))
+            best = new
+        cost, audit, lines = min(v for s, v in inserted(best).items() if s in ("", "a"))
+        pairs = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+        gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+        out[conv] = (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), pairs, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
