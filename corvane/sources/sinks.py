@@ -54,70 +54,21 @@ def as_prompt(evidence: DataFrame) -> DataFrame:
     return evidence.select(F.format_string("[%s] (%s) %s", "label", F.col("doc_id").cast("string"), "excerpt").alias("line"))
 
 
-def check_vectors(vectors: DataFrame, rows: int, dimension: int) -> None:
-    """Raises unless there are that many vectors, all of that length, in one pass before anything is written."""
-    got = vectors.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("embedding"), F.lit(-1)) != dimension).alias("bad")).first()
-    if got["n"] != rows or got["bad"]:
-        raise ValueError(f"{got['n']} vectors for {rows} records, {got['bad']} not of {dimension} numbers")
-
-
-def upsert_collection(spark: SparkSession, root: str, version: str, changed: dict[str, DataFrame], deleted: DataFrame, key: str, dimension: int | None = None) -> None:
-    """The next version of a stored collection: rows of ``changed`` replace those of their key in every table, ``deleted`` keys go, and the
-    manifest names the new version once all of it is written. A failure leaves the old version current."""
-    from corvane.operators.maintenance import upsert
-
-    first = next(iter(changed))
-    tables = {name: upsert(current(spark, root, name), rows, deleted, key) for name, rows in changed.items()}
-    count = tables[first].count()
-    for name, rows in tables.items():
-        if dimension is not None and "embedding" in rows.columns:
-            check_vectors(rows, count, dimension)
-    publish(root, version, tables, {"record_count": count})
-
-
-def snapshot(spark: SparkSession, root: str, target: str, names: list[str]) -> None:
-    """The named tables of the current version, whatever is published meanwhile; other tables are not copied."""
-    version = manifest(spark, root)["version"]
-    tables = {name: spark.read.parquet(f"{root}/{version}/{name}") for name in names}
-    publish(target, version, tables, {})
-
-
 def append_events(events: DataFrame, path: str) -> None:
     """An event log as JSON lines that is only ever added to."""
     events.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
-def write_report(path: str, report: dict) -> None:
-    """A report of the driver as UTF-8 JSON with an indent of two; the file is there as a whole or not at all."""
-    import os
-
-    with open(f"{path}.part", "w", encoding="utf-8") as f:
-        json.dump(report, f, ensure_ascii=False, indent=2)
-        f.write("\n")
-    os.replace(f"{path}.part", path)
-
-
-def write_zip(path: str, members: dict[str, str]) -> None:
-    """A bundle of local files (name in the archive: path) whose bytes depend on their content alone: names in order, one time and mode for
-    all, copied by the megabyte. It is read back before it gets its name, and never replaces another."""
-    import os
-    import shutil
-    import zipfile
-
-    if os.path.exists(path):
-        raise FileExistsError(path)
-    part = f"{path}.part"
-    with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
-        for name in sorted(members):
-            info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
-            info.compress_type, info.external_attr, info.create_system = zipfile.ZIP_DEFLATED, 0o644 << 16, 3
-            with open(members[name], "rb") as source, z.open(info, "w") as sink:
-                shutil.copyfileobj(source, sink, 1 << 20)
-    with zipfile.ZipFile(part) as z:
-        if z.testzip() is not None:
-            raise ValueError("the archive is damaged")
-    os.link(part, path)
-    os.unlink(part)
+def write_report(spark: SparkSession, path: str, report: dict) -> None:
+    """A report as UTF-8 JSON with an indent of two, in whatever store the path is of; it has its name once it is whole."""
+    fs, part = _fs(spark, f"{path}.part")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(f"{json.dumps(report, ensure_ascii=False, indent=2)}\n".encode()))
+    finally:
+        out.close()
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path), False)
+    fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(path))
 
 
 def deliver(results: DataFrame, how: str, kind: str, path: str | None = None) -> DataFrame | None:

@@ -3,24 +3,12 @@ where the last one stopped; results are files in the session's shared folder."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LINE = 1 << 20
-
+from corvane.sources.work import folder
 
-def folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="corvane-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+MAX_LINE = 1 << 20
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +31,7 @@ def to_end(stream: DataFrame, path: str, batch=None, mode: str = "append") -> No
 
 def phase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals kept in state; each trigger writes the whole small table as a new version, named by its batch."""
-    path = folder(spark, "totals")
+    path = folder(spark, "streams/totals")
     totals = events(spark, sf_dir).groupBy(F.col("event_type").alias("phase")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("seconds"))
     seen = []
 
@@ -57,7 +45,7 @@ def phase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request a line: what is no object or too large gets its code, and the loop goes on."""
-    path = folder(spark, "requests")
+    path = folder(spark, "streams/requests")
     e = events(spark, sf_dir)
     line = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("["), "props")).when(F.col("event_id") % 11 == 0, F.rpad("props", MAX_LINE + 1, " ")).otherwise(F.col("props"))
     e = e.select("event_id", line.alias("line"))
@@ -69,7 +57,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def warn_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and type: state is the least id by key, updates replace what was written before."""
-    path = folder(spark, "warnings")
+    path = folder(spark, "streams/warnings")
     first = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
     def save(df, batch):
