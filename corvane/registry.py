@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import answers, base, collection, evaluation, features, fusion, lanes, maintenance, protocol, state, surface, versions  # noqa: F401  the modules register their queries
+from corvane.plans import answers, base, collection, evaluation, features, fusion, indexed, lanes, maintenance, protocol, state, surface, versions  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict:
