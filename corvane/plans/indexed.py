@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from corvane.operators import inverted
+from pyspark.sql import functions as F
+
+from corvane.operators import ann, inverted
 from corvane.plans.base import query
 from corvane.plans.features import BM25, questions
+from corvane.plans.lanes import DENSE
 from corvane.sources.tables import table
 from corvane.sources.work import folder
 
@@ -15,3 +18,12 @@ def bm25_index_topk(spark, sf_dir):
     path = folder(spark, "inverted")
     inverted.build(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return inverted.search(spark, path, questions(spark, sf_dir))[0]
+
+
+@query(f"WITH {DENSE} SELECT query_id, rank, doc_id, score FROM dense")
+def dense_index_topk(spark, sf_dir):
+    """The exact answers of a quantised index: cells and codes rule out what cannot be among the best, cosines decide the rest."""
+    path = folder(spark, "vectors")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ann.build(v, path)
+    return ann.search(spark, path, v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding"), 8, exact=True)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import inverted, lanes
+from corvane.operators import ann, inverted, lanes
 
 
 def rows(df):
@@ -50,3 +52,38 @@ def test_empty_index(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     inverted.build(docs, str(tmp_path / "index"))
     assert inverted.search(spark, str(tmp_path / "index"), spark.createDataFrame([(1, "a")], "query_id long, text string"))[0].count() == 0
+
+
+def vectors(spark, x, first=0):
+    return spark.createDataFrame([(first + i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+
+
+def test_quantised_index(spark, tmp_path):
+    """12,000 vectors in groups of neighbours: nine in ten of the ten nearest from an eighth of the cells, all of them where exact; every row is in it."""
+    r = np.random.default_rng(3)
+    x = (r.normal(size=(600, 1, 32)) + 0.35 * r.normal(size=(600, 20, 32))).reshape(-1, 32)
+    v = vectors(spark, x)
+    path = str(tmp_path / "index")
+    ann.build(v, path)
+    assert spark.read.parquet(f"{path}/vectors").count() == 12_000 == spark.read.parquet(f"{path}/codes").agg(F.sum(F.size("ids"))).first()[0]
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = {(q, d) for q, _, d, _ in rows(lanes.dense(v, asked, 10))}
+    got = rows(ann.search(spark, path, asked, 10))
+    assert len({(q, d) for q, _, d, _ in got} & want) >= 0.9 * len(want) == 0.9 * 1200
+    assert rows(ann.search(spark, path, asked, 10, exact=True)) == rows(lanes.dense(v, asked, 10))
+
+
+def test_index_of_odd_vectors(spark, tmp_path, monkeypatch):
+    """Null, zero and non-finite vectors, a third of all alike, fewer than asked for; lengths that differ; an empty table."""
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    x = np.concatenate([np.random.default_rng(1).normal(size=(60, 5)), np.ones((40, 5))])
+    odd = spark.createDataFrame([(900, None), (901, [0.0] * 5), (902, [float("nan")] * 5), (903, [None] * 5), (904, [1e300] * 5), (905, [])], "vec_id long, embedding array<double>")
+    v = vectors(spark, x).unionByName(odd)
+    ann.build(v, str(tmp_path / "index"))
+    asked = v.filter("vec_id % 7 = 0 OR vec_id >= 900").select(F.col("vec_id").alias("query_id"), "embedding")
+    for k in (3, 500):
+        assert rows(ann.search(spark, str(tmp_path / "index"), asked, k, exact=True)) == rows(lanes.dense(v, asked, k))
+    with pytest.raises(ValueError):
+        ann.build(v.unionByName(vectors(spark, np.ones((1, 3)), 990)), str(tmp_path / "other"))
+    ann.build(v.limit(0), str(tmp_path / "none"))
+    assert ann.search(spark, str(tmp_path / "none"), asked).count() == 0
