@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import blocks
+from corvane.operators import blocks, strings
 
 K1, B = 1.2, 0.75
-#: So many questions at most are broadcast.
-FEW = 10_000
 
 
 def ranked(scored: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -58,24 +56,8 @@ def exact(postings: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
 
 
 def passages(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, doc_id) of all documents that hold a question's whole text. A document with the text has the words inside it, so each
-    question meets only the documents with the rarest of those; a word at an end may be part of a longer one there and doesn't count.
-    Questions without a word inside meet all documents, blank ones none."""
-    asked = questions.select("query_id", F.col("text").alias("passage")).filter(~T.blank(F.col("passage")))
-    inner = F.regexp_replace("passage", rf"\A{T.TOKEN}|{T.TOKEN}\z", "")
-    asked = asked.withColumn("words", F.array_distinct(T.find_all(inner, T.TOKEN)))  # as they are written: contains heeds case
-    small = F.broadcast if questions.limit(FEW + 1).count() <= FEW else lambda df: df
-    own = docs.select("doc_id", "text", F.array_distinct(T.find_all(F.col("text"), T.TOKEN)).alias("own"))
-    counts = own.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    # A word that no document has has no row here, and is the rarest all the same.
-    words = asked.select("query_id", F.explode("words").alias("word")).join(counts, "word", "left")
-    least = words.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "word"))["word"].alias("word")).join(asked, "query_id").select("query_id", "word", "passage")
-    sought = least.agg(F.collect_set("word").alias("sought"))  # one row; other words go before the join
-    near = own.crossJoin(F.broadcast(sought)).select("doc_id", "text", F.explode(F.array_intersect("own", "sought")).alias("word"))
-    holds = F.contains("text", "passage")
-    found = near.join(small(least), "word").filter(holds).select("query_id", "doc_id")
-    rest = asked.filter(F.size("words") == 0).select("query_id", "passage")
-    return found.unionByName(docs.select("doc_id", "text").join(small(rest), holds).select("query_id", "doc_id"))
+    """(query_id, doc_id) of all documents that hold a question's whole text, as it is written; blank questions have none."""
+    return strings.holders(docs, questions)
 
 
 def metadata(docs: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:

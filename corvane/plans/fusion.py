@@ -10,6 +10,7 @@ from corvane.operators import lanes as retrieval
 from corvane.plans import features, lanes
 from corvane.plans.base import query
 from corvane.sources.tables import table
+from corvane.sources.work import written
 
 #: The dense lane has no key to documents: vec_id = doc_id is a synthetic link, for these demonstrations alone.
 #: A question's exact evidence is the whole passage as one line of the document's text.
@@ -24,15 +25,16 @@ LANES = LANES.replace("SELECT query_id / 100, doc_id", "SELECT query_id // 100,
 def exact_and_lexical(spark, sf_dir):
     """The exact lane is sought in all documents, not among BM25's best eight."""
     found = retrieval.passages(table(spark, sf_dir, "documents").select("doc_id", "text"), features.questions(spark, sf_dir))
-    return {"lexical": features.bm25(spark, sf_dir), "exact": fusion.order_hits(found.withColumn("score", F.lit(0)), anchors_first=False)}
+    # Lanes are a few rows of each question, found once and read wherever they are used.
+    return {"lexical": written(features.bm25(spark, sf_dir), "lexical"), "exact": written(fusion.order_hits(found.withColumn("score", F.lit(0)), anchors_first=False), "exact")}
 
 
 def all_lanes(spark, sf_dir):
-    return exact_and_lexical(spark, sf_dir) | {"dense": lanes.dense(spark, sf_dir).withColumn("query_id", F.expr("query_id div 100"))}
+    return exact_and_lexical(spark, sf_dir) | {"dense": written(lanes.dense(spark, sf_dir).withColumn("query_id", F.expr("query_id div 100")), "dense")}
 
 
 def hits(spark, sf_dir):
-    return fusion.order_hits(fusion.fuse(fusion.union_lanes(all_lanes(spark, sf_dir))))
+    return written(fusion.order_hits(fusion.fuse(fusion.union_lanes(all_lanes(spark, sf_dir)))), "hits")
 
 
 @query(f"WITH {LANES} SELECT * FROM fused")

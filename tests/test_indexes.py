@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import ann, inverted, lanes
+from corvane.operators import ann, inverted, lanes, strings
 
 
 def rows(df):
@@ -87,3 +87,21 @@ def test_index_of_odd_vectors(spark, tmp_path, monkeypatch):
         ann.build(v.unionByName(vectors(spark, np.ones((1, 3)), 990)), str(tmp_path / "other"))
     ann.build(v.limit(0), str(tmp_path / "none"))
     assert ann.search(spark, str(tmp_path / "none"), asked).count() == 0
+
+
+def test_many_strings(spark):
+    """100,000 strings over texts that hold some of them, by one broadcast, by shards that are not broadcast, and by plain search."""
+    r = random.Random(5)
+    texts = ["".join(r.choices("abcd é", k=r.randint(0, 400))) for _ in range(60)] + [None, ""]
+    asked = [(q, "".join(r.choices("abcd é", k=r.randint(7, 12)))) for q in range(100_000)]
+    cut = [t[k : k + 9] for t in texts[:60] for k in range(0, max(0, len(t) - 9), 50)]
+    asked += [(200_000 + k, s) for k, s in enumerate(cut)] + [(300_000, None), (300_001, " "), (300_002, ""), (300_003, cut[0]), (300_004, "a")]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, sought string").repartition(3)
+    questions = spark.createDataFrame(asked, "query_id long, text string").repartition(4)
+    want = {(q, i) for q, s in asked if s and s.strip() for i, t in enumerate(texts) if t and s in t}
+    for chars, few in ((1 << 20, 4 << 20), (1 << 18, 0)):
+        got = rows(strings.holders(docs, questions, chars, few))
+        assert len(got) == len(set(got)) and set(got) == want
+    plan = strings.holders(docs, questions, 1 << 18, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" in plan
+    assert strings.holders(docs, questions.limit(0)).count() == 0 == strings.holders(docs.limit(0), questions).count()
