@@ -7,56 +7,62 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from corvane.functions.text import sha
+from corvane.sources.work import written
 
-
-BINS = 1024
+#: A sketch of the values puts two ends around a wanted share of them, so far below and above it; its own error is a fifth of that.
+AROUND, ACCURACY = 0.001, 5000
+#: So many values of a key at most are ordered without a sketch.
+FEW = 10_000
 
 
 def _key(columns: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in columns]) if columns else F.struct(F.lit(0).alias("all"))
 
 
-def _narrow(values: DataFrame, group: list[str], ranks: DataFrame | None) -> DataFrame:
-    """values(group, v, n[, rank]) -> those in the bin of each group that holds its rank, with rank counted from that bin's first value.
-
-    BINS bins lie between a group's smallest and largest finite value; infinities and NaN have their own at the ends."""
-    v, finite = F.col("v"), ~F.isnan("v") & (F.abs("v") < float("inf"))
-    rims = values.groupBy(*group).agg(F.min(F.when(finite, v)).alias("low"), F.max(F.when(finite, v)).alias("high"))
-    same = lambda a, b, names: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in names]
-    inside = F.least(F.lit(BINS - 1), F.floor(F.coalesce((v - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.0)) * BINS))
-    place = F.when(finite, inside).when(v < 0, -1).otherwise(BINS).cast("int")
-    binned = values.alias("x").join(rims.alias("y"), same("x", "y", group)).select("x.*", place.alias("bin"))
-    order = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = binned.groupBy(*group, "bin", *([] if ranks is not None else ["rank"])).agg(F.sum("n").alias("size")).withColumn("upto", F.sum("size").over(order))
-    if ranks is not None:
-        sizes = sizes.alias("x").join(ranks.alias("y"), same("x", "y", group)).select("x.*", "y.t", "y.rank")
-    held = sizes.filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("size")))
-    names = [*group, "bin"]
-    picked = held.select(*names, *(["t"] if ranks is not None else []), (F.col("rank") - F.col("upto") + F.col("size")).alias("rank"))
-    left = binned.drop("rank") if ranks is None else binned
-    out = left.alias("x").join(picked.alias("y"), same("x", "y", names))
-    return out.select(*[F.col(f"x.{g}") for g in group], *([F.col("y.t")] if ranks is not None else []), "x.v", "x.n", "y.rank")
+def ends(values: DataFrame, wanted: dict) -> DataFrame:
+    """values(k, v) -> (k, n, t, rank, low, high): for each wanted name its rank, and values that it lies between by a sketch of ranks, whatever
+    the spread of the values. NaN stands behind all numbers and is in no sketch."""
+    shares = [x for p, _ in wanted.values() for x in (max(0.0, p - AROUND), min(1.0, p + AROUND))]
+    number = F.when(~F.isnan("v"), F.col("v"))
+    totals = written(values.groupBy("k").agg(F.count("*").alias("n"), F.percentile_approx(number, shares, ACCURACY).alias("cuts")), "order-totals")
+    few = (F.col("n") <= FEW) | F.col("cuts").isNull()
+    rank = lambda i, t, f: F.struct(F.lit(t).alias("t"), f(F.col("n")).cast("long").alias("rank"), F.when(few, float("-inf")).otherwise(F.get("cuts", F.lit(2 * i))).alias("low"), F.when(few, float("inf")).otherwise(F.get("cuts", F.lit(2 * i + 1))).alias("high"))
+    return totals.select("k", "n", F.inline(F.array(*[rank(i, t, f) for i, (t, (_, f)) in enumerate(wanted.items())])))
+
+
+def near(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """(k, t, v, n): equal values between the ends, counted, and one row with a null v for all that lie below them."""
+    place = values.alias("x").join(asked.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k"))).filter((F.col("v") <= F.col("high")) | F.isnan("v") & F.isnan("high"))
+    return place.groupBy("x.k", "y.t", "y.rank", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
 
 
 def order_statistics(rows: DataFrame, keys: list[str], value: str, wanted: dict) -> DataFrame:
-    """(keys, n, one column for each wanted name): exact values at 1-based ranks, which are functions of the number n of values.
-
-    No task sees a whole key: equal values are counted together, twice a histogram narrows each rank down to one of BINS bins, and only what
-    is left there, a millionth of an even spread, is ordered. Null values do not count."""
-    values = rows.select(_key(keys).alias("k"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("n"))
-    totals = values.groupBy("k").agg(F.sum("n").alias("n"))
-    ranks = totals.select("k", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), f(F.col("n")).cast("long").alias("rank")) for t, f in wanted.items()])).alias("w")).select("k", "w.*")
-    near = _narrow(_narrow(values, ["k"], ranks), ["k", "t"], None)
-    upto = F.sum("n").over(Window.partitionBy("k", "t").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    hit = near.withColumn("upto", upto).filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
-    found = hit.groupBy("k").agg(*[F.max(F.when(F.col("t") == t, F.col("v"))).alias(t) for t in wanted])
-    out = totals.alias("x").join(found.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k")))
+    """(keys, n, one column for each wanted name): exact values at 1-based ranks. A wanted name has the share of the values that its rank stands for and
+    the rank as a function of their number n.
+
+    No task sees a whole key of more than FEW values: of each rank, the values between two ends, a few thousandths of all, are ordered, and
+    the rest is counted. Where a sketch's ends miss a rank, which the counts show, that key is ordered as a whole. Null values do not count."""
+    values = written(rows.select(_key(keys).alias("k"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL"), "order-values")
+    asked = ends(values, wanted)
+
+    def hits(asked: DataFrame) -> DataFrame:
+        upto = F.sum("n").over(Window.partitionBy("k", "t").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+        inside = near(values, asked).withColumn("upto", upto).filter("v IS NOT NULL")
+        return inside.filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))).select("k", "t", "v")
+
+    found = written(hits(asked), "order-found")
+    missed = asked.alias("x").join(found.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.t") == F.col("y.t")), "left_anti")
+    if missed.limit(1).count():
+        found = found.unionByName(hits(missed.withColumn("low", F.lit(float("-inf"))).withColumn("high", F.lit(float("nan")))))
+    picked = found.groupBy("k").agg(*[F.max(F.when(F.col("t") == t, F.col("v"))).alias(t) for t in wanted])
+    totals = asked.select("k", "n").distinct()
+    out = totals.alias("x").join(picked.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k")))
     return out.select(*[F.col(f"x.k.{c}").alias(c) for c in keys], "x.n", *[F.col(f"y.{t}") for t in wanted])
 
 
 #: Ranks of n values: the middle two (one for odd n), and the nearest rank that 95 % do not exceed.
-MEDIAN = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor(n / 2) + 1}
-P95 = {"p95": lambda n: F.floor((n * 95 + 99) / 100)}
+MEDIAN = {"low": (0.5, lambda n: F.floor((n + 1) / 2)), "high": (0.5, lambda n: F.floor(n / 2) + 1)}
+P95 = {"p95": (0.95, lambda n: F.floor((n * 95 + 99) / 100))}
 
 
 def medians(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:

@@ -107,6 +107,29 @@ def test_order_statistics(spark):
         assert out[k]["n"] == n and str([out[k][c] for c in ("low", "high", "p95")]) == str([s[(n + 1) // 2 - 1], s[n // 2], s[-(-95 * n // 100) - 1]]), k
 
 
+def test_order_statistics_on_skew(spark, monkeypatch):
+    """Spreads over tens of powers of ten, two outliers, three in four values equal: less than one value in a hundred is left to be ordered, and ends that
+    miss a rank are made good."""
+    e = F.exp(F.randn(1) * 10)
+    one = spark.range(100_000).select(F.lit("spread").alias("k"), e.alias("v"))
+    two = spark.range(100_000).select(F.lit("outliers").alias("k"), F.when(F.col("id") == 0, 1e300).when(F.col("id") == 1, 1e150).otherwise(e).alias("v"))
+    tie = spark.range(100_000).select(F.lit("equal").alias("k"), F.when(F.col("id") < 75_000, 1.5).otherwise(F.rand(3)).alias("v"))
+    nan = spark.range(100_000).select(F.lit("nan").alias("k"), F.when(F.col("id") < 75_000, float("nan")).otherwise(F.rand(3)).alias("v"))
+    df = one.union(two).union(tie).union(nan).cache()
+    values = {}
+    for k, v in df.collect():
+        values.setdefault(k, []).append(v)
+    want = {k: [str(s[i]) for i in (49_999, 50_000, 94_999)] for k, vs in values.items() for s in [sorted(vs, key=lambda v: (v != v, v))]}
+    keyed = df.select(evaluate._key(["k"]).alias("k"), "v")
+    left = evaluate.near(keyed, evaluate.ends(keyed, evaluate.MEDIAN)).groupBy("k", "t").count().collect()
+    assert max(r["count"] for r in left) < 1000
+    for around in (evaluate.AROUND, -0.01):  # ends the wrong way round hold nothing
+        monkeypatch.setattr(evaluate, "AROUND", around)
+        got = {r["k"]: [str(r[c]) for c in ("low", "high", "p95")] for r in evaluate.order_statistics(df, ["k"], "v", evaluate.MEDIAN | evaluate.P95).collect()}
+        assert got == want
+    df.unpersist()
+
+
 def test_merkle_ignores_partitions(spark):
     df = spark.range(5000).select(F.col("id"), T.sha(F.col("id").cast("string")).alias("h"))
     a = evaluate.merkle(df, "id", "h", 10).first()[0]
