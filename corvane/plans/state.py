@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from corvane import streaming
 from corvane.plans.base import query
 from corvane.sources.tables import table
+from corvane.sources.work import folder
+from corvane.streaming import stateful
 
 
-@query("""WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age, max(ts) OVER (PARTITION BY user_id) AS now FROM events WHERE event_type = 'click')
-SELECT user_id, event_id, age <= 2 AS held, age <= 2 AND ts > now - INTERVAL 6 HOUR AS live FROM r""")
+TOKENS = """WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age, max(ts) OVER (PARTITION BY user_id) AS now FROM events WHERE event_type = 'click')
+SELECT user_id, event_id, age <= 2 AS held, age <= 2 AND ts > now - INTERVAL 6 HOUR AS live FROM r"""
+
+
+@query(TOKENS)
 def token_registry_batch(spark, sf_dir):
     """Result tokens of each user: the two latest are held, and live for six hours."""
     w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
@@ -19,9 +24,12 @@ def token_registry_batch(spark, sf_dir):
     return e.select("user_id", "event_id", (F.col("age") <= 2).alias("held"), ((F.col("age") <= 2) & (F.col("ts") > F.col("now") - F.expr("INTERVAL 6 HOURS"))).alias("live"))
 
 
-@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS starts FROM events),
+LIVES = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS starts FROM events),
 s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
-SELECT user_id, count(DISTINCT session) AS sessions, count(*) AS events FROM s GROUP BY user_id""")
+SELECT user_id, count(DISTINCT session) AS sessions, count(*) AS events FROM s GROUP BY user_id"""
+
+
+@query(LIVES)
 def idle_sessions(spark, sf_dir):
     """A daemon that ends after three idle hours: one life is one session."""
     e = table(spark, sf_dir, "events").select("user_id", "ts")
@@ -47,3 +55,16 @@ def stream_requests(spark, sf_dir):
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def stream_warn_once(spark, sf_dir):
     return streaming.warn_once(spark, sf_dir)
+
+
+@query(TOKENS)
+def stream_tokens(spark, sf_dir):
+    """The registry as keyed state: a new token evicts the third, and ends what is six hours older."""
+    clicks = streaming.events(spark, sf_dir).filter("event_type = 'click'")
+    return stateful.tokens(clicks, folder(spark, "streams/tokens"))
+
+
+@query(LIVES)
+def stream_lives(spark, sf_dir):
+    """The daemon's lives as keyed state with timers."""
+    return stateful.lives(streaming.events(spark, sf_dir), folder(spark, "streams/lives"))
