@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane import streaming
 from corvane.plans.base import query
+from corvane.sources import files
 from corvane.sources.tables import table
 from corvane.sources.work import folder
 from corvane.streaming import stateful
@@ -68,3 +69,29 @@ def stream_tokens(spark, sf_dir):
 def stream_lives(spark, sf_dir):
     """The daemon's lives as keyed state with timers."""
     return stateful.lives(streaming.events(spark, sf_dir), folder(spark, "streams/lives"))
+
+
+LINES = """WITH l AS (SELECT props AS line FROM events UNION ALL SELECT unnest(string_split(text, chr(10))) FROM documents WHERE text IS NOT NULL)
+SELECT code, count(*) AS n, sum(strlen(line))::BIGINT AS bytes FROM (SELECT line, CASE WHEN strlen(line) >= 1048576 OR NOT json_valid(line) OR trim(line) = '' THEN 'parse_error' WHEN json_type(line) = 'OBJECT' THEN 'ok' ELSE 'invalid_request' END AS code FROM l) GROUP BY code"""
+
+
+def landed(spark, sf_dir) -> str:
+    """A folder of lines as they might come in: the events' requests, and all lines of the documents, which are none."""
+    root = folder(spark, "landing")
+    table(spark, sf_dir, "events").select("props").write.text(f"{root}/events")
+    table(spark, sf_dir, "documents").select("text").filter("text IS NOT NULL").write.text(f"{root}/documents")
+    return root
+
+
+@query(LINES)
+def request_lines(spark, sf_dir):
+    """Stored lines by what they are, files split like other texts."""
+    rows = files.requests(spark, landed(spark, sf_dir))
+    return rows.groupBy("code").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query(LINES)
+def stream_request_lines(spark, sf_dir):
+    """The same lines as a stream of their files."""
+    rows = streaming.request_lines(spark, landed(spark, sf_dir), folder(spark, "streams/lines"))
+    return rows.groupBy("code").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))

@@ -3,12 +3,11 @@ guess."""
 
 from __future__ import annotations
 
-import json
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.work import written
+
 TEXT_SUFFIXES = (".txt", ".md", ".pu", ".puml", ".plantuml", ".py", ".yaml")
 MAX_LINE = 1 << 20
 
@@ -40,34 +39,29 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     return out.filter((F.col("title") != "") | (F.trim("text") != ""))
 
 
-def json_lines(files: DataFrame) -> DataFrame:
-    """(path, content) -> (path, line, code, request): one JSON object on each line, ended by a line feed and no longer than MAX_LINE with
-    it. Whatever breaks a rule is a parse_error of its own, and the next line is read as if nothing had happened."""
-
-    def run(batches):
-        for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = (raw or b"").split(b"\n")
-                codes, found = [], []
-                for k, line in enumerate(lines):
-                    if k == len(lines) - 1 and not line:
-                        break
-                    code, request = "ok", None
-                    try:
-                        if k == len(lines) - 1 or len(line) + 1 > MAX_LINE:
-                            raise ValueError
-                        value = json.loads(line.decode("utf-8", "strict"))
-                        code = "ok" if isinstance(value, dict) else "invalid_request"
-                        request = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-                    except ValueError:
-                        code = "parse_error"
-                    codes.append(code)
-                    found.append(request)
-                n = len(codes)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(codes, pa.string()), pa.array(found, pa.string())], names=["path", "line", "code", "request"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, line int, code string, request string")
+def line_code(line: Column) -> Column:
+    """What a request line is: ok for a JSON object, invalid_request for other JSON; a parse_error is no JSON, no strict UTF-8 or, with its line feed, longer
+    than MAX_LINE. A key that stands twice in an object is no JSON here."""
+    kind = F.schema_of_variant(F.try_parse_json(F.when(F.is_valid_utf8(line) & (F.octet_length(line) < MAX_LINE), line)))
+    return F.when(kind.isNull(), "parse_error").when(F.startswith(kind, F.lit("OBJECT")), "ok").otherwise("invalid_request")
 
 
 def requests(spark: SparkSession, root: str) -> DataFrame:
-    return json_lines(_scan(spark, root, True))
+    """(path, line, bytes, code, request) of the files below root: one JSON object on each line, which a line feed ends; request is the object in compact form,
+    keys in order. Whatever breaks a rule is an error of its own, and the next line is read as if nothing had happened; a last line without a line
+    feed is a parse_error.
+
+    Files are split like other texts: a large one is many tasks, and only counts of their splits meet, to number the lines."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    rows = raw.select(at.alias("at"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("id"), F.octet_length("value").cast("long").alias("bytes"), line_code(F.col("value")).alias("code"), F.to_json(F.try_parse_json(F.when(F.is_valid_utf8("value"), F.col("value")))).alias("request"))
+    rows = written(rows, "request-lines")
+    # Lines of a split have numbers in a row, in the order of the file; a file that ends with a line feed has as many bytes as its lines and their ends.
+    splits = rows.groupBy("at").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum(F.col("bytes") + 1).alias("bytes"), F.max("size").alias("size"))
+    file, order = Window.partitionBy("at.path"), Window.partitionBy("at.path").orderBy("at.start")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("at").alias("of"), F.col("first"), before.alias("before"), F.sum("n").over(file).alias("total"), (F.sum("bytes").over(file) > F.col("size")).alias("open"))
+    out = rows.join(splits, F.col("at") == F.col("of")).withColumn("line", F.col("before") + F.col("id") - F.col("first"))
+    code = F.when(F.col("open") & (F.col("line") == F.col("total") - 1), "parse_error").otherwise(F.col("code"))
+    out = out.select(F.col("at.path").alias("path"), "line", "bytes", code.alias("code"), "request")
+    return out.withColumn("request", F.when(F.col("code") != "parse_error", F.col("request")))

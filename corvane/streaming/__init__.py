@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources import files
 from corvane.sources.work import folder
 
 MAX_LINE = 1 << 20
@@ -55,6 +56,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, code string").parquet(f"{path}/out")
 
 
+def request_lines(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """(code, bytes) of the lines of the files below root, those that have come since the last run on this path too."""
+    lines = spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", "true").text(root)
+    to_end(lines.select(files.line_code(F.col("value")).alias("code"), F.octet_length("value").cast("long").alias("bytes")), path)
+    return spark.read.schema("code string, bytes long").parquet(f"{path}/out")
+
+
 def warn_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and type: state is the least id by key, updates replace what was written before."""
     path = folder(spark, "streams/warnings")

@@ -32,6 +32,38 @@ def test_request_lines(spark, tmp_path):
     assert [r["code"] for r in files.requests(spark, str(tmp_path)).collect()] == ["ok"]
 
 
+def test_one_file_in_several_tasks(spark, tmp_path):
+    """Lines keep their numbers when a file is split inside, lines lie across the cuts and one is longer than a split."""
+    lines = ['{"n":%d,"x":"%s"}' % (k, "y" * (k % 300)) for k in range(3000)] + ['{"z":"' + "w" * 200_000 + '"}', "7", "no"]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text('{"n":-1}\n{"n":-2}')
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        out = files.requests(spark, str(tmp_path)).orderBy("path", "line").collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    mine, other = [r for r in out if r["path"].endswith("a.jsonl")], [r for r in out if r["path"].endswith("b.jsonl")]
+    assert [r["line"] for r in mine] == list(range(3003)) and [json.loads(r["request"])["n"] for r in mine[:3000]] == list(range(3000))
+    assert [r["code"] for r in mine[3000:]] == ["ok", "invalid_request", "parse_error"] and [r["code"] for r in other] == ["ok", "parse_error"]
+
+
+def test_request_lines_as_a_stream(spark, tmp_path):
+    """Files that come between two runs are read by the second, none is read twice."""
+    from corvane import streaming
+
+    root, path = tmp_path / "in", str(tmp_path / "job")
+    root.mkdir()
+    (root / "1.jsonl").write_text('{"a":1}\nx\n')
+    count = lambda: {r["code"]: r["count"] for r in streaming.request_lines(spark, str(root), path).groupBy("code").count().collect()}
+    assert count() == {"ok": 1, "parse_error": 1}
+    (root / "2.jsonl").write_text('[2]\n{"a":2}\n')
+    assert count() == {"ok": 2, "parse_error": 1, "invalid_request": 1} == count()
+
+
 def test_reports_and_delivery(spark, tmp_path):
     for _ in range(2):
         sinks.write_report(spark, str(tmp_path / "r.json"), {"b": "ä", "a": [1]})
