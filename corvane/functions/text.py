@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,9 +53,21 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"(\.[^.]+)$", 1))
 
 
+@functools.cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Unicode's full case folding, by the rule of the standard library: letters that fold to one letter, and those that fold to several."""
+    changed = {chr(c): chr(c).casefold() for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)}
+    return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
+
+
 def casefold(c: Column) -> Column:
-    """Lower case, with the letter that folds to two and the final form that folds to the common one."""
-    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Full case folding; texts without one of the letters that fold to several are not looked at for them one by one."""
+    one, several = _folds()
+    more = c
+    for letter, folded in several.items():
+        more = F.replace(more, F.lit(letter), F.lit(folded))
+    some = F.when(c.rlike(f"[{''.join(several)}]"), more).otherwise(c)
+    return F.translate(some, "".join(one), "".join(one.values()))
 
 
 def glob_regex(glob: str) -> str:

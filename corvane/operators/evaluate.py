@@ -90,3 +90,26 @@ def merkle(rows: DataFrame, key: str, content: str, fan: int = 1000) -> DataFram
         top //= fan
         if top == 0:
             return level.select(F.col("h").alias("table_sha"))
+
+
+def list_distance(a: DataFrame, b: DataFrame, k: int, p: float = 0.9) -> DataFrame:
+    """How far two builds' result lists (query_id, rank, doc_id) of at most k rows are apart, per question of either: common, the number of documents in
+    both; rbo, the rank-biased overlap carried on beyond the longer list (1 for equal lists, 0 for lists without a common document); footrule,
+    the sum of distances of ranks over its largest value, an absent document standing one place behind the longer list.
+
+    A document that both lists have by depth m counts at every depth from m on, so its weight is a difference of two sums over depths, and lists are
+    joined once."""
+    sums = [0.0]
+    for d in range(1, k + 1):
+        sums.append(sums[-1] + p**d / d)
+    met = a.select("query_id", "doc_id", F.col("rank").alias("x")).join(b.select("query_id", "doc_id", F.col("rank").alias("y")), ["query_id", "doc_id"], "full")
+    depth = met.groupBy("query_id").agg(F.greatest(F.max("x"), F.max("y")).cast("int").alias("depth"))
+    upto = F.array(*[F.lit(x) for x in sums])
+    weight = (1 - p) / p * (F.get(upto, F.col("depth")) - F.get(upto, F.greatest("x", "y").cast("int") - 1)) + F.pow(F.lit(p), F.col("depth")) / F.col("depth")
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    behind = F.col("depth") + 1
+    rows = met.join(depth, "query_id").groupBy("query_id").agg(
+        F.count_if(both).alias("common"), F.round(F.coalesce(F.sum(F.when(both, weight)), F.lit(0.0)), 6).alias("rbo"),
+        F.round(F.sum(F.abs(F.coalesce("x", behind) - F.coalesce("y", behind))) / (F.max("depth") * (F.max("depth") + 1)), 6).alias("footrule"),
+    )
+    return rows.withColumn("equal", F.col("footrule") == 0)

@@ -67,18 +67,32 @@ def request_json(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", validate_json(line).alias("code"))
 
 
-ITEM = """'{"name":"' || source || '-rag","title":' || CASE n % 3 WHEN 0 THEN '"T"' WHEN 1 THEN '7' ELSE 'true' END || ',"query_hint":"H ' || n || '","content_summary":null,"secret":"x","source_count":' || CASE n % 4 WHEN 0 THEN 'true' WHEN 1 THEN '1000001' WHEN 2 THEN '-1' ELSE n::VARCHAR END || '}'"""
+ITEM = """'{"name":"' || source || '-rag","title":' || CASE n % 3 WHEN 0 THEN '"T"' WHEN 1 THEN '7' ELSE 'true' END || ',"query_hint":"H ' || n || '","content_summary":null,"secret":"x","source_count":' || CASE n % 4 WHEN 0 THEN 'true' WHEN 1 THEN '1000001' WHEN 2 THEN '-1' ELSE n::VARCHAR END || ',"source_types":[' || CASE WHEN n % 6 = 0 THEN '' ELSE '{"type":"n","count":' || n::VARCHAR || '},' END || '__TYPES__' || ']}'"""
+#: More than 20, some of them no objects, with members of other types or counts out of range, or with nothing to keep.
+_TYPES = ",".join("7" if k % 5 == 0 else '{"type":3,"label":null,"x":"y"}' if k % 7 == 0 else f'{{"type":"t{k}","label":"L {k}","count":{["true", "-1", "1000001", "1.5", str(k)][k % 5]}}}' if k % 2 else f'{{"label":"L {k}","count":{k}}}' for k in range(1, 27))
+ITEM = ITEM.replace("__TYPES__", _TYPES)
+TYPES = 20
 
 
 @query(f"""WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY source), i AS (SELECT source, {ITEM} AS item FROM g),
 k AS (SELECT *, CASE WHEN json_type(item, '$.source_count') IN ('UBIGINT', 'BIGINT') THEN (item ->> '$.source_count')::BIGINT END AS c FROM i)
 SELECT item ->> '$.name' AS name, CASE WHEN json_type(item, '$.title') = 'VARCHAR' THEN item ->> '$.title' END AS title, CASE WHEN json_type(item, '$.query_hint') = 'VARCHAR' THEN item ->> '$.query_hint' END AS query_hint,
-CASE WHEN json_type(item, '$.content_summary') = 'VARCHAR' THEN item ->> '$.content_summary' END AS content_summary, CASE WHEN c BETWEEN 0 AND 1000000 THEN c END AS source_count FROM k""")
+CASE WHEN json_type(item, '$.content_summary') = 'VARCHAR' THEN item ->> '$.content_summary' END AS content_summary, CASE WHEN c BETWEEN 0 AND 1000000 THEN c END AS source_count,
+array_to_string(list_transform(list_filter(list_transform((item::JSON -> '$.source_types[*]')[1:20], lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN [CASE WHEN json_type(x, '$.type') = 'VARCHAR' THEN x ->> '$.type' END, CASE WHEN json_type(x, '$.label') = 'VARCHAR' THEN x ->> '$.label' END, CASE WHEN json_type(x, '$.count') IN ('UBIGINT', 'BIGINT') AND (x ->> '$.count')::BIGINT BETWEEN 0 AND 1000000 THEN x ->> '$.count' END] END), lambda t: t[1] IS NOT NULL OR t[2] IS NOT NULL OR t[3] IS NOT NULL), lambda t: coalesce(t[1], '-') || '|' || coalesce(t[2], '-') || '|' || coalesce(t[3], '-')), ';') AS source_types FROM k""")
 def registry_projection(spark, sf_dir):
-    """Items of a registry as JSON: allow-listed strings stay, counts in range that are no booleans, nothing else."""
+    """Items of a registry as JSON: allow-listed strings stay, counts in range that are no booleans, of the first 20 source types those with
+    anything left, nothing else."""
     g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
     item = F.parse_json(F.expr(ITEM.replace("n::VARCHAR", "cast(n AS string)")))
-    return g.select(text_of(item, "name").alias("name"), *[text_of(item, k).alias(k) for k in TEXT_KEYS], count_of(item, "source_count").alias("source_count"))
+    return g.select(text_of(item, "name").alias("name"), *[text_of(item, k).alias(k) for k in TEXT_KEYS], count_of(item, "source_count").alias("source_count"), source_types(item).alias("source_types"))
+
+
+def source_types(item: Column) -> Column:
+    """The first TYPES of an item's source types, as type|label|count of what may be shown of each, in order; those of which nothing may are left out."""
+    each = F.slice(F.coalesce(F.try_variant_get(item, "$.source_types", "array<variant>"), F.array().cast("array<variant>")), 1, TYPES)
+    shown = lambda x: F.struct(text_of(x, "type").alias("type"), text_of(x, "label").alias("label"), count_of(x, "count").cast("string").alias("count"))
+    kept = F.filter(F.transform(each, shown), lambda t: t["type"].isNotNull() | t["label"].isNotNull() | t["count"].isNotNull())
+    return F.array_join(F.transform(kept, lambda t: F.concat_ws("|", *[F.coalesce(t[c], F.lit("-")) for c in ("type", "label", "count")])), ";")
 
 
 POINTER = """'{"status":"' || CASE WHEN doc_id % 11 = 0 THEN 'failed' ELSE 'written' END || '","result_set_id":"' || CASE WHEN doc_id % 7 = 0 THEN upper(id) ELSE id END || '","summary_file":"/spool/' || id || CASE WHEN doc_id % 13 = 0 THEN '/../summary.json' ELSE '/summary.json' END || '","bytes":' || (n + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) || '}'"""
@@ -88,7 +102,7 @@ _ID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '
 
 @query(f"""WITH i AS (SELECT doc_id, source, {_ID} AS id FROM (SELECT doc_id, source, md5(text) AS h FROM documents)), s AS (SELECT *, {SUMMARY} AS summary FROM i), b AS (SELECT *, strlen(summary) AS n FROM s), p AS (SELECT *, {POINTER} AS pointer FROM b)
 SELECT doc_id, CASE WHEN pointer ->> '$.status' <> 'written' OR NOT regexp_full_match(pointer ->> '$.result_set_id', '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') OR pointer ->> '$.summary_file' <> '/spool/' || (pointer ->> '$.result_set_id') || '/summary.json'
-OR (pointer ->> '$.bytes')::BIGINT <> n THEN 'invalid_search_pointer' WHEN n < 2 OR n > 2097152 OR summary ->> '$.schema_version' <> 'v1' OR summary ->> '$.result_set_id' <> pointer ->> '$.result_set_id' OR summary ->> '$.selected_db' <> source || '-rag' THEN 'invalid_search_summary' ELSE 'ok' END AS code FROM p""")
+THEN 'invalid_search_pointer' WHEN n < 2 OR n > 2097152 THEN 'invalid_search_summary' WHEN (pointer ->> '$.bytes')::BIGINT <> n THEN 'invalid_search_pointer' WHEN summary ->> '$.schema_version' <> 'v1' OR summary ->> '$.result_set_id' <> pointer ->> '$.result_set_id' OR summary ->> '$.selected_db' <> source || '-rag' THEN 'invalid_search_summary' ELSE 'ok' END AS code FROM p""")
 def pointer_check(spark, sf_dir):
     """A search's pointer against the summary that it names: status, canonical id, exact path, recorded size, then schema, id and database."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("h")).withColumn("id", F.expr(_ID))
@@ -99,24 +113,33 @@ def pointer_check(spark, sf_dir):
 def check_pointer(pointer: Column, summary: Column, size: Column, spool: Column, database: Column) -> Column:
     named = text_of(pointer, "result_set_id")
     recorded = F.when(json_type(member(pointer, "bytes")) == "BIGINT", F.try_variant_get(pointer, "$.bytes", "bigint"))
-    good = (text_of(pointer, "status") == "written") & named.rlike(T.UUID) & (text_of(pointer, "summary_file") == F.concat(spool, F.lit("/"), named, F.lit("/summary.json"))) & (recorded == size)
-    whole = size.between(*SUMMARY_BYTES) & (text_of(summary, "schema_version") == "v1") & (text_of(summary, "result_set_id") == named) & (text_of(summary, "selected_db") == database)
+    good = (text_of(pointer, "status") == "written") & named.rlike(T.UUID) & (text_of(pointer, "summary_file") == F.concat(spool, F.lit("/"), named, F.lit("/summary.json")))
+    whole = (text_of(summary, "schema_version") == "v1") & (text_of(summary, "result_set_id") == named) & (text_of(summary, "selected_db") == database)
     no = F.lit(False)
-    return F.when(~F.coalesce(good, no), "invalid_search_pointer").when(~F.coalesce(whole, no), "invalid_search_summary").otherwise("ok")
+    # The bounds of the size come before the size that the pointer has recorded.
+    short = F.when(~F.coalesce(good, no), "invalid_search_pointer").when(~F.coalesce(size.between(*SUMMARY_BYTES), no), "invalid_search_summary")
+    return short.when(~F.coalesce(recorded == size, no), "invalid_search_pointer").when(~F.coalesce(whole, no), "invalid_search_summary").otherwise("ok")
 
 
-#: What a result must not show, whatever its case; values that follow a key or a scheme up to white space or a quote go with it.
-LOCATORS = r"""(?i)file://[^\s"]*|\b(?:summary_file|detail_file|result_set_id|source_path)\b(?:\s*[=:]\s*[^\s"]*)?|\b[A-Z]:\\[^\s"]*|(?:^|[\s"=(])/(?:home|root|tmp|var|mnt|spool)/[^\s"]*"""
-FORBIDDEN = ("file://", "summary_file", "detail_file", "result_set_id", "source_path", ":\\", "/home/", "/spool/")
-_PLANT = [" see FILE:///C:/private/a.txt end", " summary_file=C:\\private\\s.json.", " at C:\\private\\routing.json now", " in /home/user/notes.md today", " Result_Set_Id: 12-34", " nothing here"]
-_PLANTED = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_PLANT)) + " END"
+#: What a result must not show, whatever its case; values that follow a key or a scheme up to white space or a quote go with it. A path in quotes goes up
+#: to the quote; one with backslashes goes on after a blank as long as a backslash follows within four words.
+_WORDS = r"""(?:(?:[ \t]+[^\s"\\:]+){0,3}[ \t]+[^\s"\\:]+\\[^\s"]*)*"""
+_ROOTS = r"(?:home|root|tmp|var|mnt|spool|users|opt|srv|etc|usr|data|private|volumes)"
+LOCATORS = rf"""(?i)file://[^\s"]*|"(?:[A-Z]:\\|\\\\|/{_ROOTS}/)[^"]*"|\b(?:summary_file|detail_file|result_set_id|source_path)\b(?:\s*[=:]\s*(?:"[^"]*"|[^\s"]*))?|\b[A-Z]:\\[^\s"]*{_WORDS}|\\\\[^\s"\\]+\\[^\s"]*{_WORDS}|(?:^|[\s"=(])/{_ROOTS}/[^\s"]*"""
+FORBIDDEN = ("file://", "summary_file", "detail_file", "result_set_id", "source_path", ":\\", "\\\\", "/home/", "/spool/", "/users/", "/opt/")
+_PLANT = [
+    " see FILE:///C:/private/a.txt end", " summary_file=C:\\private\\s.json.", " at C:\\private\\routing.json now", " in /home/user/notes.md today", " Result_Set_Id: 12-34", " nothing here",
+    " from \\\\server\\share\\secret.txt again", " in /Users/anna/notes.md", " path /opt/data/x too", " of C:\\Program Files\\My Big App\\y.txt all", ' of "/home/a user/b c.txt" all', ' source_path: "D:\\a b\\c d.txt", next',
+]
+_PLANTED = f"CASE doc_id % {len(_PLANT)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_PLANT)) + " END"
 
 
-@query(f"""WITH r AS (SELECT doc_id, substring(text, 1, 200) || {_PLANTED} AS text FROM documents), c AS (SELECT doc_id, text, regexp_replace(text, '{LOCATORS}', '[locator]', 'g') AS clean FROM r)
+@query(f"""WITH r AS (SELECT doc_id, text || {_PLANTED} AS text FROM documents), c AS (SELECT doc_id, text, regexp_replace(text, '{LOCATORS}', '[locator]', 'g') AS clean FROM r)
 SELECT doc_id, sha256(clean) AS sha, clean <> text AS changed, NOT ({' OR '.join(f"contains(lower(clean), '{x}')" for x in FORBIDDEN)}) AS passes FROM c""")
 def locator_redaction(spark, sf_dir):
-    planted = F.element_at(F.array(*[F.lit(x) for x in _PLANT]), (F.col("doc_id") % 6 + 1).cast("int"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), planted).alias("text"))
+    """Whole texts, with a locator of some kind at their end."""
+    planted = F.element_at(F.array(*[F.lit(x) for x in _PLANT]), (F.col("doc_id") % len(_PLANT) + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", planted).alias("text"))
     clean = redact_locators(F.col("text"))
     return d.select("doc_id", T.sha(clean).alias("sha"), (clean != F.col("text")).alias("changed"), (~shows_locators(clean)).alias("passes"))
 

@@ -39,7 +39,7 @@ def registry_sanitize(spark, sf_dir):
     raw = g.withColumn("items", F.transform(F.sequence(F.lit(0), F.lit(24)), item))
     kept = raw.withColumn("items", F.filter(F.slice("items", 1, MAX_TYPES), lambda x: x["type"] != ""))
     kept = kept.withColumn("counts", F.transform("items", lambda x: F.when(x["count"].between(0, MAX_COUNT), x["count"])))
-    names = F.transform("items", lambda x: F.lower(x["type"]))
+    names = F.transform("items", lambda x: T.casefold(x["type"]))
     return kept.select(
         F.concat("source", F.lit("-rag")).alias("name"), F.size("items").cast("long").alias("n_types"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0).cast("long"))).alias("total"),
         F.size(F.filter("counts", lambda x: x.isNull())).cast("long").alias("n_dropped"), F.array_min(F.transform("items", lambda x: x["type"])).alias("first_type"), (F.size(F.array_distinct(names)) == F.size("items")).alias("unique_names"),

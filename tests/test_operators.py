@@ -259,3 +259,53 @@ def test_dense_by_blocks_equals_one_pair_at_a_time(spark, monkeypatch, few):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     out = lanes.dense(v, v.filter("vec_id % 3 = 0 or vec_id > 30").withColumnRenamed("vec_id", "query_id"), 4)
     assert {tuple(r) for r in out.collect()} == expected
+
+
+def test_casefold_of_all_letters(spark):
+    """Every code point, alone, among others and in runs, folds as Python's casefold has it."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    data = [("".join(points[k : k + 64]),) for k in range(0, len(points), 64)] + [("Straße ΣΑΣ",), ("",), (None,), ("İıſK",)]
+    df = spark.createDataFrame(data, "t string").repartition(4)
+    assert all(r["f"] == (None if r["t"] is None else r["t"].casefold()) for r in df.select("t", T.casefold(F.col("t")).alias("f")).collect())
+
+
+def test_list_distance(spark):
+    """Equal lists, lists of no common document, one list missing, a swap at the top that weighs more than one at the end; against the sums by depth."""
+    frame = lambda lists: spark.createDataFrame([(q, r + 1, d) for q, ds in lists.items() for r, d in enumerate(ds)], "query_id long, rank long, doc_id long")
+    a = {1: [1, 2, 3, 4], 2: [1, 2, 3, 4], 3: [1, 2, 3, 4], 4: [1, 2, 3, 4], 5: [1, 2], 6: [1, 2, 3], 7: [9]}
+    b = {1: [1, 2, 3, 4], 2: [2, 1, 3, 4], 3: [1, 2, 4, 3], 4: [5, 6, 7, 8], 6: [3, 7, 1, 8, 9], 7: [9], 8: [1]}
+    got = {r["query_id"]: r for r in evaluate.list_distance(frame(a), frame(b), 8).collect()}
+
+    def rbo(x, y, p=0.9):
+        n = max(len(x), len(y))
+        share = [len(set(x[:d]) & set(y[:d])) / d for d in range(1, n + 1)]
+        return round((1 - p) / p * sum(s * p**d for d, s in enumerate(share, 1)) + share[-1] * p**n, 6)
+
+    assert set(got) == set(range(1, 9)) and all(abs(got[q]["rbo"] - rbo(a.get(q, []), b.get(q, []))) < 2e-6 for q in got)
+    assert (got[1]["rbo"], got[1]["footrule"], got[1]["equal"]) == (1.0, 0.0, True) and (got[4]["rbo"], got[4]["footrule"], got[4]["common"]) == (0.0, 1.0, 0)
+    assert got[2]["rbo"] < got[3]["rbo"] < 1 and got[2]["footrule"] == got[3]["footrule"] and not got[5]["equal"]
+
+
+def test_locators_leave_nothing(spark):
+    """Drive, network and home paths, with blanks too, in and out of quotes; what stands around them stays."""
+    from corvane.plans import protocol
+
+    cases = {
+        r"a \\server\share\secret.txt b": "a [locator] b", "x /Users/anna/notes.md y": "x[locator] y", "path /opt/data/x too": "path[locator] too", r"of C:\Program Files\x\y.txt all": "of [locator] all",
+        r'"C:\My Documents\a b.txt", next': "[locator], next", 'in "/home/a user/b c.txt" end': "in [locator] end", r"C:\a and then D:\b end": "[locator] and then [locator] end", "50/50 and/or 3:1 a\\b": "50/50 and/or 3:1 a\\b",
+        'summary_file: "D:\\a b\\c.txt", 7': "[locator], 7", "FILE:///x/y z": "[locator] z",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "text string, want string")
+    got = df.select("text", "want", protocol.redact_locators(F.col("text")).alias("got"), protocol.shows_locators(protocol.redact_locators(F.col("text"))).alias("shows")).collect()
+    assert [(r["text"], r["got"]) for r in got] == [(r["text"], r["want"]) for r in got] and not any(r["shows"] for r in got)
+
+
+def test_pointer_bounds_come_first(spark):
+    from corvane.plans import protocol
+
+    name = "01234567-89ab-cdef-0123-456789abcdef"
+    pointer = lambda n: f'{{"status":"written","result_set_id":"{name}","summary_file":"/spool/{name}/summary.json","bytes":{n}}}'
+    summary = f'{{"schema_version":"v1","result_set_id":"{name}","selected_db":"a-rag"}}'
+    rows = spark.createDataFrame([(pointer(2), summary, 1), (pointer(100), summary, 99), (pointer(99), summary, 99), (pointer(3 << 20), summary, 3 << 20)], "p string, s string, n long")
+    code = protocol.check_pointer(F.parse_json("p"), F.parse_json("s"), F.col("n"), F.lit("/spool"), F.lit("a-rag"))
+    assert [r[0] for r in rows.select(code).collect()] == ["invalid_search_summary", "invalid_search_pointer", "ok", "invalid_search_summary"]
