@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from corvane.operators import ann, evaluate, inverted, lanes
+from corvane.operators import ann, evaluate, inverted, lanes, lsa
 from corvane.plans.base import query
 from corvane.plans.features import BM25, questions
 from corvane.plans.lanes import DENSE
@@ -47,3 +47,14 @@ def retrieval_equality(spark, sf_dir):
     """The best eight of each question in two builds: all documents, and those of which every seventeenth is gone."""
     docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), questions(spark, sf_dir)
     return evaluate.list_distance(lanes.lexical(docs, asked), lanes.lexical(docs.filter("doc_id % 17 != 0"), asked), 8, P)
+
+
+@query()
+def semantic_topk(spark, sf_dir):
+    """The best eight documents of each question by vectors that come from the texts themselves; SQL has no such decomposition."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lsa.fit(docs)
+    found = lsa.vectors(docs, model).withColumnRenamed("doc_id", "vec_id")
+    # A row is no answer to the question of its own id: questions have ids of their own here.
+    asked = lsa.vectors(questions(spark, sf_dir).withColumn("query_id", -1 - F.col("query_id")), model, "query_id")
+    return lanes.dense(found, asked).withColumn("query_id", -1 - F.col("query_id"))
