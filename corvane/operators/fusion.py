@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.work import written
+
 RRF_K = 60
 WEIGHTS = {"exact": 3.0, "lexical": 1.0, "dense": 1.0, "metadata": 0.5}
 PER_DOCUMENT = 2
@@ -62,3 +64,27 @@ def pack(hits: DataFrame, budget: int, size: str = "chars") -> DataFrame:
 def label(hits: DataFrame, prefix: str = "E") -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("rank")
     return hits.withColumn("label", F.concat(F.lit(prefix), F.row_number().over(w).cast("string")))
+
+
+def views_until(views: DataFrame, search, cap: int) -> DataFrame:
+    """(chat, query_id, new_docs) of the views that were searched. views(chat, query_id, ...) of a chat take their turns by query_id; ``search`` answers a
+    turn's views of all chats at once as (query_id, doc_id), and a chat whose views have found ``cap`` documents has no further turn: its views
+    are not searched. Turns end with the last chat."""
+    turn = F.row_number().over(Window.partitionBy("chat").orderBy("query_id"))
+    views = written(views.withColumn("turn", turn), "views")
+    found = ran = None
+    for k in range(1, (views.agg(F.max("turn")).first()[0] or 0) + 1):
+        due = views.filter(F.col("turn") == k)
+        if found is not None:
+            full = found.groupBy("chat").agg(F.count("*").alias("n")).filter(F.col("n") >= cap)
+            due = written(due.join(full, "chat", "left_anti"), "views-due")
+            if due.isEmpty():
+                break
+        hits = search(due).select("query_id", "doc_id").join(due.select("query_id", "chat"), "query_id").select("chat", "query_id", "doc_id")
+        new = hits if found is None else hits.join(found, ["chat", "doc_id"], "left_anti")
+        new = written(new.select("chat", "query_id", "doc_id"), "views-new")
+        counted = due.select("chat", "query_id").join(new.groupBy("query_id").agg(F.count("*").alias("new_docs")), "query_id", "left")
+        counted = counted.select("chat", "query_id", F.coalesce("new_docs", F.lit(0)).alias("new_docs"))
+        ran = counted if ran is None else ran.unionByName(counted)
+        found = new.select("chat", "doc_id") if found is None else found.unionByName(new.select("chat", "doc_id"))
+    return views.select("chat", "query_id", F.lit(0).cast("long").alias("new_docs")).limit(0) if ran is None else ran

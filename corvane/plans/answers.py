@@ -81,6 +81,16 @@ def view_cap(spark, sf_dir):
     return views.withColumn("ran", before < 10)
 
 
+@query(f"""WITH {features.BM25}, h AS (SELECT query_id // 4 AS chat, query_id, doc_id FROM lexical), v AS (SELECT item_id // 4 AS chat, item_id AS query_id FROM benchmark), fresh AS (SELECT chat, doc_id, min(query_id) AS query_id FROM h GROUP BY chat, doc_id),
+n AS (SELECT v.chat, v.query_id, count(x.doc_id) AS new_docs FROM v LEFT JOIN fresh x USING (chat, query_id) GROUP BY v.chat, v.query_id),
+r AS (SELECT *, coalesce(sum(new_docs) OVER (PARTITION BY chat ORDER BY query_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 14 AS ran FROM n) SELECT chat::BIGINT AS chat, query_id, new_docs FROM r WHERE ran""")
+def view_rounds(spark, sf_dir):
+    """Four questions are views of one need; those after the fourteenth document are not searched."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    views = features.questions(spark, sf_dir).select(F.expr("query_id div 4").alias("chat"), "query_id", "text")
+    return fusion.views_until(views, lambda due: retrieval.lexical(docs, due.select("query_id", "text")), 14)
+
+
 @query(f"""WITH {plan.LANES} SELECT query_id, rank, source || '/' || doc_id || '.txt' AS file, sha256(split_part(text, chr(10), 1)) AS section_sha, signals, doc_id || '|' || lang AS shown FROM ranked JOIN documents USING (doc_id) WHERE rank <= 8""")
 def row_summary(spark, sf_dir):
     """What a report shows of each of the best eight hits."""

@@ -309,3 +309,19 @@ def test_pointer_bounds_come_first(spark):
     rows = spark.createDataFrame([(pointer(2), summary, 1), (pointer(100), summary, 99), (pointer(99), summary, 99), (pointer(3 << 20), summary, 3 << 20)], "p string, s string, n long")
     code = protocol.check_pointer(F.parse_json("p"), F.parse_json("s"), F.col("n"), F.lit("/spool"), F.lit("a-rag"))
     assert [r[0] for r in rows.select(code).collect()] == ["invalid_search_summary", "invalid_search_pointer", "ok", "invalid_search_summary"]
+
+
+def test_views_stop_at_the_cap(spark):
+    """What a search is asked for: no view of a chat that has enough, and no turn once all chats have."""
+    views = spark.createDataFrame([(c, 10 * c + k) for c in (1, 2, 3) for k in range(4)], "chat long, query_id long")
+    answers = {10: [1, 2, 3], 11: [3, 4], 12: [9], 20: [1], 21: [1], 22: [1], 23: [5], 30: [7, 8, 9, 10]}
+    table = spark.createDataFrame([(q, d) for q, ds in answers.items() for d in ds], "query_id long, doc_id long")
+    asked = []
+
+    def search(due):
+        asked.append(sorted(r["query_id"] for r in due.collect()))
+        return table.join(due.select("query_id"), "query_id", "left_semi")
+
+    got = {(r["query_id"], r["new_docs"]) for r in fusion.views_until(views, search, 4).collect()}
+    assert asked == [[10, 20, 30], [11, 21], [22], [23]] and got == {(10, 3), (20, 1), (30, 4), (11, 1), (21, 0), (22, 0), (23, 1)}
+    assert fusion.views_until(views.limit(0), search, 4).count() == 0 and len(asked) == 4
