@@ -69,12 +69,12 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return near, np.maximum(far, 0)
 
 
-def fit(x: np.ndarray, rows: int) -> dict:
+def fit(x: np.ndarray, rows: int, parts: int = PARTS) -> dict:
     """Centroids and codebooks from a sample of unit vectors; the number of cells follows from that of all rows."""
     dim = x.shape[1]
     centres = clusters(x, int(min(MOST_CELLS, max(LEAST_CELLS, math.sqrt(rows)), max(1, len(x)))))
     near, _ = nearest(x, centres)
-    rest, cuts = x - centres[near], np.linspace(0, dim, min(PARTS, dim) + 1).astype(int)
+    rest, cuts = x - centres[near], np.linspace(0, dim, min(parts, dim) + 1).astype(int)
     books = [clusters(rest[:, a:b], CODES, seed=2 + a) for a, b in zip(cuts, cuts[1:], strict=False)]
     return {"dim": dim, "centres": centres, "cuts": cuts, "books": books}
 
@@ -97,8 +97,8 @@ def _usable(vectors: DataFrame, *keep: str) -> DataFrame:
     return good.filter((F.size("embedding") > 0) & V.finite(F.col("embedding")) & (V.norm(F.col("embedding")) > 0) & (V.norm(F.col("embedding")) < float("inf")))
 
 
-def build(vectors: DataFrame, path: str) -> None:
-    """Of vectors(vec_id, embedding), below path: the model, code blocks by cell, vectors by cell, and the radius of each cell."""
+def build(vectors: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Of vectors(vec_id, embedding), below path, with a byte for each of ``parts`` pieces: the model, code blocks by cell, vectors by cell, and the radius of each cell."""
     spark = vectors.sparkSession
     rows = _usable(vectors, "vec_id")
     sizes = rows.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("a"), F.max(F.size("embedding")).alias("b")).first()
@@ -107,7 +107,7 @@ def build(vectors: DataFrame, path: str) -> None:
     kind = vectors.schema["vec_id"].dataType.simpleString()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
     dim = sizes["a"] or 1
-    model = fit(_unit(sample, dim), sizes["n"]) if len(sample) else {"dim": 1, "centres": np.zeros((0, 1)), "cuts": np.array([0, 1]), "books": [np.zeros((0, 1))]}
+    model = fit(_unit(sample, dim), sizes["n"], parts) if len(sample) else {"dim": 1, "centres": np.zeros((0, 1)), "cuts": np.array([0, 1]), "books": [np.zeros((0, 1))]}
     held = spark.sparkContext.broadcast(model)  # MOST_CELLS centroids and PARTS books of CODES entries
 
     def coded(batches):
@@ -128,8 +128,8 @@ def build(vectors: DataFrame, path: str) -> None:
     blocks = blocks.select("cell", F.col("rows.vec_id").alias("ids"), F.col("rows.code").alias("codes"), F.col("rows.rest").alias("rests"))
     blocks.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/codes")
     radius = dict.fromkeys(range(len(model["centres"])), -1.0) | {r["cell"]: r["radius"] for r in cells.collect()}
-    parts = {"centres": model["centres"].tobytes(), "cuts": model["cuts"].astype(np.int64).tobytes(), "radius": np.array([radius[c] for c in range(len(radius))]).tobytes()}
-    row = (dim, kind, *[bytearray(x) for x in parts.values()], [bytearray(b.tobytes()) for b in model["books"]])
+    stored = {"centres": model["centres"].tobytes(), "cuts": model["cuts"].astype(np.int64).tobytes(), "radius": np.array([radius[c] for c in range(len(radius))]).tobytes()}
+    row = (dim, kind, *[bytearray(x) for x in stored.values()], [bytearray(b.tobytes()) for b in model["books"]])
     spark.createDataFrame([row], "dim int, kind string, centres binary, cuts binary, radius binary, books array<binary>").write.parquet(f"{path}/model")
 
 
@@ -156,7 +156,7 @@ def _cells(held, probes: int, exact: bool):
             # A row of a cell is its centroid and a rest no longer than the radius.
             some = first if not exact else ~first & (near + m["radius"] >= np.where(np.isnan(least), -np.inf, least)[:, None])
             i, cell = np.nonzero(some & (m["radius"] >= 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(cell.astype(np.int32)), pa.array((i % 64).astype(np.int32))], names=["query_id", "embedding", "cell", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(cell.astype(np.int32)), pa.array((i % 64).astype(np.int32)), batch.column(2).take(pa.array(i))], names=["query_id", "embedding", "cell", "part", "least"])
 
     return run
 
@@ -183,6 +183,8 @@ def _scores(held, k: int, rerank: int, exact: bool):
                 n = min(k if exact else rerank, len(ids))
                 ends = np.where(own, -np.inf, low if exact else score)
                 least = np.partition(ends, len(ids) - n, axis=1)[:, len(ids) - n]
+                if exact:  # what the question has already
+                    least = np.fmax(least, asked.field("least").to_numpy(zero_copy_only=False).astype(float))
                 i, j = np.nonzero(~own & ((high if exact else score) >= least[:, None]))
                 yield pa.RecordBatch.from_arrays([queries.take(pa.array(i)), pa.array(np.full(len(i), cell), pa.int32()), ids.take(pa.array(j)), pa.array(score[i, j]), pa.array(low[i, j]), pa.array(high[i, j])], names=["query_id", "cell", "doc_id", "near", "low", "high"])
 
@@ -200,9 +202,9 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, pr
     codes = spark.read.schema(f"ids array<{id_type}>, codes array<binary>, rests array<double>, cell int").parquet(f"{path}/codes")
 
     def probe(asked: DataFrame, rest: bool) -> DataFrame:
-        to = asked.mapInArrow(_cells(held, probes, rest), f"query_id {kind}, embedding array<double>, cell int, part int")
+        to = asked.mapInArrow(_cells(held, probes, rest), f"query_id {kind}, embedding array<double>, cell int, part int, least double")
         # Questions of a cell in blocks: part deals them out, so a cell that all of them ask for is many blocks.
-        to = to.groupBy("cell", "part", F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("more")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
+        to = to.groupBy("cell", "part", F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("more")).agg(F.collect_list(F.struct("query_id", "embedding", "least")).alias("asked"))
         pairs = to.select("cell", "asked").join(codes, "cell").select("cell", "asked", "ids", "codes", "rests")
         got = pairs.mapInArrow(_scores(held, k, rerank, exact), f"query_id {kind}, cell int, doc_id {id_type}, near double, low double, high double")
         return written(got, "ann-near")

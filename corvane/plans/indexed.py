@@ -27,7 +27,7 @@ def dense_index_topk(spark, sf_dir):
     """The exact answers of a quantised index: cells and codes rule out what cannot be among the best, cosines decide the rest."""
     path = folder(spark, "vectors")
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    ann.build(v, path)
+    ann.build(v, path, parts=32)  # codes that are near enough to rule out most rows
     return ann.search(spark, path, v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding"), 8, exact=True)
 
 
