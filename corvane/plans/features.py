@@ -8,6 +8,7 @@ from pyspark.sql import types as ST
 from corvane.functions import text as T
 from corvane.operators import features, lanes
 from corvane.plans.base import query
+from corvane.sources import files
 from corvane.sources.tables import table
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -179,5 +180,5 @@ def eol_hash(spark, sf_dir):
 def utf8_json_check(spark, sf_dir):
     """Strict: text that isn't a JSON object is no object, whatever else it is."""
     parsed = F.from_json("props", ST.StructType([ST.StructField("k", ST.LongType())]), {"mode": "PERMISSIVE"})
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("props")), F.lit("OBJECT")), F.lit(False))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(files.parsed(F.col("props"))), F.lit("OBJECT")), F.lit(False))
     return table(spark, sf_dir, "events").select("event_id", F.is_valid_utf8("props").alias("is_utf8"), is_object.alias("is_object"), parsed["k"].alias("k"), (F.octet_length("props") <= 1 << 20).alias("within_limit"))

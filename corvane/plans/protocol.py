@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.plans.base import query
 from corvane.plans.surface import MAX_COUNT, MAX_QUESTION
+from corvane.sources import files
 from corvane.sources.tables import table
 
 #: Fixed values of the contract.
@@ -40,7 +41,7 @@ def count_of(value: Column, key: str) -> Column:
 
 def validate_json(line: Column) -> Column:
     """The first rule that a request's JSON arguments break."""
-    value = F.try_parse_json(line)
+    value = files.parsed(line)
     unknown = F.size(F.array_except(F.json_object_keys(line), F.array(*[F.lit(k) for k in ARGUMENTS]))) > 0
     question, database = text_of(value, "question"), text_of(value, "database")
     given = F.coalesce(~json_type(member(value, "database")).isin("VOID"), F.lit(False))

@@ -42,10 +42,18 @@ def markdown_sections(files: DataFrame) -> DataFrame:
 def line_code(line: Column) -> Column:
     """What a request line is: ok for a JSON object, invalid_request for other JSON; a parse_error is no JSON, no strict UTF-8 or, with its line feed, longer
     than MAX_LINE. A key that stands twice in an object is no JSON here."""
-    kind = F.schema_of_variant(F.try_parse_json(F.when(F.is_valid_utf8(line) & (F.octet_length(line) < MAX_LINE), line)))
+    kind = F.schema_of_variant(parsed(F.when(F.is_valid_utf8(line) & (F.octet_length(line) < MAX_LINE), line)))
     return F.when(kind.isNull(), "parse_error").when(F.startswith(kind, F.lit("OBJECT")), "ok").otherwise("invalid_request")
 
 
+def parsed(line: Column) -> Column:
+    """The whole line as a variant, null if it is no JSON. Spark's parser stops after the first value and ignores what follows, so the line is parsed as
+    the first of two array elements, whose second is a hash of the line, which the line itself can't bring."""
+    end = F.md5(line.cast("binary"))
+    pair = F.try_parse_json(F.concat(F.lit("["), line, F.lit(',"'), end, F.lit('"]')))
+    return F.when(F.try_variant_get(pair, "$[1]", "string") == end, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def requests(spark: SparkSession, root: str) -> DataFrame:
     """(path, line, bytes, code, request) of the files below root: one JSON object on each line, which a line feed ends; request is the object in compact form,
     keys in order. Whatever breaks a rule is an error of its own, and the next line is read as if nothing had happened; a last line without a line
@@ -54,7 +62,7 @@ def requests(spark: SparkSession, root: str) -> DataFrame:
     Files are split like other texts: a large one is many tasks, and only counts of their splits meet, to number the lines."""
     raw = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
     at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    rows = raw.select(at.alias("at"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("id"), F.octet_length("value").cast("long").alias("bytes"), line_code(F.col("value")).alias("code"), F.to_json(F.try_parse_json(F.when(F.is_valid_utf8("value"), F.col("value")))).alias("request"))
+    rows = raw.select(at.alias("at"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("id"), F.octet_length("value").cast("long").alias("bytes"), line_code(F.col("value")).alias("code"), F.to_json(parsed(F.when(F.is_valid_utf8("value"), F.col("value")))).alias("request"))
     rows = written(rows, "request-lines")
     # Lines of a split have numbers in a row, in the order of the file; a file that ends with a line feed has as many bytes as its lines and their ends.
     splits = rows.groupBy("at").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum(F.col("bytes") + 1).alias("bytes"), F.max("size").alias("size"))

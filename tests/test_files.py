@@ -98,3 +98,12 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     streaming.to_end(read(), path)
     streaming.to_end(read(), path)
     assert sorted(r["id"] for r in spark.read.parquet(f"{path}/out").collect()) == list(range(15))
+
+
+def test_a_line_with_more_than_one_value_is_no_request(spark, tmp_path):
+    """What follows a JSON value on its line makes the line a parse error, however it is quoted or bracketed."""
+    lines = ["4763047826333361 Of thnd", '{"a":1} x', '{"a":1} {"b":2}', "1,2", "1],[2", '1,"x"]', '"a" "b"', "null x", ' {"a":[1,"]"]} ', "[1, 2]", '"a,b"', "null"]
+    (tmp_path / "r.jsonl").write_text("\n".join(lines) + "\n")
+    out = files.requests(spark, str(tmp_path)).orderBy("line").collect()
+    assert [r["code"] for r in out] == ["parse_error"] * 8 + ["ok"] + ["invalid_request"] * 3
+    assert [r["request"] for r in out[8:]] == ['{"a":[1,"]"]}', "[1,2]", '"a,b"', "null"] and not any(r["request"] for r in out[:8])
