@@ -47,11 +47,16 @@ def phase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request a line: what is no object or too large gets its code, and the loop goes on."""
     path = folder(spark, "streams/requests")
-    e = events(spark, sf_dir)
-    line = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("["), "props")).when(F.col("event_id") % 11 == 0, F.rpad("props", MAX_LINE + 1, " ")).otherwise(F.col("props"))
+    # Lines are built from rows many times smaller, in all tasks there may be: a file of one row group would be one task's work.
+    e = events(spark, sf_dir).select("event_id", "props").repartition(spark.sparkContext.defaultParallelism)
+    # Blanks up to one more than the limit: repeat doubles what it has, rpad would add them one by one.
+    blanks = F.repeat(F.lit(" "), MAX_LINE + 1 - F.octet_length("props"))
+    line = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("["), "props")).when(F.col("event_id") % 11 == 0, F.concat("props", blanks)).otherwise(F.col("props"))
     e = e.select("event_id", line.alias("line"))
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("line")), F.lit("OBJECT")), F.lit(False))
-    code = F.when(F.octet_length("line") > MAX_LINE, "too_large").when(~F.is_valid_utf8("line") | ~is_object, "invalid_json").otherwise("ok")
+    # What is too large is not parsed.
+    short = F.when(F.octet_length("line") <= MAX_LINE, F.col("line"))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(files.parsed(F.when(F.is_valid_utf8(short), short))), F.lit("OBJECT")), F.lit(False))
+    code = F.when(F.octet_length("line") > MAX_LINE, "too_large").when(~is_object, "invalid_json").otherwise("ok")
     to_end(e.select("event_id", code.alias("code")), path)
     return spark.read.schema("event_id long, code string").parquet(f"{path}/out")
 
