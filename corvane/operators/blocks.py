@@ -10,40 +10,50 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows and items of a block of rows; a block ends with the row that fills it.
 ROWS, ITEMS = 4096, 1 << 20
+PIECE = 256
 #: Questions and items of a block of questions, about.
 QUESTIONS, ASKED = 512, 1 << 17
 #: Pairs of row and question that are added up at once.
-PAIRS = 1 << 21
-#: So many items of questions at most are broadcast, of less than 64 bytes each.
+PAIRS = 1 << 19
+#: So many items of questions at most are broadcast, of less than 64 bytes each, by way of the driver.
 FEW = 1 << 20
 
 
 def pack_rows(rows: DataFrame) -> DataFrame:
     """(id, list) -> (ids, sizes, items), a row for each block. Null and empty lists have no place in it."""
     id_type, item_type = rows.schema[0].dataType.simpleString(), rows.schema[1].dataType.elementType.simpleString()
-
-    def run(batches):
-        held, count, size = [], 0, 0
-        for batch in batches:
-            batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column(1)), 0), False))
-            lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = 0
-            while at < batch.num_rows:
-                room = min(int(np.searchsorted(np.cumsum(lengths[at:]), ITEMS - size)) + 1, ROWS - count, batch.num_rows - at)
-                held.append(batch.slice(at, room))
-                count, size, at = count + room, size + int(lengths[at : at + room].sum()), at + room
-                if count >= ROWS or size >= ITEMS:
-                    yield _block(held)
-                    held, count, size = [], 0, 0
-        if held:
-            yield _block(held)
-
-    return rows.mapInArrow(run, f"ids array<{id_type}>, sizes array<int>, items array<{item_type}>")
+    return rows.mapInArrow(_packed, f"ids array<{id_type}>, sizes array<int>, items array<{item_type}>")
+
+
+def _pieces(batches):
+    """Rows that have items, in copies of a few rows at a time: a block that is not full keeps them alone in memory, not the batch they came in."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            piece = batch.slice(at, PIECE)
+            yield piece.filter(pc.fill_null(pc.greater(pc.list_value_length(piece.column(1)), 0), False))
+        batch = piece = None
+
+
+def _packed(batches):
+    held, count, size = [], 0, 0
+    for batch in _pieces(batches):
+        lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < batch.num_rows:
+            room = min(int(np.searchsorted(np.cumsum(lengths[at:]), ITEMS - size)) + 1, ROWS - count, batch.num_rows - at)
+            held.append(batch.slice(at, room))
+            count, size, at = count + room, size + int(lengths[at : at + room].sum()), at + room
+            if count >= ROWS or size >= ITEMS:
+                yield _block(held)
+                held, count, size = [], 0, 0
+    if held:
+        yield _block(held)
 
 
 def _block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -63,21 +73,50 @@ def block_of(n_blocks: int):
     return F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")
 
 
+def carried(asked: DataFrame) -> Broadcast:
+    """A few rows of questions, for tasks to read with ``unpacked``: each worker has them once, where a broadcast join would copy them beside every row
+    and hand a partition's copies to Python in one batch."""
+    sink = pa.BufferOutputStream()
+    table = asked.toArrow()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return asked.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def unpacked(carrier: Broadcast) -> list[dict]:
+    """The rows of ``carried``, values as Arrow scalars."""
+    table = pa.ipc.open_stream(carrier.value).read_all()
+    return [{name: table.column(name)[i] for name in table.column_names} for i in range(table.num_rows)]
+
+
 def meet(rows: DataFrame, asked: DataFrame, few: bool, kernel, k: int, id_type: str, query_type: str) -> DataFrame:
-    """kernel(ids, sizes, items, row) -> query ids, scores (a line for each question, a column for each id), which of them count.
+    """Of rows(id, list): kernel(ids, sizes, items, row) -> query ids, scores (a line for each question, a column for each id), which of them count.
     Gives (query_id, doc_id, score): of each block the best k of each question after rounding, ties to the smaller id."""
+    schema = f"query_id {query_type}, doc_id {id_type}, score double"
+
+    def scored(block, i, row):
+        ids = block.column(0)[i].values
+        queries, scores, valid = kernel(ids, block.column(1)[i].values.to_numpy(), block.column(2)[i].values, row)
+        line, column = best(scores, valid, ids, k)
+        return pa.RecordBatch.from_arrays([queries.take(pa.array(line)), ids.take(pa.array(column)), pa.array(scores[line, column])], names=["query_id", "doc_id", "score"])
+
+    if few:
+        carrier = carried(asked)
+
+        def run(batches):
+            sides = unpacked(carrier)
+            for block in _packed(batches):
+                for row in sides:
+                    yield scored(block, 0, row)
+
+        return rows.mapInArrow(run, schema)
 
-    def run(batches):
+    def pairs(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(j)[i] for j, name in enumerate(batch.schema.names)}
-                ids = row["ids"].values
-                queries, scores, valid = kernel(ids, row["sizes"].values.to_numpy(), row["items"].values, row)
-                line, column = best(scores, valid, ids, k)
-                yield pa.RecordBatch.from_arrays([queries.take(pa.array(line)), ids.take(pa.array(column)), pa.array(scores[line, column])], names=["query_id", "doc_id", "score"])
+                yield scored(batch, i, {name: batch.column(j)[i] for j, name in enumerate(batch.schema.names)})
 
-    pairs = rows.crossJoin(F.broadcast(asked) if few else asked)
-    return pairs.mapInArrow(run, f"query_id {query_type}, doc_id {id_type}, score double")
+    return pack_rows(rows).crossJoin(asked).mapInArrow(pairs, schema)
 
 
 def best(scores: np.ndarray, valid: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,17 +152,19 @@ def bm25_kernel(k1: float, b: float):
         doc, at = np.divmod(posting, len(words))
         part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / average))
         n = asking[at]
-        total = np.zeros(len(queries.dictionary) * len(ids))
+        asked_by = len(queries.dictionary)
+        total = np.zeros(len(ids) * asked_by)
         ends = np.cumsum(n)
         start = 0
         while start < len(n):
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
             m = n[start:stop]
-            # The m[j] questions of posting j are the entries from first[at[j]] on.
+            # The m[j] questions of posting j are the entries from first[at[j]] on; postings are in the order of their rows.
             entry = np.repeat(first[at[start:stop]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-            total += np.bincount(line[entry] * len(ids) + np.repeat(doc[start:stop], m), np.repeat(part[start:stop], m) * idf[entry], len(total))
+            low, high = int(doc[start]) * asked_by, (int(doc[stop - 1]) + 1) * asked_by
+            total[low:high] += np.bincount(line[entry] + np.repeat(doc[start:stop] * asked_by - low, m), np.repeat(part[start:stop], m) * idf[entry], high - low)
             start = stop
-        scores = total.reshape(len(queries.dictionary), len(ids))
+        scores = total.reshape(len(ids), asked_by).T
         return queries.dictionary, scores, scores > 0
 
     return run

@@ -30,7 +30,7 @@ def lexical(docs: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
     weighted = terms.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     entry = F.struct("query_id", F.xxhash64("term").alias("term"), idf.alias("idf"))
     sides = weighted.groupBy(blocks.block_of(n_blocks)).agg(F.collect_list(entry).alias("asked"), F.first("avg_dl").alias("avg_dl"))
-    rows = blocks.pack_rows(docs.select("doc_id", F.transform(tokens, lambda t: F.xxhash64(t)).alias("terms")))
+    rows = docs.select("doc_id", F.transform(tokens, lambda t: F.xxhash64(t)).alias("terms"))
     scored = blocks.meet(rows, sides.drop("block"), few, blocks.bm25_kernel(K1, B), k, _type(docs, "doc_id"), _type(questions, "query_id"))
     return ranked(scored.withColumn("score", F.round("score", 6)), k).select("query_id", "rank", "doc_id", "score")
 
@@ -44,7 +44,7 @@ def dense(vectors: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
     Vectors that are null or zero, or have null or non-finite components, or are of another length than the question's, answer nothing."""
     n_blocks, few = blocks.question_blocks(questions.select("query_id", F.coalesce(F.size("embedding"), F.lit(0)).alias("n")))
     sides = questions.filter(F.size("embedding") > 0).groupBy(blocks.block_of(n_blocks)).agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
-    rows = blocks.pack_rows(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"))
+    rows = vectors.select(F.col("vec_id").alias("doc_id"), "embedding")
     scored = blocks.meet(rows, sides.drop("block"), few, blocks.cosine_kernel, k, _type(vectors, "vec_id"), _type(questions, "query_id"))
     return ranked(scored.withColumn("score", F.round("score", 6)), k).select("query_id", "rank", "doc_id", "score")
 

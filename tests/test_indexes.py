@@ -105,3 +105,13 @@ def test_many_strings(spark):
     plan = strings.holders(docs, questions, 1 << 18, 0)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "CartesianProduct" in plan
     assert strings.holders(docs, questions.limit(0)).count() == 0 == strings.holders(docs.limit(0), questions).count()
+
+
+def test_questions_are_not_copied_beside_rows(spark):
+    """A few questions reach a worker once: no join repeats all of them on each document, or on each block of a partition, in what Python is handed."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} and word{i % 5}") for i in range(40)], "doc_id long, text string")
+    questions = spark.createDataFrame([(q, f"word{q} and") for q in range(9)], "query_id long, text string")
+    v = vectors(spark, np.random.default_rng(3).normal(size=(30, 4)))
+    asked = v.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id")
+    for found in (strings.holders(docs, questions), lanes.lexical(docs, questions), lanes.dense(v, asked)):
+        assert found.count() > 0 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
