@@ -60,14 +60,27 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
     return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
 
 
+#: Alphabets of which nearly all letters fold to their small letters, and scripts and signs that have no case.
+_PLAIN = ((0x0, 0x24F), (0x370, 0x52F), (0x2000, 0x206F), (0x3000, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+@functools.cache
+def _not_plain() -> str:
+    """What folding and small letters differ on: letters outside of _PLAIN, some inside it, and the letter whose small form depends on its place."""
+    other = [c for low, high in _PLAIN for c in range(low, high + 1) if chr(c).casefold() != chr(c).lower() and chr(c) != "ß"]
+    span = lambda low, high: rf"\x{{{low:X}}}-\x{{{high:X}}}"
+    return "[^" + "".join(span(*r) for r in _PLAIN) + "]|[\u03a3\u0130" + "".join(span(c, c) for c in other) + "]"
+
+
 def casefold(c: Column) -> Column:
-    """Full case folding; texts without one of the letters that fold to several are not looked at for them one by one."""
+    """Full case folding. Most texts fold to their small letters, with two for the sharp s; letter by letter go the others, and those without one of the
+    letters that fold to several are not looked at for them one by one."""
     one, several = _folds()
     more = c
     for letter, folded in several.items():
         more = F.replace(more, F.lit(letter), F.lit(folded))
     some = F.when(c.rlike(f"[{''.join(several)}]"), more).otherwise(c)
-    return F.translate(some, "".join(one), "".join(one.values()))
+    return F.when(~c.rlike(_not_plain()), F.lower(F.replace(c, F.lit("ß"), F.lit("ss")))).otherwise(F.translate(some, "".join(one), "".join(one.values())))
 
 
 def glob_regex(glob: str) -> str:

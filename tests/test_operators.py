@@ -325,3 +325,12 @@ def test_views_stop_at_the_cap(spark):
     got = {(r["query_id"], r["new_docs"]) for r in fusion.views_until(views, search, 4).collect()}
     assert asked == [[10, 20, 30], [11, 21], [22], [23]] and got == {(10, 3), (20, 1), (30, 4), (11, 1), (21, 0), (22, 0), (23, 1)}
     assert fusion.views_until(views.limit(0), search, 4).count() == 0 and len(asked) == 4
+
+
+def test_casefold_of_plain_texts_is_lower(spark):
+    """Texts of common alphabets have a way of their own, and it is the same folding."""
+    texts = ["Größe ÀÉ 你好 ДА ΑΒ", "ΣΑΣ", "İ", "straſse", "ŉ", "plain", "ẞ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.casefold(F.col("t")).alias("f"), (~F.col("t").rlike(T._not_plain())).alias("plain"))
+    out = df.collect()
+    assert all(r["f"] == (None if r["t"] is None else r["t"].casefold()) for r in out)
+    assert [r["plain"] for r in out] == [True, False, False, False, False, True, False, None]
