@@ -9,7 +9,7 @@ column on, or parity bitmaps bound the overlap below what is needed. Columns wit
 A column that is
 fuller within a task already sends one class for all of them, so no task meets a group of documents. The classes of fuller columns are gathered in clusters, a cluster is cut into blocks of BLOCK classes, and a task multiplies
 one pair of blocks: overlap counts add up over column slices, pairs are never written out, only a spanning forest of
-the links is. Components come from all links.
+the links is. Clusters of over a block meet through what differs from one of them first (``families.py``), as products grow with the square of a cluster. Components come from all links.
 
 Null or empty texts have no n-grams, size 0, and link with nothing, each its own component; texts shorter than n words
 are one n-gram. Rows with one doc_id and text are one document; a null doc_id never is the smallest, and has a null
@@ -22,12 +22,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import as_bytes
 from corvane.llm.common import documents, lean, materialize, partitions
 from corvane.llm.components import components
+from corvane.llm.families import family_links
 from corvane.llm.wordhash import Chunk, chunks, mix, planes, unplanes
 
 WIDTH, PERCENT = 5, 80
@@ -115,14 +117,13 @@ def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
 _LISTED = "doc_id long, text_key binary, n long, sig long, parity array<long>, bucket int, grams binary, sigs binary, sizes binary, places binary"
 
 
-def _list_columns(docs: DataFrame, width: int, percent: int, counts: np.ndarray, buckets: int) -> DataFrame:
+def _list_columns(docs: DataFrame, width: int, percent: int, counts: Broadcast, buckets: int) -> DataFrame:
     """A row for each document (n and sig), and packed rows for each bucket of leading columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
     shift = _U(64 - (buckets - 1).bit_length())
 
     @lean
     def run(batches):
-        table = shared.value
+        table = counts.value
         held, size, seen = [], 0, set()
 
         def rows(bucket, packed):
@@ -325,8 +326,9 @@ def near_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     buckets = 1 << (2 * partitions(spark) - 1).bit_length()
-    listed = materialize(_list_columns(docs, width, percent, count_sketch(docs, width), buckets), "ngram-columns")
-    members = listed.filter("bucket is null").select("doc_id", "text_key", "n", "sig")
+    counts = spark.sparkContext.broadcast(count_sketch(docs, width))
+    listed = materialize(_list_columns(docs, width, percent, counts, buckets), "ngram-columns")
+    rows = listed.filter("bucket is null").select("doc_id", "text_key", "n", "sig")
     tied = listed.filter("bucket < 0").select("grams", "sigs").mapInArrow(_tied, "a long, b long").filter("a != b").distinct()
     columns = listed.filter("bucket >= 0").select("bucket", "grams", "sigs", "sizes", "places")
     met = materialize(columns.groupBy("bucket").applyInArrow(_meet(percent), "a long, b long, kind int").distinct(), "ngram-met")
@@ -349,20 +351,33 @@ def near_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     left, right = sets.select(F.col("sig").alias("a"), F.col("grams").alias("x")), sets.select(F.col("sig").alias("b"), F.col("grams").alias("y"))
     near = outside.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
-    counted = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = cluster.join(counted, "root").select("root", "blocks", F.col("node").alias("sig"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int").alias("block"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    tasks = spread.join(sets, "sig").groupBy("root", "i", "j")
-    linked = tasks.applyInArrow(_multiply(percent), "a long, b long")
-
-    roots = components(near.union(linked))
+    # Clusters of over a block are recentred on one of their classes; what that leaves, and the others, are multiplied.
+    work, links = [], near
+    while True:
+        sized = cluster.groupBy("root").agg(F.count("*").alias("members"))
+        large = materialize(cluster.join(sized.filter(F.col("members") > BLOCK), "root", "left_semi").select("root", "node"), "ngram-large")
+        members = large.count()
+        if not members or (work and 10 * members > 9 * before):
+            work.append(cluster)
+            break
+        work.append(cluster.join(sized.filter(F.col("members") <= BLOCK), "root", "left_semi"))
+        found, cluster = family_links(large, sets, counts, percent, BLOCK)
+        before, links = members, links.union(found)
+    for cluster in work:
+        counted = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        placed = cluster.join(counted, "root").select("root", "blocks", F.col("node").alias("sig"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int").alias("block"))
+        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        tasks = spread.join(sets, "sig").groupBy("root", "i", "j")
+        links = links.union(tasks.applyInArrow(_multiply(percent), "a long, b long"))
+
+    roots = components(links)
     # By class, then by row: tables that are written first meet in joins whose hot keys Spark can split.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    classes = members.filter("n > 0").groupBy("sig").agg(F.min(place).alias("least"))
+    classes = rows.filter("n > 0").groupBy("sig").agg(F.min(place).alias("least"))
     rooted = materialize(classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "ngram-roots")
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "ngram-least")
     named = materialize(rooted.join(least, "root").select("sig", "component"), "ngram-named")
-    out = members.join(named, "sig", "left")
+    out = rows.join(named, "sig", "left")
     linked = F.col("n") > 0
     return out.select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), "sig", F.when(linked, F.col("component.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),

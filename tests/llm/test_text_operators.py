@@ -13,7 +13,7 @@ import pytest
 from llm import brute
 from llm.fixtures import SCHEMA, awkward, components, jaccard_links, repeated, shingles, words
 
-from corvane.llm import bpe, lines, mixing, ngram_join, quality, substring, suffixes, token_files
+from corvane.llm import bpe, families, lines, mixing, ngram_join, quality, substring, suffixes, token_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -435,3 +435,38 @@ def test_parities_bound_differences():
     bits = [int.from_bytes(np.array(x, np.int64).tobytes(), "little") for x in g.parities()]
     sets = [set(g.gram[a:b].tolist()) for a, b in zip(g.first[:-1], g.first[1:], strict=True)]
     assert all((bits[i] ^ bits[j]).bit_count() <= len(sets[i] ^ sets[j]) for i in range(40) for j in range(i))
+
+
+def test_ngram_families_meet_through_what_differs(spark, monkeypatch):
+    """Large families of near copies, two of them tied by a passage: few pairs are looked at, and no cluster over a block is multiplied."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("etaoinshr", k=5))
+    first = [word() for _ in range(120)]
+    data = []
+    for base in (first, [word() for _ in range(60)] + first[:60]):
+        for _ in range(150):
+            copy = list(base)
+            for _ in range(r.randint(0, 9)):
+                k = r.randrange(len(copy))
+                copy[k : k + r.randint(0, 1)] = [word()] if r.random() < 0.7 else []
+            data.append((len(data), " ".join(copy)))
+    root = components(len(data), jaccard_links([shingles(t, 4) for _, t in data], 85))
+    looked, sizes = [], []
+    plain, links = families.materialize, ngram_join.family_links
+
+    def counted(df, name, codec="zstd"):
+        out = plain(df, name, codec)
+        if name == "family-pairs":
+            looked.append(out.count())
+        return out
+
+    def seen(cluster, *rest):
+        sizes.append(cluster.count())
+        return links(cluster, *rest)
+
+    monkeypatch.setattr(families, "materialize", counted)
+    monkeypatch.setattr(ngram_join, "family_links", seen)
+    monkeypatch.setattr(ngram_join, "BLOCK", 32)
+    out = {x["doc_id"]: x["component_id"] for x in ngram_join.near_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 4, 85).collect()}
+    assert out == dict(enumerate(root)) and 2 < len(set(root)) < len(root)
+    assert sizes[0] > 100 and sum(looked) < len(data) * len(data) // 20
