@@ -1,7 +1,7 @@
 """Vectors from text: a randomised truncated SVD of the weighted term matrix, by power iterations over the cluster.
 
 A text's row has (1 + log count) * idf at the hash of each of its terms, FEATURES of them, and length 1. An iteration is one pass over the rows: a task
-multiplies each by the present basis and adds the outer product to a sum of its own, sums meet by feature, and the driver makes the
+multiplies each by the present basis and adds the outer product to a sum of its own, sums meet by PART features, and the driver makes the
 sum (FEATURES x (RANK + MORE) numbers, whatever the number of texts) orthonormal again. Sums are of whole numbers, in units of 1 / FIXED, so they
 are the same on any partitions; they hold 2**32 texts. The last pass gives the singular values and directions by a small eigenproblem.
 
@@ -20,6 +20,8 @@ from corvane.sources.work import written
 
 FEATURES, RANK, MORE, ROUNDS = 1 << 15, 64, 8, 4
 FIXED = 2.0**30
+#: Features of a row of sums.
+PART = 128
 
 
 def features(text: Column, n: int) -> Column:
@@ -38,19 +40,21 @@ def _rows(column: pa.Array, idf: np.ndarray):
     return row, feature, weight / np.maximum(norm[row], 1e-300), len(sizes)
 
 
+def _runs(x: np.ndarray):
+    """(value, begin, end) of each run of equal values."""
+    begins = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+    return zip(x[begins].tolist(), begins.tolist(), np.r_[begins, len(x)][1:].tolist(), strict=True)
+
+
 def _times(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
-    """Rows times basis, n x its columns."""
     out = np.zeros((n, basis.shape[1]))
-    step = max(1, (1 << 22) // basis.shape[1])
-    for s in range(0, len(row), step):
-        r = row[s : s + step]
-        begins = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        out[r[begins]] += np.add.reduceat(weight[s : s + step, None] * basis[feature[s : s + step]], begins)
+    for r, a, b in _runs(row):  # a row at a time: what it needs of the basis stays in the cache
+        np.dot(weight[a:b], basis[feature[a:b]], out=out[r])
     return out
 
 
 def _step(held):
-    """Lists -> the sum of the task's outer products with the basis, a row for each feature that has one."""
+    """Lists -> the sum of the task's outer products with the basis, PART features to a row, those that have one."""
 
     def run(batches):
         idf, basis = held.value
@@ -59,39 +63,53 @@ def _step(held):
             row, feature, weight, n = _rows(batch.column(0), idf)
             projected = _times(row, feature, weight, n, basis)
             order = np.argsort(feature, kind="stable")
-            step = max(1, (1 << 22) // basis.shape[1])
-            for s in range(0, len(order), step):
-                some = order[s : s + step]
-                f = feature[some]
-                begins = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-                # Rounded one by one: the sums do not depend on what stands beside a row.
-                total[f[begins]] += np.add.reduceat(np.rint(FIXED * weight[some, None] * projected[row[some]]).astype(np.int64), begins)
-        used = np.flatnonzero(total.any(1))
-        names = ["feature", *[f"c{j}" for j in range(basis.shape[1])]]
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(np.ascontiguousarray(total[used, j])) for j in range(basis.shape[1])]], names=names)
+            row, weight = row[order], FIXED * weight[order, None]
+            for f, a, b in _runs(feature[order]):
+                some = projected[row[a:b]]
+                some *= weight[a:b]
+                # Rounded one by one: the sums do not depend on what stands beside a row. Doubles hold a batch's whole numbers exactly.
+                total[f] += np.rint(some, out=some).sum(0).astype(np.int64)
+        for part in range(0, len(total), PART):
+            sums = total[part : part + PART].ravel()
+            if sums.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(sums)], pa.int32()), pa.array(sums))], names=["part", "sums"])
 
     return run
 
 
+def _sum(table: pa.Table) -> pa.Table:
+    """The sums of one part from all tasks."""
+    total = sum(row.values.to_numpy() for chunk in table["sums"].chunks for row in chunk)
+    return pa.table({"part": table["part"][:1], "sums": pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), pa.array(total))})
+
+
 def fit(docs: DataFrame, rank: int = RANK, rounds: int = ROUNDS, n: int = FEATURES) -> dict:
     """The model of docs(text): idf, the basis (n x rank) and its singular values, largest first."""
-    spark, width = docs.sparkSession, rank + MORE
-    lists = written(docs.select(features(F.col("text"), n).alias("features")).filter(F.size("features") > 0), "lsa-features")
+    return fit_lists(written(docs.select(features(F.col("text"), n).alias("features")), "lsa-features"), rank, rounds, n)
+
+
+def listed(docs: DataFrame, key: str = "doc_id", n: int = FEATURES) -> DataFrame:
+    """docs(key, text) -> (key, features), written: texts are taken apart once for ``fit_lists`` and ``vectors_of``."""
+    return written(docs.select(key, features(F.col("text"), n).alias("features")), "lsa-features")
+
+
+def fit_lists(lists: DataFrame, rank: int = RANK, rounds: int = ROUNDS, n: int = FEATURES) -> dict:
+    """The model of stored lists(features), as ``fit`` has it."""
+    spark, width = lists.sparkSession, rank + MORE
+    lists = lists.select("features").filter(F.size("features") > 0)
     df = np.zeros(n)
     counted = lists.select(F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature").agg(F.count("*").alias("df")).toArrow()  # n rows
     df[counted["feature"].to_numpy()] = counted["df"].to_numpy()
     idf = np.log1p((lists.count() + 1) / (df + 1))
     basis, image = np.linalg.qr(np.random.default_rng(1).normal(size=(n, width)))[0], None
-    columns = [f"c{j}" for j in range(width)]
     for _ in range(rounds + 1):
         if image is not None:
             basis = np.linalg.qr(image)[0]
         held = spark.sparkContext.broadcast((idf, basis))  # n x width numbers
-        sums = lists.mapInArrow(_step(held), ", ".join(["feature int", *[f"{c} long" for c in columns]]))
-        got = sums.groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # n rows
+        got = lists.mapInArrow(_step(held), "part int, sums array<long>").groupBy("part").applyInArrow(_sum, "part int, sums array<long>").toArrow()  # n rows
         image = np.zeros((n, width))
-        if got.num_rows:
-            image[got["feature"].to_numpy()] = np.stack([got[c].to_numpy() for c in columns], 1) / FIXED
+        for part, sums in zip(got["part"].to_pylist(), got["sums"], strict=True):
+            image[part : part + PART] = sums.values.to_numpy().reshape(-1, width) / FIXED
         held.unpersist()
     small = basis.T @ image
     values, turn = np.linalg.eigh((small + small.T) / 2)
@@ -102,8 +120,13 @@ def fit(docs: DataFrame, rank: int = RANK, rounds: int = ROUNDS, n: int = FEATUR
 
 def vectors(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     """docs(key, text) -> (key, embedding): rows in the model's directions, of length 1."""
-    held = docs.sparkSession.sparkContext.broadcast((model["idf"], model["basis"]))
-    kind, n = docs.schema[key].dataType.simpleString(), len(model["idf"])
+    return vectors_of(docs.select(key, features(F.col("text"), len(model["idf"])).alias("features")), model, key)
+
+
+def vectors_of(lists: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
+    """lists(key, features) -> (key, embedding)."""
+    held = lists.sparkSession.sparkContext.broadcast((model["idf"], model["basis"]))
+    kind = lists.schema[key].dataType.simpleString()
 
     def run(batches):
         idf, basis = held.value
@@ -115,4 +138,4 @@ def vectors(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(norm == 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "embedding"])
 
-    return docs.select(key, features(F.col("text"), n)).mapInArrow(run, f"{key} {kind}, embedding array<double>")
+    return lists.select(key, "features").mapInArrow(run, f"{key} {kind}, embedding array<double>")

@@ -52,9 +52,9 @@ def retrieval_equality(spark, sf_dir):
 @query()
 def semantic_topk(spark, sf_dir):
     """The best eight documents of each question by vectors that come from the texts themselves; SQL has no such decomposition."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = lsa.fit(docs)
-    found = lsa.vectors(docs, model).withColumnRenamed("doc_id", "vec_id")
+    lists = lsa.listed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    model = lsa.fit_lists(lists)
+    found = lsa.vectors_of(lists, model).withColumnRenamed("doc_id", "vec_id")
     # A row is no answer to the question of its own id: questions have ids of their own here.
     asked = lsa.vectors(questions(spark, sf_dir).withColumn("query_id", -1 - F.col("query_id")), model, "query_id")
     return lanes.dense(found, asked).withColumn("query_id", -1 - F.col("query_id"))

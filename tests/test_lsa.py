@@ -34,6 +34,18 @@ def test_subspace_is_that_of_numpy(spark):
     assert all(np.allclose(got[r["doc_id"]], w, atol=1e-9) for r, w in zip(rows, want, strict=True))
 
 
+def test_sums_travel_packed(spark):
+    """A task sends a row for each PART features and no row for each feature; stored lists give the model and vectors of their texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").coalesce(1)
+    lists = lsa.listed(docs, n=512)
+    held = spark.sparkContext.broadcast((np.ones(512), np.linalg.qr(np.random.default_rng(1).normal(size=(512, 6)))[0]))
+    sent = lists.select("features").coalesce(1).mapInArrow(lsa._step(held), "part int, sums array<long>").collect()
+    assert len(sent) == 512 // lsa.PART and all(len(r["sums"]) == 6 * lsa.PART for r in sent)
+    model, again = lsa.fit_lists(lists, 4, 2, 512), lsa.fit(docs, 4, 2, 512)
+    assert np.array_equal(model["basis"], again["basis"])
+    assert sorted(map(str, lsa.vectors_of(lists, model).collect())) == sorted(map(str, lsa.vectors(docs, model).collect()))
+
+
 def test_questions_find_their_documents(spark):
     """Most passages have a document that holds them among their eight; texts without words have no vector and are no answer."""
     hits = {}
