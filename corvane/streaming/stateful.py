@@ -7,6 +7,7 @@ State is held by the store that state with timers asks for, in the checkpoint's
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 TOKENS, LIVES = 2, 6
 IDLE, LATE = 3, "7 days"
 HOUR = pd.Timedelta(hours=1)
+#: Users of one key of the lives' state, a power of two.
+USERS = 64
 
 
 class Tokens(StatefulProcessor):
@@ -49,57 +52,76 @@ class Tokens(StatefulProcessor):
 
 
 class Lives(StatefulProcessor):
-    """Counts a user's lives. Those that late events may still join or lengthen are kept as (start, end, events); a timer counts and forgets
-    a life once the watermark is past its idle hours."""
+    """Counts the lives of a group's users; a group is USERS users of neighbouring ids, so that what state costs for a key is paid once for all of them.
+    Lives that late events may still join or lengthen are kept as (user, start, end, events), times in microseconds; a timer counts and forgets
+    those of the group whose idle hours the watermark is past."""
 
     OUT = "user_id long, sessions long, events long"
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "start timestamp, last timestamp, n long")
-        self.ended = handle.getValueState("ended", "sessions long, events long")
-
-    def _store(self, key, lives):
-        if lives:
-            self.open.put(lives)
+        self.open = handle.getListState("open", "user_id long, start long, last long, n long")
+        self.ended = handle.getListState("ended", "user_id long, sessions long, events long")
+
+    def _stored(self, state, names):
+        return pd.DataFrame(list(state.get()), columns=names, dtype="int64")
+
+    def _lives(self):
+        return self._stored(self.open, ["user_id", "start", "last", "n"])
+
+    def _keep(self, lives):
+        had = list(self.handle.listTimers())
+        due = [int(lives["last"].min()) // 1000 + IDLE * 3600_000] if len(lives) else []
+        for t in had:
+            if t not in due:
+                self.handle.deleteTimer(t)
+        for t in due:
+            if t not in had:
+                self.handle.registerTimer(t)
+        if len(lives):
+            self.open.put(list(lives.itertuples(index=False, name=None)))
         else:
             self.open.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if lives:
-            self.handle.registerTimer(int(min(last for _, last, _ in lives).timestamp() * 1000) + IDLE * 3600_000)
-        sessions, events = self.ended.get() or (0, 0)
-        return pd.DataFrame({"user_id": [int(key[0])], "sessions": [int(sessions + len(lives))], "events": [int(events + sum(n for *_, n in lives))]})
 
     def handleInputRows(self, key, rows, timerValues):
-        parts = [(s, e, n) for s, e, n in self.open.get()] + [(t, t, 1) for part in rows for t in part["ts"]]
-        lives: list[tuple] = []
-        for start, last, n in sorted(parts):
-            if lives and start - lives[-1][1] < IDLE * HOUR:
-                lives[-1] = (lives[-1][0], max(lives[-1][1], last), lives[-1][2] + n)
-            else:
-                lives.append((start, last, n))
-        yield self._store(key, lives)
+        lives, came = self._lives(), []
+        for part in rows:
+            came.append(part["user_id"].unique())
+            lives = _joined(pd.concat([lives, pd.DataFrame({"user_id": part["user_id"], "start": part["at"], "last": part["at"], "n": 1})]))
+        self._keep(lives)
+        ended = self._stored(self.ended, ["user_id", "sessions", "events"]).set_index("user_id")
+        found = lives.groupby("user_id").agg(sessions=("n", "size"), events=("n", "sum")).add(ended, fill_value=0)
+        yield found.loc[pd.unique(np.concatenate(came))].astype("int64").reset_index()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        lives = [(s, e, n) for s, e, n in self.open.get()]
-        over = [x for x in lives if x[1] + IDLE * HOUR <= now]
-        sessions, events = self.ended.get() or (0, 0)
-        self.ended.update((int(sessions + len(over)), int(events + sum(n for *_, n in over))))
-        yield self._store(key, [x for x in lives if x not in over])
+        """What ends is counted elsewhere from now on: no number changes, and no row is written."""
+        lives = self._lives()
+        over = lives["last"] + IDLE * 3600_000_000 <= timerValues.getCurrentWatermarkInMs() * 1000
+        more = lives[over].groupby("user_id").agg(sessions=("n", "size"), events=("n", "sum"))
+        ended = more.add(self._stored(self.ended, ["user_id", "sessions", "events"]).set_index("user_id"), fill_value=0).astype("int64")
+        self.ended.put(list(ended.itertuples(name=None)))
+        self._keep(lives[~over])
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def _run(stream: DataFrame, processor: StatefulProcessor, time: str, path: str) -> None:
+def _joined(lives: pd.DataFrame) -> pd.DataFrame:
+    """Lives and single events of users, those that are less than IDLE hours apart as one."""
+    lives = lives.sort_values(["user_id", "start", "last"], kind="stable", ignore_index=True)
+    before = lives.groupby("user_id")["last"].cummax().shift(fill_value=0)
+    new = (lives["user_id"] != lives["user_id"].shift()) | (lives["start"] - before >= IDLE * 3600_000_000)
+    return lives.groupby(new.cumsum()).agg({"user_id": "first", "start": "first", "last": "max", "n": "sum"}).astype("int64")
+
+
+def _run(stream: DataFrame, key: str, processor: StatefulProcessor, time: str, path: str) -> None:
     spark = stream.sparkSession
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, PROVIDER)
     try:
-        changed = stream.groupBy("user_id").transformWithStateInPandas(processor, processor.OUT, "Update", time)
+        changed = stream.groupBy(key).transformWithStateInPandas(processor, processor.OUT, "Update", time)
 
         def save(df, batch):
             df.write.mode("overwrite").parquet(f"{path}/updates/batch={batch}")
@@ -119,11 +141,14 @@ def latest(spark: SparkSession, path: str, schema: str, keys: list[str]) -> Data
 
 def tokens(events: DataFrame, path: str) -> DataFrame:
     """(user_id, event_id, held, live) of a stream (user_id, event_id, ts) of tokens, after all that has come so far."""
-    _run(events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")), Tokens(), "None", path)
+    _run(events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", Tokens(), "None", path)
     return latest(events.sparkSession, path, Tokens.OUT, ["user_id", "event_id"])
 
 
 def lives(events: DataFrame, path: str, late: str = LATE) -> DataFrame:
     """(user_id, sessions, events) of a stream (user_id, ts), after all that has come so far and was no later than ``late``."""
-    _run(events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late), Lives(), "EventTime", path)
+    ts = F.col("ts").cast("timestamp")
+    group = F.call_function("shiftright", F.col("user_id"), F.lit(USERS.bit_length() - 1)).alias("group")
+    rows = events.select("user_id", ts.alias("ts"), F.unix_micros(ts).alias("at"), group).withWatermark("ts", late)
+    _run(rows, "group", Lives(), "EventTime", path)
     return latest(events.sparkSession, path, Lives.OUT, ["user_id"])

@@ -49,3 +49,19 @@ def test_lives_end_by_the_watermark(spark, tmp_path):
     assert run() == {1: (2, 5)}
     add(40, 41)
     assert run() == {1: (3, 7)}
+
+
+def test_lives_of_many_users_in_any_time_zone(spark, tmp_path):
+    """Users of several groups, and timers by the same clock as the rows: a life that can still go on is not ended early west of Greenwich."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = lambda h: datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(hours=h)
+        path, source = str(tmp_path / "lives"), str(tmp_path / "in")
+        users = [0, 1, 63, 64, 1000]
+        for hours_, n in (((10, 12), 2), ((14, 30), 4)):
+            spark.createDataFrame([(u, i, at(h), "view") for u in users for i, h in enumerate(hours_)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+            got = {x["user_id"]: (x["sessions"], x["events"]) for x in stateful.lives(spark.readStream.schema(SCHEMA).parquet(source), path, "1 hour").collect()}
+            assert got == dict.fromkeys(users, (n // 2, n))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
