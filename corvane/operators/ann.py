@@ -34,6 +34,8 @@ ROUNDS = 10
 #: Codes of a block, about.
 BLOCK = 8192
 PROBES, RERANK = 8, 128
+#: Questions of a block, about.
+QUESTIONS = 128
 #: More than double precision and six places can be off.
 SLACK = 2e-6
 
@@ -141,7 +143,7 @@ def _model(spark: SparkSession, path: str) -> dict:
 
 
 def _cells(held, probes: int, exact: bool):
-    """(query_id, embedding, least) -> (query_id, embedding, cell, part): the cells to probe. least null: the nearest ``probes``; else all others
+    """(query_id, embedding, least) -> (query_id, embedding, cell, least): the cells to probe. least null: the nearest ``probes``; else all others
     that may hold a score of that much."""
 
     def run(batches):
@@ -156,7 +158,7 @@ def _cells(held, probes: int, exact: bool):
             # A row of a cell is its centroid and a rest no longer than the radius.
             some = first if not exact else ~first & (near + m["radius"] >= np.where(np.isnan(least), -np.inf, least)[:, None])
             i, cell = np.nonzero(some & (m["radius"] >= 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(cell.astype(np.int32)), pa.array((i % 64).astype(np.int32)), batch.column(2).take(pa.array(i))], names=["query_id", "embedding", "cell", "part", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(cell.astype(np.int32)), batch.column(2).take(pa.array(i))], names=["query_id", "embedding", "cell", "least"])
 
     return run
 
@@ -173,9 +175,8 @@ def _scores(held, k: int, rerank: int, exact: bool):
                 rests, cell = batch.column(4)[r].values.to_numpy(), batch.column(0)[r].as_py()
                 queries = asked.field("query_id")
                 q = _unit(asked.field("embedding"), m["dim"])
-                score = np.repeat((q @ m["centres"][cell])[:, None], len(ids), 1)
-                for p, (book, a, b) in enumerate(zip(m["books"], m["cuts"], m["cuts"][1:], strict=False)):
-                    score += (q[:, a:b] @ book.T)[:, codes[:, p]]
+                # What the codes stand for, once for all questions of the block.
+                score = q @ (m["centres"][cell] + np.concatenate([book[codes[:, p]] for p, book in enumerate(m["books"])], 1)).T
                 low, high = score - rests - SLACK, score + rests + SLACK
                 known = pc.unique(queries)
                 mine, theirs = pc.index_in(queries, value_set=known).to_numpy(), pc.index_in(ids.cast(queries.type), value_set=known).fill_null(-1).to_numpy()
@@ -191,6 +192,12 @@ def _scores(held, k: int, rerank: int, exact: bool):
     return run
 
 
+def _grouped(to: DataFrame, n_groups: int) -> DataFrame:
+    """Questions of a cell in blocks, as many as all questions fill, so that codes are read once for a block and not for a question."""
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("part")
+    return to.groupBy("cell", part).agg(F.collect_list(F.struct("query_id", "embedding", "least")).alias("asked"))
+
+
 def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, probes: int = PROBES, rerank: int = RERANK, exact: bool = False) -> DataFrame:
     """(query_id, rank, doc_id, score) of questions(query_id, embedding)."""
     m = _model(spark, path)
@@ -201,10 +208,11 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, pr
         return spark.createDataFrame([], f"query_id {kind}, rank long, doc_id {id_type}, score double")
     codes = spark.read.schema(f"ids array<{id_type}>, codes array<binary>, rests array<double>, cell int").parquet(f"{path}/codes")
 
+    n_groups = max(1, -(-asked.count() // QUESTIONS))
+
     def probe(asked: DataFrame, rest: bool) -> DataFrame:
-        to = asked.mapInArrow(_cells(held, probes, rest), f"query_id {kind}, embedding array<double>, cell int, part int, least double")
-        # Questions of a cell in blocks: part deals them out, so a cell that all of them ask for is many blocks.
-        to = to.groupBy("cell", "part", F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("more")).agg(F.collect_list(F.struct("query_id", "embedding", "least")).alias("asked"))
+        to = asked.mapInArrow(_cells(held, probes, rest), f"query_id {kind}, embedding array<double>, cell int, least double")
+        to = _grouped(to, n_groups)
         pairs = to.select("cell", "asked").join(codes, "cell").select("cell", "asked", "ids", "codes", "rests")
         got = pairs.mapInArrow(_scores(held, k, rerank, exact), f"query_id {kind}, cell int, doc_id {id_type}, near double, low double, high double")
         return written(got, "ann-near")

@@ -88,6 +88,12 @@ def test_quantised_index(spark, tmp_path):
     assert rows(ann.search(spark, path, asked, 10, exact=True)) == rows(lanes.dense(v, asked, 10))
 
 
+def test_questions_of_a_cell_share_its_codes(spark):
+    """A hundred questions of a cell are one block, not a block each, each with a copy of the cell's codes."""
+    to = spark.range(300).selectExpr("id DIV 3 AS query_id", "array(1D) AS embedding", "CAST(id % 3 AS int) AS cell", "CAST(NULL AS double) AS least")
+    assert sorted((r["cell"], len(r["asked"])) for r in ann._grouped(to, 1).collect()) == [(c, 100) for c in range(3)]
+
+
 def test_index_of_odd_vectors(spark, tmp_path, monkeypatch):
     """Null, zero and non-finite vectors, a third of all alike, fewer than asked for; lengths that differ; an empty table."""
     monkeypatch.setattr(ann, "BLOCK", 16)
