@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import features as chunking
 from corvane.operators import fusion
 from corvane.operators import lanes as retrieval
 from corvane.plans import features, lanes
 from corvane.plans import fusion as plan
 from corvane.plans.base import query
 from corvane.sources.tables import table
+from corvane.sources.work import written
 
 SCORE = "round(sum((CASE lane WHEN 'exact' THEN 3.0::DOUBLE WHEN 'lexical' THEN 1.0::DOUBLE WHEN 'dense' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) / (60 + rank)), 6) AS score, array_to_string(list_sort(list_distinct(list(lane))), ',') AS signals"
 
@@ -46,9 +48,10 @@ def metadata_fusion(spark, sf_dir):
 SELECT * FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM o) WHERE used <= 1500""")
 def token_pack(spark, sf_dir):
     """Evidence in order while its tokens, those of the prefix included, fit the budget."""
-    chunks = features.chunk_rows(spark, sf_dir).select("doc_id", "chunk_index", F.size(T.tokens(F.concat(F.lit(T.DOCUMENT_PREFIX), "chunk"))).cast("long").alias("tokens"))
+    found = written(plan.chunk_hits(spark, sf_dir), "chunk-hits")
+    chunks = chunking.chunks(plan.documents_of(spark, sf_dir, found)).select("doc_id", "chunk_index", F.size(T.tokens(F.concat(F.lit(T.DOCUMENT_PREFIX), "chunk"))).cast("long").alias("tokens"))
     w = Window.partitionBy("query_id").orderBy("rank", "chunk_index")
-    rows = plan.chunk_hits(spark, sf_dir).join(chunks, ["doc_id", "chunk_index"]).select("query_id", "doc_id", "chunk_index", "tokens", F.row_number().over(w).cast("long").alias("rank"))
+    rows = found.join(chunks, ["doc_id", "chunk_index"]).select("query_id", "doc_id", "chunk_index", "tokens", F.row_number().over(w).cast("long").alias("rank"))
     return fusion.pack(rows, 1500, "tokens")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import features as chunking
 from corvane.operators import fusion
 from corvane.operators import lanes as retrieval
 from corvane.plans import features, lanes
@@ -51,9 +52,15 @@ CONTENT = r"""content AS (SELECT r.*, sha256(trim(regexp_replace(d.text, '[ \t\n
 single AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY rank, doc_id) AS copy FROM content) WHERE copy = 1)"""
 
 
+def documents_of(spark, sf_dir, found):
+    """The documents of a few stored hits: what is made of their texts is made of no other text."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def single_hits(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.sha(T.collapse(F.col("text"))).alias("content"))
-    return fusion.drop_repeats(hits(spark, sf_dir).join(docs, "doc_id"))
+    found = hits(spark, sf_dir)
+    docs = documents_of(spark, sf_dir, found).select("doc_id", T.sha(T.collapse(F.col("text"))).alias("content"))
+    return fusion.drop_repeats(found.join(docs, "doc_id"))
 
 
 @query(f"WITH {LANES}, {CONTENT} SELECT query_id, doc_id, rank, content FROM single")
@@ -71,8 +78,9 @@ capped AS (SELECT * FROM (SELECT query_id, doc_id, rank, chunk_index, chars, row
 def chunk_hits(spark, sf_dir, *more: str):
     """With more columns of the hits, if asked."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
-    c = features.chunk_rows(spark, sf_dir).select("doc_id", "chunk_index", "chunk")
-    rows = single_hits(spark, sf_dir).select("query_id", "doc_id", "rank", *more).join(c, "doc_id").join(q, "query_id")
+    found = written(single_hits(spark, sf_dir).select("query_id", "doc_id", "rank", *more), "single-hits")
+    c = chunking.chunks(documents_of(spark, sf_dir, found)).select("doc_id", "chunk_index", "chunk")
+    rows = found.join(c, "doc_id").join(q, "query_id")
     rows = rows.filter(F.size(F.array_intersect(F.array_distinct(T.tokens(F.col("chunk"))), "asked")) >= 8)
     return fusion.cap_per_document(rows.select("query_id", "doc_id", "rank", "chunk_index", F.length("chunk").cast("long").alias("chars"), *more))
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import ann, inverted, lanes, strings
+from corvane.plans import fusion
 
 
 def rows(df):
@@ -136,3 +137,9 @@ def test_questions_are_not_copied_beside_rows(spark):
     asked = v.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id")
     for found in (strings.holders(docs, questions), lanes.lexical(docs, questions), lanes.dense(v, asked)):
         assert found.count() > 0 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_hits_alone(spark):
+    """Chunks and content hashes are made of the documents that are hits, each once."""
+    hits = spark.createDataFrame([(1, 3), (2, 3), (2, 5), (3, -1)], "query_id long, doc_id long")
+    assert sorted(r["doc_id"] for r in fusion.documents_of(spark, "/root/testdata/sf0.001", hits).collect()) == [3, 5]
