@@ -142,6 +142,24 @@ def test_induction():
         assert rank[order].tolist() == list(range(len(text))) and common.tolist() == shared
 
 
+def test_induction_ranks_few_tuples(monkeypatch):
+    """Naming LMS substrings takes their own symbols, not an induction of all suffixes."""
+    r = random.Random(3)
+    text = np.array([r.choice(b"etaoin shrdlu") for _ in range(20000)] + [0], np.int64)
+    queued, queue = [], induction.ordered
+    monkeypatch.setattr(induction, "ordered", lambda key, memory: (queued.append(len(key)), queue(key, memory))[1])
+    induction.suffix_order(text, 400, 1 << 20)
+    assert sum(queued) < 7 * len(text)
+
+
+def test_wide_keys_are_ranked_alike():
+    """Keys that leave no room for a place beside them in one word."""
+    key = np.random.default_rng(3).integers(0, 50, 3000) << 56
+    for memory in (100, 1 << 20):
+        rank, ranked, place = induction.ordered(key, memory)
+        assert rank.tolist() == np.unique(key, return_inverse=True)[1].tolist() and ranked.tolist() == sorted(key.tolist()) == key[place].tolist()
+
+
 def test_external_ranks():
     key = np.random.default_rng(2).integers(0, 500, 5000)
     assert induction.ranks(key, 100).tolist() == np.unique(key, return_inverse=True)[1].tolist()
