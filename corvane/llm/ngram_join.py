@@ -53,21 +53,38 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def all_grams(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, n-gram) of all n-grams of some texts, repeated ones too."""
+    c = Chunk(texts, lower=True)
+    place = np.flatnonzero(c.valid(width))
+    doc = np.repeat(np.arange(len(texts)), c.sizes)[place]
+    gram = c.windows(width)[place]
+    short = np.flatnonzero((c.sizes > 0) & (c.sizes < width))
+    if len(short):
+        whole = np.array([xxhash.xxh3_64_intdigest(b" ".join(texts[i].lower().split()), 11) for i in short], _U)
+        doc, gram = np.concatenate([doc, short]), np.concatenate([gram, whole])
+    return doc, gram
+
+
+def in_order(doc: np.ndarray, rank: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+    """The order by (doc, rank, gram), of docs below n. One sort by as much of them as 64 bits hold decides, if it tells all apart that differ."""
+    bits = max(1, (n - 1).bit_length())
+    key = (doc.astype(_U) << _U(64 - bits)) | (rank >> _U(bits))
+    order = np.argsort(key)
+    ranked = key[order]
+    same = np.flatnonzero(ranked[1:] == ranked[:-1])
+    if (gram[order[same]] != gram[order[same + 1]]).any():
+        return np.lexsort((gram, rank, doc))
+    return order
+
+
 class Grams:
     """The distinct n-grams of some texts: text i has gram[first[i]:first[i + 1]], in the order of ``rank``, rarest first."""
 
     def __init__(self, texts: list[bytes | None], width: int, counts: np.ndarray | None = None):
-        c = Chunk(texts, lower=True)
-        place = np.flatnonzero(c.valid(width))
-        doc = np.repeat(np.arange(len(texts)), c.sizes)[place]
-        gram = c.windows(width)[place]
-        short = np.flatnonzero((c.sizes > 0) & (c.sizes < width))
-        if len(short):
-            whole = np.array([xxhash.xxh3_64_intdigest(b" ".join(texts[i].lower().split()), 11) for i in short], _U)
-            doc, gram = np.concatenate([doc, short]), np.concatenate([gram, whole])
-        self.all = gram
+        doc, gram = all_grams(texts, width)
         rank = gram if counts is None else (np.minimum(counts[gram >> _U(44)], (1 << 20) - 1).astype(_U) << _U(44)) | (gram & _U((1 << 44) - 1))
-        order = np.lexsort((gram, rank, doc)) if counts is not None else np.lexsort((gram, doc))
+        order = in_order(doc, rank, gram, len(texts))
         doc, gram = doc[order], gram[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
@@ -85,23 +102,29 @@ class Grams:
         for a in range(0, len(self.sizes), 1024):
             b = min(a + 1024, len(self.sizes))
             part = slice(self.first[a], self.first[b])
-            cell = (self.doc[part] - a) * bits + (mix(self.gram[part]) % _U(bits)).astype(np.int64)
+            cell = (self.doc[part] - a) * bits + (mix(self.gram[part]) & _U(bits - 1)).astype(np.int64)
             odd = (np.bincount(cell, minlength=(b - a) * bits) & 1).astype(np.uint8)
             out += np.packbits(odd).view(np.int64).reshape(b - a, PARITY).tolist()
         return out
 
 
 def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many n-grams fall into each of CELLS cells, over all documents: CELLS numbers, whatever the input."""
+    """How many n-grams, repeated ones too, fall into each of CELLS cells, over all documents: CELLS numbers, whatever the input."""
     pieces = 64
 
     @lean
     def run(batches):
-        total = np.zeros(CELLS, np.uint32)
+        total, held, size = np.zeros(CELLS, np.uint32), [], 0
         for batch in batches:
             texts = as_bytes(batch.column(0))
             for a, b in chunks(texts, CHUNK):
-                total += np.bincount((Grams(texts[a:b], width).gram >> _U(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                held.append((all_grams(texts[a:b], width)[1] >> _U(44)).astype(np.int64))
+                size += len(held[-1])
+                if size > CELLS:
+                    total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([planes(x) for x in np.split(total, pieces)], pa.binary())], names=["piece", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -225,11 +248,14 @@ def _tied(batches):
             yield pa.RecordBatch.from_arrays([pa.array(unplanes(a, np.int64)), pa.array(unplanes(b, np.int64))], names=["a", "b"])
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sig, grams) of the wanted classes. A Bloom filter of fixed size keeps most other sets from being sent at all."""
-    # Signatures are hashes: their low bits are the filter's.
-    bit = F.col("sig") % BLOOM_BITS
-    cells = wanted.select(F.floor(bit / 32).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(sig % {BLOOM_BITS} % 32 AS int))").alias("bit"))
+def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(sig, grams) of the wanted classes. One text of each class is taken apart; a Bloom filter of fixed size over their hashes spares
+    most other texts that."""
+    chosen = rows.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("text_key").alias("text_key"))
+    name = F.xxhash64("text_key")
+    # Names are hashes: their low bits are the filter's.
+    bit = F.pmod(name, F.lit(BLOOM_BITS))
+    cells = chosen.select(F.floor(bit / 32).cast("int").alias("cell"), (bit % 32).cast("int").alias("at")).select("cell", F.expr("shiftleft(1L, at)").alias("bit"))
     filled = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()  # BLOOM_BITS / 32 rows at most
     bloom = np.zeros(BLOOM_BITS // 32, np.uint32)
     bloom[filled["cell"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).astype(np.uint32)
@@ -239,15 +265,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches):
         bits = shared.value
         for batch in batches:
-            texts = as_bytes(batch.column(0))
+            cell = batch.column(0).to_numpy() & (BLOOM_BITS - 1)
+            some = np.flatnonzero((bits[cell >> 5] >> (cell & 31).astype(np.uint32)) & np.uint32(1))
+            texts = as_bytes(batch.column(1).take(pa.array(some)))
             for a, b in chunks(texts, CHUNK):
                 g = Grams(texts[a:b], width)
-                cell = g.signature % BLOOM_BITS
-                keep = (bits[cell >> 5] >> (cell & 31).astype(np.uint32)) & np.uint32(1) > 0
-                some = np.intersect1d(np.flatnonzero(keep), np.unique(g.signature, return_index=True)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(g.signature[some]), pa.array([g.gram[g.first[k] : g.first[k + 1]].tobytes() for k in some], pa.binary())], names=["sig", "grams"])
+                once = np.unique(g.signature, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(g.signature[once]), pa.array([g.gram[g.first[k] : g.first[k + 1]].tobytes() for k in once], pa.binary())], names=["sig", "grams"])
 
-    sifted = docs.select("text").mapInArrow(run, "sig long, grams binary")
+    sifted = docs.select(F.xxhash64(text_key(F.col("text"))).alias("name"), "text").mapInArrow(run, "sig long, grams binary")
     return sifted.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams"))
 
 
@@ -346,7 +372,7 @@ def near_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     possible = (total - apart) * (100 + percent) >= 2 * percent * total
     outside = materialize(outside.join(ta, "a").join(tb, "b").filter(possible).select("a", "b"), "ngram-pairs")
     wanted = outside.select(F.col("a").alias("sig")).union(outside.select("b")).union(cluster.select("node")).distinct()
-    sets = materialize(_sets(docs, materialize(wanted, "ngram-wanted"), width), "ngram-sets")
+    sets = materialize(_sets(docs, rows, materialize(wanted, "ngram-wanted"), width), "ngram-sets")
 
     left, right = sets.select(F.col("sig").alias("a"), F.col("grams").alias("x")), sets.select(F.col("sig").alias("b"), F.col("grams").alias("y"))
     near = outside.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")

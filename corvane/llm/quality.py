@@ -26,11 +26,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.bpe import as_bytes
 from corvane.llm.common import documents, extended, lean, materialize
+from corvane.llm.ngram_join import in_order
+from corvane.llm.wordhash import Chunk, chunks
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_ROWS = 50
 UNIT = 4096
+#: Bytes of texts whose words are taken together.
+CHUNK = 1 << 18
 #: So many rows of a table with a row for each group, or each group and start, are broadcast; more are joined as Spark sees fit.
 FEW = 4096
 #: A step that shrinks the determinant by less than this share is the last one of its start.
@@ -70,18 +75,48 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def repeats(c: Chunk) -> np.ndarray:
+    """``repeated_words`` of every text of a chunk with places: hashes of windows find those that may be equal, and their words are compared."""
+    place = np.flatnonzero(c.valid(3))
+    doc, key = np.repeat(np.arange(len(c.sizes)), c.sizes), c.windows(3)[place]
+    order = in_order(doc[place], key, key, len(c.sizes))
+    at, key = place[order], key[order]
+    some = np.flatnonzero((key[1:] == key[:-1]) & (doc[at[1:]] == doc[at[:-1]]))
+    i, j = at[some], at[some + 1]
+    raw, wrong = np.frombuffer(c.raw, np.uint8), np.zeros(len(i), bool)
+    for k in range(3):
+        size = c.end[i + k] - c.start[i + k]
+        wrong |= size != c.end[j + k] - c.start[j + k]
+        alike = np.flatnonzero(~wrong)
+        row = np.repeat(alike, size[alike])
+        step = np.arange(len(row)) - np.repeat(np.cumsum(size[alike]) - size[alike], size[alike])
+        wrong[row[raw[c.start[i[row] + k] + step] != raw[c.start[j[row] + k] + step]]] = True
+    covered = np.zeros(len(doc), bool)
+    for k in range(3):
+        covered[i + k] = covered[j + k] = True
+    out = np.bincount(doc[covered], minlength=len(c.sizes))
+    for d in np.unique(doc[i[wrong]]).tolist():  # different words of one hash
+        some = range(c.first[d], c.first[d + 1])
+        out[d] = repeated_words([c.raw[c.start[w] : c.end[w]] for w in some])
+    return out
+
+
 def text_stats(text: pa.Array) -> list[pa.Array]:
     """The STATS of each text of an Arrow string array."""
     out = np.zeros((len(STATS), len(text)), np.int64)
     points = pc.fill_null(pc.utf8_length(text), 0).to_numpy(zero_copy_only=False)
-    for i, raw in enumerate(text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary()).to_pylist()):
+    texts = as_bytes(text)
+    for a, b in chunks(texts, CHUNK):
+        c = Chunk(texts[a:b], places=True)
+        solid = np.concatenate([[0], np.cumsum(c.end - c.start)])
+        size = np.array([len(x or b"") for x in texts[a:b]], np.int64)
+        out[0, a:b], out[4, a:b] = c.sizes, repeats(c)
+        out[1, a:b] = points[a:b] - (size - (solid[c.first[1:]] - solid[c.first[:-1]]))
+    for i, raw in enumerate(texts):
         if not raw:
             continue
-        words = raw.split()
         lines = [x for x in raw.split(b"\n") if x.strip()] if b"\n" in raw else []
-        spaces = len(raw) - len(b"".join(words))
-        symbols = len(raw) - len(raw.translate(None, b"#*$%&|<>"))
-        out[:, i] = len(words), points[i] - spaces, symbols, len(lines) - len(set(lines)), repeated_words(words)
+        out[2:4, i] = len(raw) - len(raw.translate(None, b"#*$%&|<>")), len(lines) - len(set(lines))
     return [pa.array(x) for x in out]
 
 

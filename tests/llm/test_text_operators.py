@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm import brute
 from llm.fixtures import SCHEMA, awkward, components, jaccard_links, repeated, shingles, words
@@ -428,6 +429,38 @@ def test_join_random(spark, monkeypatch, full):
     assert [out[i] for i in range(160)] == components(160, jaccard_links(sets, 85))
 
 
+def test_grams_are_ordered_by_one_sort(monkeypatch):
+    """The order by text, rank and n-gram takes no sort of several keys, but where 64 bits don't tell apart what differs."""
+    r = random.Random(2)
+    texts = [None, b"", b"a b"] + [" ".join(f"w{r.randint(0, 9)}" for _ in range(r.randint(0, 300))).encode() for _ in range(60)]
+    counts = np.random.default_rng(1).integers(0, 5, ngram_join.CELLS).astype(np.uint32)
+    rank, gram, doc = np.array([8, 9, 8, 1], np.uint64), np.array([8, 9, 8, 1], np.uint64), np.array([3, 3, 3, 0])
+    assert gram[ngram_join.in_order(doc, rank, gram, 1 << 20)].tolist() == [1, 8, 8, 9]
+    for table in (None, counts):
+        with monkeypatch.context() as m:
+            m.setattr(ngram_join, "in_order", lambda doc, rank, gram, n: np.lexsort((gram, rank, doc)))
+            slow = ngram_join.Grams(texts, 3, table)
+        with monkeypatch.context() as m:
+            m.setattr(np, "lexsort", None)
+            fast = ngram_join.Grams(texts, 3, table)
+        assert all((getattr(slow, k) == getattr(fast, k)).all() for k in ("gram", "first", "sizes", "signature"))
+
+
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_repeated_words_of_many_texts(monkeypatch, one_hash):
+    """Texts are taken together, not window by window, and equal hashes alone repeat nothing."""
+    r = random.Random(5)
+    words = ["a", "b", "ab", "\u00e9", "\x1c", "x" * 70, "x" * 69 + "y"]
+    texts = [None, "", " ", "a b c", "a  b\tc a\nb c", "\n\na\na\n"] + [" ".join(r.choices(words, k=r.randrange(50))) for _ in range(300)]
+    expected = [quality.repeated_words((t or "").encode().split()) for t in texts]
+    if one_hash:
+        monkeypatch.setattr(quality.Chunk, "windows", lambda c, width: np.zeros(len(c.hash), np.uint64))
+    else:
+        monkeypatch.setattr(quality, "repeated_words", None)
+    stats = quality.text_stats(pa.array(texts))
+    assert stats[4].to_pylist() == expected and stats[0].to_pylist() == [len((t or "").encode().split()) for t in texts]
+
+
 def test_parities_bound_differences():
     r = random.Random(1)
     texts = [" ".join(f"w{r.randint(0, 60)}" for _ in range(r.randint(5, 400))).encode() for _ in range(40)]
